@@ -27,17 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and go on from that table.
 
-    Used between rounds of an iterative plan, and for tables several branches
-    of one plan read. The files survive the loss of any executor.
+    Used between rounds of an iterative plan, and for a table several branches of
+    one plan read. The files survive the loss of any executor, and readers get
+    column pruning and true sizes.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
