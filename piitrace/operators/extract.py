@@ -118,6 +118,26 @@ def all_matches(
     return _inline_patterns(df, text_col, list(id_cols), PROFILES[profile], profile)
 
 
+def line_matches(
+    df: DataFrame, text_col: str = "line", id_cols: tuple[str, ...] = ("log_id",),
+    profile: str = "demo",
+) -> DataFrame:
+    """Matches of a short text with pattern precedence settled inside the row.
+
+    Keeps, per value, the first match in pattern order; no shuffle, so a stream can
+    use it before its state.
+    """
+    staged = df.select(*id_cols, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
+    arrays = [
+        _match_structs(F.col("_text"), F.col("_low"), p, i, profile)
+        for i, p in enumerate(PROFILES[profile])
+    ]
+    found = staged.select(*id_cols, F.concat(*arrays).alias("_m"))
+    values = F.transform("_m", lambda r: r["value"])
+    first = F.filter("_m", lambda r, i: F.array_position(values, r["value"]) == i + 1)
+    return found.select(*id_cols, F.inline(first))
+
+
 def first_seen(
     matches: DataFrame, scope: tuple[str, ...], order: tuple[str, ...] = ()
 ) -> DataFrame:
