@@ -24,14 +24,15 @@ from piitrace.functions.patterns import (
     TOKEN_PATTERNS,
 )
 
-NO_STRINGS = F.array().cast("array<string>")
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _gated(low: Column, needs: tuple[str, ...], hits: Column) -> Column:
     if not needs:
         return hits
     test = reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in needs])
-    return F.when(test, hits).otherwise(NO_STRINGS)
+    return F.when(test, hits).otherwise(_no_strings())
 
 
 def _raw_hits(text: Column, low: Column, pattern_id: str, profile: str) -> Column:
@@ -45,7 +46,7 @@ def _raw_hits(text: Column, low: Column, pattern_id: str, profile: str) -> Colum
                     F.regexp_extract_all(
                         entities.b64_decode(b), F.lit(BLOB_SECRET[profile]), F.lit(1)
                     ),
-                    NO_STRINGS,
+                    _no_strings(),
                 ),
             )
         )
