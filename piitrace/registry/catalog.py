@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from piitrace.registry import q_extract, q_graph, q_replay, q_scalar, q_score  # noqa: F401
+from piitrace.registry import (  # noqa: F401
+    q_extract,
+    q_graph,
+    q_replay,
+    q_scalar,
+    q_score,
+    q_stream,
+    q_synth,
+)
 from piitrace.registry.base import ORACLES, QUERIES, replay
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from piitrace.functions.scores import ENV_EPS
+from piitrace.operators import redaction, scoring
 from piitrace.operators.graph import truth_flat
 from piitrace.plans import replay
-from piitrace.operators import redaction, scoring
+from piitrace.streaming.streams import drain
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = (
@@ -250,5 +251,20 @@ def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> Dat
     )
     joined = keyed.join(brings, ["scenario_id", "kind", "key"], "left").join(facts, "scenario_id")
     return joined.groupBy("episode_id").transformWithStateInPandas(
-        EpisodeScorer(), outputStructType=RESULT, outputMode="update", timeMode="None"
+        EpisodeScorer(), outputStructType=RESULT, outputMode="append", timeMode="None"
     )
+
+
+def drain_scores(scores: DataFrame, label: str) -> DataFrame:
+    """Drain a scoring stream with the state store it needs."""
+    spark = scores.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        return drain(scores, label)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
