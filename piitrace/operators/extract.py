@@ -16,6 +16,8 @@ from piitrace.functions import entities
 from piitrace.functions.patterns import (
     BLOB_SECRET,
     EXCLUDED_IPS,
+    HEX_RUN,
+    SIGNS,
     MASK_ORDER,
     MASK_REGEX,
     MIN_TOKEN_LENGTH,
@@ -24,24 +26,50 @@ from piitrace.functions.patterns import (
     TOKEN_PATTERNS,
 )
 
+MATCHES = (
+    "array<struct<pattern_id:string,pattern_ord:int,match_ord:int,pii_type:string,value:string>>"
+)
+
+
 def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _gated(low: Column, needs: tuple[str, ...], hits: Column) -> Column:
-    if not needs:
-        return hits
-    test = reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in needs])
-    return F.when(test, hits).otherwise(_no_strings())
+def _staged(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """Text, its lower-cased form and the tests several patterns share: a projection
+    of its own, so that each is computed once per row."""
+    text = F.col(text_col)
+    signs = [F.contains(text, F.lit(c)).alias(f"_has{i}") for i, c in enumerate(SIGNS)]
+    return df.select(
+        *keep, text.alias("_text"), F.lower(text).alias("_low"),
+        text.rlike(HEX_RUN).alias("_hex"), *signs,
+    )
+
+
+def _can_match(pattern_id: str) -> Column:
+    """Whether the staged text can match the pattern at all."""
+    p = PATTERNS[pattern_id]
+    tests = [F.lit(True)]
+    if p.sign:
+        tests.append(F.col(f"_has{SIGNS.index(p.sign)}"))
+    if p.needs:
+        tests.append(F.contains(F.col("_low"), F.lit(p.needs)))
+    if p.hint:
+        tests.append(F.col("_hex") if p.hint == HEX_RUN else F.col("_text").rlike(p.hint))
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _gated(pattern_id: str, hits: Column) -> Column:
+    """``hits`` only for texts that can match, else an empty array."""
+    return F.when(_can_match(pattern_id), hits).otherwise(_no_strings())
 
 
-def _raw_hits(text: Column, low: Column, pattern_id: str, profile: str) -> Column:
-    """All texts one pattern takes out of ``text``, in order of appearance."""
+def _raw_hits(pattern_id: str, profile: str) -> Column:
+    """All texts one pattern takes out of ``_text``, in order of appearance."""
     if pattern_id == "E11":
-        blobs = _raw_hits(text, low, "E10", profile)
         found = F.flatten(
             F.transform(
-                blobs,
+                _raw_hits("E10", profile),
                 lambda b: F.coalesce(
                     F.regexp_extract_all(
                         entities.b64_decode(b), F.lit(BLOB_SECRET[profile]), F.lit(1)
@@ -50,17 +78,19 @@ def _raw_hits(text: Column, low: Column, pattern_id: str, profile: str) -> Colum
                 ),
             )
         )
-        return _gated(low, PATTERNS["E10"].needs, found)
+        return _gated("E10", found)
     p = PATTERNS[pattern_id]
-    return _gated(low, p.needs, F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group)))
+    return _gated(
+        pattern_id, F.regexp_extract_all(F.col("_text"), F.lit(p.regex), F.lit(p.group))
+    )
 
 
-def _match_structs(
-    text: Column, low: Column, pattern_id: str, pattern_ord: int, profile: str
-) -> Column:
+def _match_structs(pattern_id: str, pattern_ord: int, profile: str) -> Column:
+    """Match rows out of the hits of one pattern (column ``_hits_<id>``)."""
+    hits = F.col(f"_hits_{pattern_id}")
     kind = "token" if pattern_id == "E11" else PATTERNS[pattern_id].pii_type
     rows = F.transform(
-        _raw_hits(text, low, pattern_id, profile),
+        hits,
         lambda v, i: F.struct(
             F.lit(pattern_id).alias("pattern_id"),
             F.lit(pattern_ord).alias("pattern_ord"),
@@ -73,23 +103,39 @@ def _match_structs(
         rows = F.filter(rows, lambda r: ~r["value"].isin(EXCLUDED_IPS[profile]))
     if pattern_id == "E11" or pattern_id in TOKEN_PATTERNS:
         rows = F.filter(rows, lambda r: F.length(r["value"]) >= MIN_TOKEN_LENGTH)
-    return rows
+    # most texts have no hit of a pattern: leave the lambdas alone then
+    return F.when(F.size(hits) > 0, rows).otherwise(F.array().cast(MATCHES))
 
 
-def _inline_patterns(
-    df: DataFrame, text_col: str, id_cols: list[str], pattern_ids: list[str], profile: str
+def _hit_columns(
+    df: DataFrame, keep: list[str], text_col: str, pattern_ids: list[str], profile: str
 ) -> DataFrame:
+    """``keep`` and one array column of raw hits per pattern.
+
+    The regexes run in a projection of their own, inside generated code; building
+    rows (lambdas, which are interpreted) then only sees the texts with a hit.
+    """
+    return _staged(df, keep, text_col).select(
+        *keep, *[_raw_hits(p, profile).alias(f"_hits_{p}") for p in pattern_ids]
+    )
+
+
+def _match_array(pattern_ids: list[str], profile: str) -> Column:
+    """All match rows of a text, in pattern order, from its raw hit columns."""
     order = PROFILES[profile]
-    # the lower-cased text is its own projection, so it is computed once per row
-    staged = df.select(*id_cols, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
     arrays = [
-        _match_structs(
-            F.col("_text"), F.col("_low"), p, order.index(p) if p in order else 0, profile
-        )
-        for p in pattern_ids
+        _match_structs(p, order.index(p) if p in order else 0, profile) for p in pattern_ids
     ]
-    rows = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return staged.select(*id_cols, F.inline(rows))
+    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+
+
+def _inline_patterns(
+    df: DataFrame, text_col: str, id_cols: list[str], pattern_ids: list[str], profile: str
+) -> DataFrame:
+    hits = _hit_columns(df, id_cols, text_col, pattern_ids, profile)
+    # the expression itself, not a column of it: for a column Spark would add a filter
+    # on its size and push it down, computing every regex a second time
+    return hits.select(*id_cols, F.inline(_match_array(pattern_ids, profile)))
 
 
 def extract(
@@ -128,14 +174,10 @@ def line_matches(
     Keeps, per value, the first match in pattern order; no shuffle, so a stream can
     use it before its state.
     """
-    staged = df.select(*id_cols, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
-    arrays = [
-        _match_structs(F.col("_text"), F.col("_low"), p, i, profile)
-        for i, p in enumerate(PROFILES[profile])
-    ]
-    found = staged.select(*id_cols, F.concat(*arrays).alias("_m"))
-    values = F.transform("_m", lambda r: r["value"])
-    first = F.filter("_m", lambda r, i: F.array_position(values, r["value"]) == i + 1)
+    hits = _hit_columns(df, list(id_cols), text_col, PROFILES[profile], profile)
+    found = hits.select(*id_cols, _match_array(PROFILES[profile], profile).alias("_matches"))
+    values = F.transform("_matches", lambda r: r["value"])
+    first = F.filter("_matches", lambda r, i: F.array_position(values, r["value"]) == i + 1)
     return found.select(*id_cols, F.inline(first))
 
 
@@ -231,12 +273,19 @@ def mask_text(df: DataFrame, text_col: str = "line", profile: str = "demo") -> D
 
     An earlier pattern wins where two overlap (an e-mail inside an assignment).
     """
-    masked = F.col(text_col)
+    staged = _staged(df, df.columns, text_col).withColumn("masked", F.col("_text"))
     for pid in MASK_ORDER[profile]:
         p = PATTERNS[pid]
         regex, put = MASK_REGEX.get(pid, (p.regex, f"[{p.pii_type.upper()}]"))
-        masked = F.regexp_replace(masked, regex, put)
-    return df.withColumn("masked", masked)
+        # the tests look at the original text: a replacement puts in no character a
+        # pattern could use, so what can match later was there before
+        staged = staged.withColumn(
+            "masked",
+            F.when(_can_match(pid), F.regexp_replace("masked", regex, put)).otherwise(
+                F.col("masked")
+            ),
+        )
+    return staged.select(*df.columns, "masked")
 
 
 def mask_known(df: DataFrame, text_col: str = "line", labels_col: str = "labels") -> DataFrame:
@@ -269,12 +318,10 @@ def pii_rates(docs: DataFrame, by: tuple[str, ...] = ("source", "lang"), text_co
 
     The matches stay with their document row, so there is no join back.
     """
-    low = docs.select(*by, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
-    arrays = [
-        _match_structs(F.col("_text"), F.col("_low"), p, i, profile)
-        for i, p in enumerate(PROFILES[profile])
-    ]
-    rows = low.select(*by, F.posexplode_outer(F.concat(*arrays)).alias("pos", "m"))
+    hits = _hit_columns(docs, list(by), text_col, PROFILES[profile], profile)
+    rows = hits.select(
+        *by, F.posexplode_outer(_match_array(PROFILES[profile], profile)).alias("pos", "m")
+    )
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     return (
         rows.select(*by, "pos", F.col("m.value").alias("value"), first.alias("first"))

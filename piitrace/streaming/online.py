@@ -98,7 +98,7 @@ class EpisodeScorer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", HEAD)
         self.values = handle.getMapState("values", "value STRING", "marks STRING")
-        self.classes = handle.getMapState("classes", "cls STRING", "seen INT")
+        self.classes = handle.getMapState("classes", "line_class STRING", "seen INT")
         self.pending = handle.getMapState("pending", "step INT", "rows STRING")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
