@@ -56,7 +56,7 @@ def main() -> None:
     cases = {
         "extract_logs": lambda: extract.extract_pii(logs(), profile="demo"),
         "extract_documents": lambda: extract.extract_pii(
-            documents(), "text", ("doc_id",), (), "demo"),
+            documents(), "text", ("doc_id",), None, "demo"),
         "mask_documents": lambda: extract.mask_text(documents(), "text").select(
             "doc_id", "masked"),
         "pii_rates": lambda: extract.pii_rates(documents()),

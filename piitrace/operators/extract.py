@@ -181,17 +181,40 @@ def line_matches(
     return found.select(*id_cols, F.inline(first))
 
 
+# places of match_ord and of pattern_ord in the packed rank of a match
+_MATCH_PLACES, _PATTERN_PLACES = 10, 2
+
+
 def first_seen(
-    matches: DataFrame, scope: tuple[str, ...], order: tuple[str, ...] = ()
+    matches: DataFrame, scope: tuple[str, ...], order: str | None = None, profile: str = "demo"
 ) -> DataFrame:
     """One row per (scope, value): the first hit by (order, pattern, match) decides the type.
 
-    A minimum, so map tasks keep one row per value before the shuffle.
+    The three are packed into one number, whose minimum a hash aggregate can keep
+    (it could not keep the minimum of a struct and would sort all matches). Map
+    tasks thus send one row per value. ``order`` names a non-negative whole-number
+    column, such as the log id.
     """
-    rank = F.struct(*order, "pattern_ord", "match_ord", "pattern_id", "pii_type")
-    best = matches.groupBy(*scope, "value").agg(F.min(rank).alias("_first"))
-    return best.select(
-        *scope, "value", *[f"_first.{c}" for c in order], "_first.pattern_id", "_first.pii_type"
+    low = 10 ** (_MATCH_PLACES + _PATTERN_PLACES)
+    place = F.col("pattern_ord").cast("bigint") * 10**_MATCH_PLACES + F.col("match_ord")
+    if order is None:
+        rank, inner = place, F.col("_rank")
+    else:
+        whole = F.col(order).cast("decimal(19,0)") * F.lit(low).cast("decimal(13,0)")
+        rank = (whole + place.cast("decimal(12,0)")).cast("decimal(38,0)")
+        inner = (F.col("_rank") % F.lit(low).cast("decimal(13,0)")).cast("bigint")
+    best = matches.groupBy(*scope, "value").agg(F.min(rank).alias("_rank"))
+    staged = best.withColumn("_inner", inner)
+    ids = PROFILES[profile]
+    kinds = ["token" if p == "E11" else PATTERNS[p].pii_type for p in ids]
+    at = F.floor(F.col("_inner") / F.lit(10**_MATCH_PLACES)).cast("int")
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), at)
+    ordered = []
+    if order is not None:
+        outer = (F.col("_rank") - F.col("_inner")) / F.lit(low).cast("decimal(13,0)")
+        ordered = [outer.cast("bigint").alias(order)]
+    return staged.select(
+        *scope, "value", *ordered, pick(ids).alias("pattern_id"), pick(kinds).alias("pii_type")
     )
 
 
@@ -199,12 +222,12 @@ def extract_pii(
     df: DataFrame,
     text_col: str = "line",
     scope: tuple[str, ...] = ("scenario_id",),
-    order: tuple[str, ...] = ("log_id",),
+    order: str | None = "log_id",
     profile: str = "demo",
 ) -> DataFrame:
     """Full extractor over a group of texts: all patterns, then first-seen dedupe."""
-    found = all_matches(df, text_col, (*scope, *order), profile)
-    return first_seen(found, scope, order)
+    ids = scope if order is None else (*scope, order)
+    return first_seen(all_matches(df, text_col, ids, profile), scope, order, profile)
 
 
 def merge_discovered(
@@ -247,12 +270,13 @@ def decoy_hits(matches: DataFrame, log_pii: DataFrame) -> DataFrame:
     )
 
 
-def extractor_quality(matches: DataFrame, log_pii: DataFrame) -> DataFrame:
+def extractor_quality(matches: DataFrame, log_pii: DataFrame, profile: str = "demo"
+                      ) -> DataFrame:
     """TP / FP / FN per pattern and type; a missed label has pattern ``none``.
 
     A value several patterns find in one line counts for the first of them.
     """
-    found = first_seen(matches, ("log_id",))
+    found = first_seen(matches, ("log_id",), profile=profile)
     joined = found.join(_labelled(log_pii), ["log_id", "value"], "full_outer")
     hit, label = F.col("pattern_id").isNotNull(), F.col("label_type").isNotNull()
     return (

@@ -51,27 +51,28 @@ def mark_dups(matched: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
-def redact_items(matched: DataFrame) -> DataFrame:
-    """Matched items folded to one row per (episode, step, value) with their number."""
-    return matched.groupBy("episode_id", "scenario_id", "step", "original").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("in_truth").alias("in_truth"),
-        F.first("is_token").alias("is_token"),
-    )
+def fold_items(items: DataFrame) -> DataFrame:
+    """One row per (episode, step, value) with the number ``n`` of its items.
+
+    Done before the truth is joined, so a value listed without end is shuffled as
+    one row per map task.
+    """
+    return items.withColumn("original", F.coalesce("original", F.lit(""))).groupBy(
+        "episode_id", "scenario_id", "step", "original"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def redact_counts(matched: DataFrame) -> DataFrame:
+def redact_counts(folded: DataFrame) -> DataFrame:
     """Correct / false positive / duplicate counts and new secrets per step.
 
-    Items are folded per (episode, step, value) first; what the window then
-    orders is at most one row per step.
+    ``folded`` has one row per (episode, step, value) with ``n`` and the truth
+    flags; the window orders at most one row per step.
     """
-    items = redact_items(matched)
     first_step = F.min("step").over(Window.partitionBy("episode_id", "original"))
     right = F.col("in_truth")
     fresh = (right & (F.col("step") == F.col("first_step"))).cast("bigint")
     return (
-        items.withColumn("first_step", first_step)
+        folded.withColumn("first_step", first_step)
         .groupBy("episode_id", "step")
         .agg(
             F.sum(fresh).alias("correct"),

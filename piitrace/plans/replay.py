@@ -158,6 +158,34 @@ def log_classes(logs: DataFrame) -> DataFrame:
     ).agg(F.sum("h").alias("n_hidden"), F.sum(1 - F.col("h")).alias("n_surface"))
 
 
+def _keyed_classes(logs: DataFrame) -> DataFrame:
+    """Log classes by what brings them up: (scenario_id, kind, key, labels, n).
+
+    Surface classes are split into single values plus one row with their line
+    count, so an episode meets each surface value once, not once per class.
+    """
+    row = lambda kind, key, labels, n: F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), labels.alias("labels"), n.alias("n")
+    )
+    zero, blank = F.lit(0).cast("bigint"), F.lit("")
+    none = F.array().cast("array<struct<kind:string,key:string,labels:array<string>,n:bigint>>")
+    surface = F.concat(
+        F.array(row("scan", blank, F.array().cast("array<string>"), F.col("n_surface"))),
+        F.transform("labels", lambda v: row("scan", blank, F.array(v), zero)),
+    )
+    hidden = F.transform(
+        "labels", lambda v: row("value", v, F.col("labels"), F.col("n_hidden"))
+    )
+    rows = F.concat(
+        F.when(F.col("n_surface") > 0, surface).otherwise(none),
+        F.when(F.col("n_hidden") > 0, hidden).otherwise(none),
+    )
+    return (
+        log_classes(logs).select("scenario_id", F.inline(rows))
+        .groupBy("scenario_id", "kind", "key", "labels").agg(F.sum("n").alias("n"))
+    )
+
+
 def search_at(classified: DataFrame, edges: DataFrame) -> DataFrame:
     """First step at which an effective investigation searches for each value."""
     moves = classified.filter("inv_kind = 'effective'").select(
@@ -220,54 +248,35 @@ class Replay:
         Rows with a value say when it was discovered. Rows without one carry line
         counts: ``at`` 0 for surface lines, else the step that revealed them.
 
-        Surface classes are found through one key per scenario ("scan"), hidden
-        ones through the values searched for ("value"), in a single join; the log
-        classes are read once.
+        The log classes are read once and keyed two ways: under one key per
+        scenario ("scan") the distinct surface values and the number of surface
+        lines, under each value ("value") the hidden classes it occurs in. One join
+        with what each episode scans and searches for gives both.
         """
         scan_key = self.live.filter("step = 1").select(
-            *EPISODE, F.lit("scan").alias("kind"), F.lit("").alias("value"),
+            *EPISODE, F.lit("scan").alias("kind"), F.lit("").alias("key"),
             F.col("first_scan").alias("step"),
         )
         value_keys = search_at(self.live, self.edges).select(
-            *EPISODE, F.lit("value").alias("kind"), "value", "step"
-        )
-        key = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-        keyed = log_classes(self.logs).select(
-            "scenario_id", "labels", "n_hidden", "n_surface",
-            F.inline(
-                F.concat(
-                    F.when(F.col("n_surface") > 0, F.array(key("scan", F.lit("")))).otherwise(
-                        F.array().cast("array<struct<kind:string,value:string>>")
-                    ),
-                    F.when(
-                        F.col("n_hidden") > 0, F.transform("labels", lambda v: key("value", v))
-                    ).otherwise(F.array().cast("array<struct<kind:string,value:string>>")),
-                )
-            ),
+            *EPISODE, F.lit("value").alias("kind"), F.col("value").alias("key"), "step"
         )
-        scanned, searched = F.col("kind") == "scan", F.col("kind") == "value"
+        scanned = F.col("kind") == "scan"
         state = (
-            scan_key.unionByName(value_keys).join(keyed, ["scenario_id", "kind", "value"])
-            .groupBy(*EPISODE, "labels")
-            .agg(
-                F.min(F.when(searched, F.col("step"))).alias("revealed"),
-                F.max(F.when(searched, F.col("n_hidden"))).alias("n_hidden"),
-                F.min(F.when(scanned, F.col("step"))).alias("scanned"),
-                F.max(F.when(scanned, F.col("n_surface"))).alias("n_surface"),
-            )
+            scan_key.unionByName(value_keys)
+            .join(_keyed_classes(self.logs), ["scenario_id", "kind", "key"])
+            .groupBy(*EPISODE, "kind", "labels")
+            .agg(F.min("step").alias("step"), F.max("n").alias("n"))
         )
         row = lambda v, at, n: F.struct(
             v.alias("value"), at.cast("int").alias("at"), n.cast("bigint").alias("n_logs")
         )
-        no_value, first = F.lit(None).cast("string"), F.least("revealed", "scanned")
+        lines = row(
+            F.lit(None).cast("string"), F.when(scanned, 0).otherwise(F.col("step")), F.col("n")
+        )
         rows = F.concat(
-            F.array(
-                row(no_value, F.lit(0), F.col("n_surface")),
-                row(no_value, F.col("revealed"), F.col("n_hidden")),
-            ),
-            F.transform("labels", lambda v: row(v, first, F.lit(0))),
+            F.array(lines), F.transform("labels", lambda v: row(v, F.col("step"), F.lit(0)))
         )
-        rows = F.filter(rows, lambda r: r["at"].isNotNull() & r["n_logs"].isNotNull())
+        rows = F.filter(rows, lambda r: r["at"].isNotNull())
         log_step = F.when(F.col("value").isNull(), F.col("at"))
         return (
             state.select(*EPISODE, F.inline(rows))
@@ -290,16 +299,24 @@ class Replay:
         )
 
     @cached_property
-    def matched(self) -> DataFrame:
-        """Items of live redact steps with their truth flags."""
+    def items(self) -> DataFrame:
+        """Redaction items of live redact steps."""
         steps = self.live.filter("action_type = 'redact'").select(*EPISODE, "step")
-        return redaction.match_redactions(
-            self.redactions.join(steps, ["episode_id", "step"]), self.truth
-        )
+        return self.redactions.join(steps, ["episode_id", "step"])
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        """Items of live redact steps with their truth flags, one row per item."""
+        return redaction.match_redactions(self.items, self.truth)
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        """The same, one row per (episode, step, value) with the number of items."""
+        return redaction.match_redactions(redaction.fold_items(self.items), self.truth)
 
     @cached_property
     def redacted_at(self) -> DataFrame:
-        return redaction.redacted_at(self.matched)
+        return redaction.redacted_at(self.folded)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -326,7 +343,7 @@ class Replay:
         )
         added = ["new_logs", "surface_logs", "new_entities", "new_secrets", "new_true",
                  "correct", "false_positives", "duplicates", "secrets_redacted"]
-        counts = redaction.redact_counts(self.matched)
+        counts = redaction.redact_counts(self.folded)
         key = ["episode_id", "step"]
         steps = (
             self.live.join(found, key, "left")

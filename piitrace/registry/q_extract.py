@@ -52,7 +52,7 @@ def _demo(i):
 
 on_incident(
     "e24_first_seen",
-    lambda i: X.first_seen(_demo(i), ("scenario_id",), ("log_id",)).select(*FOUND),
+    lambda i: X.first_seen(_demo(i), ("scenario_id",), "log_id").select(*FOUND),
     f"SELECT {', '.join(FOUND)} FROM demo_found",
 )
 for _profile in ("demo", "server"):
@@ -64,7 +64,7 @@ for _profile in ("demo", "server"):
 add(
     "e25_extract_documents",
     lambda spark, folder: X.extract_pii(
-        table(spark, folder, "documents"), "text", ("doc_id",), (), "demo"
+        table(spark, folder, "documents"), "text", ("doc_id",), None, "demo"
     ).select("doc_id", "value", "pattern_id", "pii_type"),
     """SELECT doc_id, value, pattern_id, pii_type FROM (SELECT *, row_number() OVER (
       PARTITION BY doc_id, value ORDER BY pattern_ord, match_ord) AS rn FROM demo_doc_hits)

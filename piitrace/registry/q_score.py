@@ -24,7 +24,7 @@ on_replay(
     lambda r: R.mark_dups(r.matched).select("episode_id", "step", "pos", "original", "outcome"),
     "SELECT episode_id, step, pos, original, outcome FROM outcomes",
 )
-on_replay("r3_redact_counts", lambda r: R.redact_counts(r.matched), "SELECT * FROM red_counts")
+on_replay("r3_redact_counts", lambda r: R.redact_counts(r.folded), "SELECT * FROM red_counts")
 on_replay(
     "r4_redact_reward",
     lambda r: r.step_results.filter("action_type = 'redact'").select(
@@ -35,7 +35,7 @@ on_replay(
 
 def _coverage(r):
     counts = r.live.select("episode_id", "scenario_id", "step").join(
-        R.redact_counts(r.matched).select("episode_id", "step", "correct"),
+        R.redact_counts(r.folded).select("episode_id", "step", "correct"),
         ["episode_id", "step"], "left").fillna(0, subset=["correct"])
     return R.coverage(counts, r.totals).select("episode_id", "step", "redacted_total", "coverage")
 

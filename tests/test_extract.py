@@ -59,7 +59,7 @@ def test_matches_regex_loops(spark, folder, profile):
     rows = list(enumerate([*TRICKY, *lines, *texts]))
     df = spark.createDataFrame(rows, "id BIGINT, text STRING")
     got = {}
-    for r in extract.extract_pii(df, "text", ("id",), (), profile).collect():
+    for r in extract.extract_pii(df, "text", ("id",), None, profile).collect():
         got.setdefault(r.id, {})[r.value] = (r.pattern_id, r.pii_type)
     in_row = {}
     for r in extract.line_matches(df, "text", ("id",), profile).collect():
