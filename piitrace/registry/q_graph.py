@@ -131,29 +131,31 @@ on_incident(
     """SELECT * FROM truth t WHERE NOT EXISTS (SELECT 1 FROM log_pii p
       WHERE p.scenario_id = t.scenario_id AND p.value = t.value)""",
 )
+# what investigating ``src`` brings up, and the surface values
+STEP1 = """SELECT DISTINCT h.scenario_id, h.src, p.value FROM (
+    SELECT scenario_id, value AS src, value AS hit FROM log_pii
+    UNION SELECT scenario_id, src, dst FROM edges) h
+  JOIN log_pii q ON q.scenario_id = h.scenario_id AND q.value = h.hit
+  JOIN logs l ON l.log_id = q.log_id AND l.layer > 0
+  JOIN log_pii p ON p.log_id = l.log_id"""
+REACH0 = """SELECT DISTINCT p.scenario_id, p.value, 0 AS k FROM log_pii p JOIN logs l
+  ON l.log_id = p.log_id WHERE l.layer = 0"""
+
+
+def _rounds(n):
+    """One expression per round: what was known, and what it leads to."""
+    out = {"step1": STEP1, "reach0": REACH0}
+    for k in range(1, n + 1):
+        out[f"reach{k}"] = f"""SELECT scenario_id, value, min(k) AS k FROM (
+          SELECT * FROM reach{k - 1} UNION ALL SELECT s.scenario_id, s.value, {k}
+          FROM reach{k - 1} r JOIN step1 s ON s.scenario_id = r.scenario_id AND s.src = r.value)
+          GROUP BY ALL"""
+    return out
+
+
 on_incident(
     "d19_reachable", lambda i: policy.reachable(i.logs, i.edges),
-    """SELECT scenario_id, value, min(k) AS reached FROM reach GROUP BY ALL""",
-    step1="""SELECT DISTINCT h.scenario_id, h.src, p.value FROM (
-        SELECT scenario_id, value AS src, value AS hit FROM log_pii
-        UNION SELECT scenario_id, src, dst FROM edges) h
-      JOIN log_pii q ON q.scenario_id = h.scenario_id AND q.value = h.hit
-      JOIN logs l ON l.log_id = q.log_id AND l.layer > 0
-      JOIN log_pii p ON p.log_id = l.log_id""",
-    reach0="""SELECT DISTINCT p.scenario_id, p.value, 0 AS k FROM log_pii p JOIN logs l
-      ON l.log_id = p.log_id WHERE l.layer = 0""",
-    reach1="""SELECT scenario_id, value, min(k) AS k FROM (SELECT * FROM reach0 UNION ALL
-      SELECT s.scenario_id, s.value, 1 FROM reach0 r JOIN step1 s ON s.scenario_id = r.scenario_id
-      AND s.src = r.value) GROUP BY ALL""",
-    reach2="""SELECT scenario_id, value, min(k) AS k FROM (SELECT * FROM reach1 UNION ALL
-      SELECT s.scenario_id, s.value, 2 FROM reach1 r JOIN step1 s ON s.scenario_id = r.scenario_id
-      AND s.src = r.value) GROUP BY ALL""",
-    reach3="""SELECT scenario_id, value, min(k) AS k FROM (SELECT * FROM reach2 UNION ALL
-      SELECT s.scenario_id, s.value, 3 FROM reach2 r JOIN step1 s ON s.scenario_id = r.scenario_id
-      AND s.src = r.value) GROUP BY ALL""",
-    reach="""SELECT scenario_id, value, min(k) AS k FROM (SELECT * FROM reach3 UNION ALL
-      SELECT s.scenario_id, s.value, 4 FROM reach3 r JOIN step1 s ON s.scenario_id = r.scenario_id
-      AND s.src = r.value) GROUP BY ALL""",
+    "SELECT scenario_id, value, k AS reached FROM reach8", **_rounds(8),
 )
 on_replay(
     "d20_invalid_targets", W.invalid_targets,

@@ -149,8 +149,36 @@ on_replay(
       regexp_extract(value, 'success=(\w+)', 1) = 'true' AS success,
       regexp_extract(value, 'rewards=(\S*)', 1) AS rewards
       FROM trace WHERE value LIKE '[END]%'""", trace=_LINES)
-on_replay("a8_build_trace", lambda r: traces.build_trace(r.step_results).withColumns(
-    {"steps": F.to_json("steps"), "final_metrics": F.to_json("final_metrics")}))
+
+
+def _trace_text(r):
+    """Nested traces with each step as text, since SQL engines differ on nested output."""
+    entry = lambda s: F.concat_ws(
+        ":", s["step"].cast("string"), s["action"], F.coalesce(s["target"], F.lit("-")),
+        s["logs_visible"].cast("string"), s["entities_found"].cast("string"),
+        S.fixed(s["reward"], 3), F.coalesce(s["coverage"], F.lit("-")),
+        s["steps_remaining"].cast("string"))
+    return traces.build_trace(r.step_results).select(
+        "episode_id", "difficulty", "budget", "total_pii", "total_reward",
+        F.concat_ws("|", F.transform("steps", entry)).alias("steps"),
+        "final_metrics.total_score", "final_metrics.grade")
+
+
+on_replay(
+    "a8_build_trace", _trace_text,
+    f"""SELECT episode_id, difficulty, budget, total_pii,
+      round(list_sum(list(round_even(reward, 3) ORDER BY step)), 6) AS total_reward,
+      string_agg(step || ':' || upper(action_type) || ':' || CASE
+          WHEN action_type = 'investigate' THEN coalesce(target_entity, '-')
+          WHEN action_type = 'redact' THEN (correct + false_positives + duplicates) || ' items'
+          ELSE '-' END || ':' || visible_total || ':' || discovered_total || ':'
+        || printf('%.3f', reward) || ':' || CASE WHEN action_type = 'redact'
+          THEN redacted_total || '/' || total_pii ELSE '-' END || ':' || steps_remaining,
+        '|' ORDER BY step) AS steps,
+      round_even(arg_max(submit_score, step), 6) AS total_score,
+      {grade('arg_max(submit_score, step)')} AS grade
+      FROM results GROUP BY episode_id, difficulty, budget, total_pii""",
+)
 on_replay("a9_format_trace", lambda r: traces.format_trace(r.step_results),
           "SELECT * FROM trace", trace=_LINES)
 

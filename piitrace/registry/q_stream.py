@@ -65,7 +65,15 @@ add("x3_stream_counts_sliding", _counts("sliding", window="1 day", slide="12 hou
       - k * INTERVAL 12 HOUR AS w, pii_type FROM stream_hits, (VALUES (0), (1)) AS t(k)""",
                 "1 DAY"),
     stream_hits=_STREAM_HITS)
-add("x3_stream_counts_session", _counts("session", session_gap="2 hours"))
+add("x3_stream_counts_session", _counts("session", session_gap="2 hours"),
+    f"""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+      strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, pii_type,
+      count(*) AS hits FROM (SELECT ts, pii_type, sum(opens) OVER (PARTITION BY pii_type
+        ORDER BY ts) AS session FROM (SELECT ts, pii_type, CASE WHEN ts - lag(ts) OVER (
+          PARTITION BY pii_type ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens
+        FROM stream_hits)) GROUP BY pii_type, session
+      HAVING max(ts) + INTERVAL 2 HOUR <= {_CLOSED}""",
+    stream_hits=_STREAM_HITS)
 
 
 def _action_files(spark, folder):
