@@ -54,11 +54,12 @@ def mark_dups(matched: DataFrame) -> DataFrame:
 def fold_items(items: DataFrame) -> DataFrame:
     """One row per (episode, step, value) with the number ``n`` of its items.
 
-    Done before the truth is joined, so a value listed without end is shuffled as
-    one row per map task.
+    Done before anything is joined: a value listed without end is shuffled as one
+    row per map task, and no join feeds a grouping by its own keys, which would keep
+    Spark from splitting a hot key.
     """
     return items.withColumn("original", F.coalesce("original", F.lit(""))).groupBy(
-        "episode_id", "scenario_id", "step", "original"
+        "episode_id", "step", "original"
     ).agg(F.count(F.lit(1)).alias("n"))
 
 

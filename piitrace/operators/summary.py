@@ -87,9 +87,12 @@ def fallback_scores(ends: DataFrame) -> DataFrame:
     )
 
 
-def sorted_set(values: Column) -> Column:
-    """Aggregate: the distinct values as a sorted array. For groups known to be small."""
-    return F.array_sort(F.collect_set(values))
+def sorted_set(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """The distinct values per key in sorted order, as rows.
+
+    A range-partitioned sort: the list of a key may span many tasks.
+    """
+    return df.select(*keys, col).distinct().orderBy(*keys, col)
 
 
 def next_target(targets: DataFrame, keys: list[str], col: str = "value") -> DataFrame:

@@ -79,10 +79,12 @@ def greedy_batch(scenarios: DataFrame, logs: DataFrame, edges: DataFrame, honeyp
     budgets = scenarios.select("scenario_id", "budget")
     traps = honeypots.select("scenario_id", F.col("value").alias("target"))
     for step in range(2, max_budget - 1):
-        moves = (
-            state.filter("tried is null").join(budgets.filter(F.col("budget") >= step + 2),
-                                               "scenario_id")
-            .groupBy("scenario_id").agg(F.min("value").alias("target"))
+        # the minimum first: a join by the same key before it would tie a scenario to one task
+        smallest = state.filter("tried is null").groupBy("scenario_id").agg(
+            F.min("value").alias("target")
+        )
+        moves = smallest.join(
+            budgets.filter(F.col("budget") >= step + 2), "scenario_id", "left_semi"
         )
         moves = cut(moves, "moves")
         safe = moves.join(traps, ["scenario_id", "target"], "left_anti")

@@ -72,14 +72,15 @@ def steps_remaining(budget: Column, step: Column) -> Column:
     return F.greatest(F.lit(0), budget - step)
 
 
-def live_actions(actions: DataFrame, scenarios: DataFrame,
-                 max_budget: int = MAX_BUDGET) -> DataFrame:
+def live_actions(actions: DataFrame, scenarios: DataFrame, max_budget: int = MAX_BUDGET,
+                 extra: tuple[str, ...] = ()) -> DataFrame:
     """Actions up to the end of each episode, numbered, with budget and end flags.
 
     An episode ends at its first submit or when the budget is used up; later
     actions are errors and left out. No step past ``max_budget`` can be live, so
     map tasks keep that many rows per episode before the shuffle. A scenario with
-    a larger budget is refused rather than cut short.
+    a larger budget is refused rather than cut short. ``extra`` names further
+    scenario columns to carry along.
     """
     by_step = Window.partitionBy("episode_id").orderBy("step")
     top = (
@@ -98,7 +99,7 @@ def live_actions(actions: DataFrame, scenarios: DataFrame,
             "first_same": F.min("step").over(same),
         }
     )
-    facts = scenarios.select("scenario_id", "difficulty", "n_layers", "budget")
+    facts = scenarios.select("scenario_id", "difficulty", "n_layers", "budget", *extra)
     budget = F.when(
         F.col("budget") > max_budget, F.raise_error(F.lit("budget above max_budget"))
     ).otherwise(F.col("budget"))
@@ -238,7 +239,10 @@ class Replay:
     def live(self) -> DataFrame:
         """Live steps, at most ``budget`` rows per episode; written once because four
         branches of the plan start from them."""
-        steps = live_actions(self.actions, self.scenarios)
+        facts = self.scenarios.join(self.totals, "scenario_id", "left").fillna(
+            0, subset=["total_pii", "total_tokens"]
+        )
+        steps = live_actions(self.actions, facts, extra=("total_pii", "total_tokens"))
         return cut(classify_investigations(steps, self.honeypots), "live")
 
     @cached_property
@@ -298,21 +302,20 @@ class Replay:
             *EPISODE, F.col("target_entity").alias("value"), F.col("step").alias("investigated_at")
         )
 
-    @cached_property
-    def items(self) -> DataFrame:
-        """Redaction items of live redact steps."""
+    def _in_live_steps(self, items: DataFrame) -> DataFrame:
         steps = self.live.filter("action_type = 'redact'").select(*EPISODE, "step")
-        return self.redactions.join(steps, ["episode_id", "step"])
+        return items.join(steps, ["episode_id", "step"])
 
     @cached_property
     def matched(self) -> DataFrame:
         """Items of live redact steps with their truth flags, one row per item."""
-        return redaction.match_redactions(self.items, self.truth)
+        return redaction.match_redactions(self._in_live_steps(self.redactions), self.truth)
 
     @cached_property
     def folded(self) -> DataFrame:
         """The same, one row per (episode, step, value) with the number of items."""
-        return redaction.match_redactions(redaction.fold_items(self.items), self.truth)
+        folded = redaction.fold_items(self.redactions)
+        return redaction.match_redactions(self._in_live_steps(folded), self.truth)
 
     @cached_property
     def redacted_at(self) -> DataFrame:
@@ -348,8 +351,7 @@ class Replay:
         steps = (
             self.live.join(found, key, "left")
             .join(counts, key, "left")
-            .join(self.totals, "scenario_id", "left")
-            .fillna(0, subset=[*added, "total_pii", "total_tokens"])
+            .fillna(0, subset=added)
         )
         so_far = Window.partitionBy("episode_id").orderBy("step").rowsBetween(
             Window.unboundedPreceding, 0
@@ -504,21 +506,23 @@ def next_targets(replay: Replay) -> DataFrame:
     """Smallest target after each step: over all targets, and over those not redacted.
 
     A value is a target from its discovery until it is investigated; the span is
-    unrolled over at most ``budget`` steps and reduced with a map-side minimum.
+    unrolled over at most ``MAX_BUDGET`` steps, reduced with a map-side minimum, and
+    only then held against the steps that exist.
     """
-    ends = end_flags(replay.live).select("episode_id", "steps_used")
-    spans = entity_spans(replay).join(ends, "episode_id")
-    last = F.least(F.col("investigated_at") - 1, "steps_used")
-    rows = spans.withColumn("_last", last).filter("discovered_at <= _last").select(
+    last = F.least(F.col("investigated_at") - 1, F.lit(MAX_BUDGET))
+    rows = entity_spans(replay).withColumn("_last", last).filter("discovered_at <= _last").select(
         "episode_id", "value", "redacted_at",
         F.explode(F.sequence("discovered_at", "_last")).alias("step"),
     )
     open_ = F.col("redacted_at").isNull() | (F.col("redacted_at") > F.col("step"))
-    return rows.groupBy("episode_id", "step").agg(
+    smallest = rows.groupBy("episode_id", "step").agg(
         F.min("value").alias("next_target"),
         F.min(F.when(open_, F.col("value"))).alias("next_suggestion"),
         F.count(F.lit(1)).alias("n_targets"),
     )
+    return smallest.join(
+        replay.live.select("episode_id", "step"), ["episode_id", "step"], "left_semi"
+    )
 
 
 def invalid_targets(replay: Replay) -> DataFrame:

@@ -335,12 +335,10 @@ on_replay(
         CAST(printf('%.2f', {c01('reward')}) AS DOUBLE) AS rounded FROM results) GROUP BY episode_id
     """,
 )
-on_incident(
+on_replay(
     "g7_sorted_set",
-    lambda i: i.users.groupBy("scenario_id").agg(
-        F.concat_ws(",", M.sorted_set(c("email"))).alias("emails")),
-    """SELECT scenario_id, string_agg(email, ',' ORDER BY email) AS emails
-      FROM (SELECT DISTINCT scenario_id, email FROM people) GROUP BY ALL""",
+    lambda r: M.sorted_set(r.discovered_at, ["episode_id"], "value"),
+    "SELECT DISTINCT episode_id, value FROM disc ORDER BY ALL",
 )
 on_replay(
     "g8_next_target", lambda r: M.next_target(r.discovered_at, ["episode_id"]),

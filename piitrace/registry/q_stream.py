@@ -77,7 +77,8 @@ add("x3_stream_counts_session", _counts("session", session_gap="2 hours"),
 
 
 def _action_files(spark, folder):
-    """Recorded actions with their item lists as a folder of JSON files."""
+    """Recorded actions as a folder of JSON files. A record holds its own action's items,
+    a list the derived episodes keep below 40."""
     i = incident(spark, folder)
     lists = i.redactions.groupBy("episode_id", "step").agg(
         F.transform(

@@ -105,8 +105,11 @@ class EpisodeScorer(StatefulProcessor):
         head = self.head.get() if self.head.exists() else (0, ENV_EPS, False, None, 0, 0, 0, 0)
         head = dict(zip(["steps", "total", "done", "visible", "discovered", "true", "redacted",
                          "tokens"], head))
-        new = pd.concat(list(rows), ignore_index=True)
-        waiting = {int(s): part for s, part in new.groupby("step")}
+        parts = [part for part in rows if not head["done"]]
+        waiting = {}
+        if parts:
+            new = pd.concat(parts, ignore_index=True)
+            waiting = {int(s): part for s, part in new.groupby("step")}
         out = []
         while not head["done"]:
             step = head["steps"] + 1
@@ -245,11 +248,15 @@ def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> Dat
         .when(action == "redact", F.transform(
             "redactions", lambda r: pair("item", F.coalesce(r["original"], F.lit("")))))
     )
-    base = ["episode_id", "scenario_id", "step", "action_type", "target_entity"]
-    keyed = records.select(*base, F.posexplode_outer(keys).alias("pos", "k")).select(
+    base = ["episode_id", "scenario_id", "step", "action_type", "target_entity", "budget",
+            "total_pii", "total_tokens", "n_surface"]
+    # a step past the budget can never count; leaving it out here bounds what one
+    # episode can send to its state
+    live = records.join(facts, "scenario_id").filter(F.col("step") <= F.col("budget"))
+    keyed = live.select(*base, F.posexplode_outer(keys).alias("pos", "k")).select(
         *base, "pos", "k.kind", "k.key"
     )
-    joined = keyed.join(brings, ["scenario_id", "kind", "key"], "left").join(facts, "scenario_id")
+    joined = keyed.join(brings, ["scenario_id", "kind", "key"], "left")
     return joined.groupBy("episode_id").transformWithStateInPandas(
         EpisodeScorer(), outputStructType=RESULT, outputMode="append", timeMode="None"
     )

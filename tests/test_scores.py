@@ -141,7 +141,7 @@ def test_redact_rules(spark):
     got = {(r.episode_id, r.step): (r.correct, r.duplicates, r.false_positives,
                                     r.secrets_redacted)
            for r in redaction.redact_counts(redaction.match_redactions(
-               redaction.fold_items(red), truth)).collect()}
+               redaction.fold_items(red).withColumn("scenario_id", F.lit(1)), truth)).collect()}
     assert got == {(1, 1): (1, 1, 2, 1), (1, 2): (0, 1, 1, 0), (2, 1): (0, 0, 6, 0)}
     outcome = sorted(r.outcome for r in redaction.mark_dups(matched).collect())
     assert outcome.count("correct") == 1 and outcome.count("duplicate") == 2
