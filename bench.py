@@ -1,8 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The derived incident tables (users, logs, edges, truth) are written once and timed
-as ``ingest``; every other query is run in full into a no-op sink, the better of two
-runs counts. Replay queries build their step table anew on each run.
+The derived incident tables (users, logs, edges, truth) are written and timed as
+``ingest``; every query is run in full into a no-op sink; the better of two runs
+counts. Replay queries build their step table anew on each run.
 """
 
 from __future__ import annotations
@@ -43,9 +43,12 @@ def main() -> None:
         tables = Incident.load(spark, folder)
         return tables, (tables.users, tables.logs, tables.edges, tables.truth)
 
-    start = time.time()
-    tables, _ = ingest()
-    times = {"ingest": time.time() - start}
+    times = {}
+    for _ in range(2):
+        start = time.time()
+        tables, _parts = ingest()
+        spent = time.time() - start
+        times["ingest"] = min(spent, times.get("ingest", spent))
 
     # The sample files have one row group each, which is one task. Texts are spread
     # over the cores here, inside the timed run; on a cluster a table has many splits

@@ -8,8 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from piitrace import schemas
 
-# one line: timestamp text up to the end; scenario and layer come with the row
-TEXT_FORMATS = ("text", "json", "parquet")
+LOG_FORMATS = ("text", "json", "parquet")
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -19,7 +18,7 @@ def read_logs(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         return spark.read.text(path).withColumnRenamed("value", "line")
     if fmt in ("json", "parquet"):
         return spark.read.format(fmt).schema(schemas.LOG_LINES).load(path)
-    raise ValueError(f"fmt must be one of {TEXT_FORMATS}, not {fmt!r}")
+    raise ValueError(f"fmt must be one of {LOG_FORMATS}, not {fmt!r}")
 
 
 def parse_actions(lines: DataFrame, col: str = "value") -> DataFrame:
