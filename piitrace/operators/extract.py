@@ -64,7 +64,7 @@ def _gated(pattern_id: str, hits: Column) -> Column:
     return F.when(_can_match(pattern_id), hits).otherwise(_no_strings())
 
 
-def _raw_hits(pattern_id: str, profile: str) -> Column:
+def _raw_hits(pattern_id: str, profile: str, strict_padding: bool = True) -> Column:
     """All texts one pattern takes out of ``_text``, in order of appearance."""
     if pattern_id == "E11":
         found = F.flatten(
@@ -72,7 +72,7 @@ def _raw_hits(pattern_id: str, profile: str) -> Column:
                 _raw_hits("E10", profile),
                 lambda b: F.coalesce(
                     F.regexp_extract_all(
-                        entities.b64_decode(b), F.lit(BLOB_SECRET[profile]), F.lit(1)
+                        entities.b64_decode(b, strict_padding), F.lit(BLOB_SECRET[profile]), F.lit(1)
                     ),
                     _no_strings(),
                 ),
@@ -108,7 +108,8 @@ def _match_structs(pattern_id: str, pattern_ord: int, profile: str) -> Column:
 
 
 def _hit_columns(
-    df: DataFrame, keep: list[str], text_col: str, pattern_ids: list[str], profile: str
+    df: DataFrame, keep: list[str], text_col: str, pattern_ids: list[str], profile: str,
+    strict_padding: bool = True,
 ) -> DataFrame:
     """``keep`` and one array column of raw hits per pattern.
 
@@ -116,7 +117,8 @@ def _hit_columns(
     rows (lambdas, which are interpreted) then only sees the texts with a hit.
     """
     return _staged(df, keep, text_col).select(
-        *keep, *[_raw_hits(p, profile).alias(f"_hits_{p}") for p in pattern_ids]
+        *keep,
+        *[_raw_hits(p, profile, strict_padding).alias(f"_hits_{p}") for p in pattern_ids],
     )
 
 
@@ -130,9 +132,10 @@ def _match_array(pattern_ids: list[str], profile: str) -> Column:
 
 
 def _inline_patterns(
-    df: DataFrame, text_col: str, id_cols: list[str], pattern_ids: list[str], profile: str
+    df: DataFrame, text_col: str, id_cols: list[str], pattern_ids: list[str], profile: str,
+    strict_padding: bool = True,
 ) -> DataFrame:
-    hits = _hit_columns(df, id_cols, text_col, pattern_ids, profile)
+    hits = _hit_columns(df, id_cols, text_col, pattern_ids, profile, strict_padding)
     # the expression itself, not a column of it: for a column Spark would add a filter
     # on its size and push it down, computing every regex a second time
     return hits.select(*id_cols, F.inline(_match_array(pattern_ids, profile)))
@@ -144,9 +147,14 @@ def extract(
     text_col: str = "line",
     id_cols: tuple[str, ...] = ("log_id",),
     profile: str = "demo",
+    strict_padding: bool = True,
 ) -> DataFrame:
-    """Matches of one pattern: ids, pattern_id, pattern_ord, match_ord, pii_type, value."""
-    return _inline_patterns(df, text_col, list(id_cols), [pattern_id], profile)
+    """Matches of one pattern: ids, pattern_id, pattern_ord, match_ord, pii_type, value.
+
+    ``strict_padding=False`` also decodes base64 blobs that lost their padding (the blob
+    pattern drops it), which strict decoding refuses.
+    """
+    return _inline_patterns(df, text_col, list(id_cols), [pattern_id], profile, strict_padding)
 
 
 def extract_tokens(
@@ -159,10 +167,12 @@ def extract_tokens(
 
 def all_matches(
     df: DataFrame, text_col: str = "line", id_cols: tuple[str, ...] = ("log_id",),
-    profile: str = "demo",
+    profile: str = "demo", strict_padding: bool = True,
 ) -> DataFrame:
     """Every match of every pattern of the profile, before any dedupe."""
-    return _inline_patterns(df, text_col, list(id_cols), PROFILES[profile], profile)
+    return _inline_patterns(
+        df, text_col, list(id_cols), PROFILES[profile], profile, strict_padding
+    )
 
 
 def line_matches(
@@ -224,10 +234,12 @@ def extract_pii(
     scope: tuple[str, ...] = ("scenario_id",),
     order: str | None = "log_id",
     profile: str = "demo",
+    strict_padding: bool = True,
 ) -> DataFrame:
     """Full extractor over a group of texts: all patterns, then first-seen dedupe."""
     ids = scope if order is None else (*scope, order)
-    return first_seen(all_matches(df, text_col, ids, profile), scope, order, profile)
+    found = all_matches(df, text_col, ids, profile, strict_padding)
+    return first_seen(found, scope, order, profile)
 
 
 def merge_discovered(

@@ -63,16 +63,19 @@ def fixed(x: str, places: int) -> str:
     return f"printf('%.{places}f', {x})"
 
 
-def hits(pid: str, order: int, source: str, keys: str, text: str, profile: str) -> str:
+def hits(pid: str, order: int, source: str, keys: str, text: str, profile: str,
+         strict: bool = True) -> str:
     """Matches of one pattern as rows."""
     if pid == "E11":
+        whole = "CASE WHEN length(b) % 4 = 0 THEN b END" if strict else (
+            "rpad(rtrim(b, '='), CAST(ceil(length(rtrim(b, '=')) / 4) * 4 AS INT), '=')")
         return f"""
         SELECT {keys}, 'E11' AS pattern_id, {order} AS pattern_ord,
           CAST(row_number() OVER (PARTITION BY {keys} ORDER BY bi, si) - 1 AS INT) AS match_ord,
           'token' AS pii_type, v AS value
         FROM (SELECT {keys}, bi, unnest(m) AS v, generate_subscripts(m, 1) AS si FROM (
           SELECT {keys}, bi, regexp_extract_all(
-            try(decode(from_base64(CASE WHEN length(b) % 4 = 0 THEN b END))),
+            try(decode(from_base64({whole}))),
             {lit(BLOB_SECRET[profile])}, 1) AS m
           FROM (SELECT {keys}, unnest(bs) AS b, generate_subscripts(bs, 1) AS bi FROM (
             SELECT {keys}, regexp_extract_all({text}, {lit(PATTERNS['E10'].regex)}, 1) AS bs

@@ -36,6 +36,12 @@ for _pid, _name in NAMES.items():
             f"SELECT {', '.join(SHOW)} FROM ({hits(_pid, 0, 'corpus', 'src, id', 'text', _profile)})",
         )
 
+add(
+    "e11_decoded_secret_repaired",
+    lambda spark, folder: X.extract(
+        corpus(spark, folder), "E11", "text", ID, strict_padding=False).select(*SHOW),
+    f"SELECT {', '.join(SHOW)} FROM ({hits('E11', 0, 'corpus', 'src, id', 'text', 'demo', False)})",
+)
 add(
     "e23_token_patterns",
     lambda spark, folder: X.extract_tokens(corpus(spark, folder), "text", ID).select(*SHOW),

@@ -118,10 +118,12 @@ def test_base64_strictness(spark):
     def found(token, strict_only=True):
         line = one(spark, lambda c: F.concat(F.lit("b64="), entities.b64(c)), f"token={token}")
         df = spark.createDataFrame([(1, line)], "log_id BIGINT, line STRING")
-        return [r.value for r in extract.extract(df, "E11").collect()]
+        found = extract.extract(df, "E11", strict_padding=strict_only)
+        return [r.value for r in found.collect()]
 
     hf, stripe = "hf_" + "a" * 30, "sk_live_" + "b" * 24
     assert found(hf) == [hf] and found(stripe) == []
+    assert found(stripe, False) == [stripe] and found(hf, False) == [hf]
     repaired = one(spark, lambda c: entities.b64_decode(F.rtrim(entities.b64(c), F.lit("=")),
                                                         strict=False), f"token={stripe}")
     assert repaired == f"token={stripe}"
