@@ -26,9 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words whose ids a Python worker remembers; beyond it words are encoded anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 400_000
 #: The same for chunks.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 250_000
 #: Marks that the split patterns leave alone when they follow a word.
 MARKS = frozenset(".,;:!?")
 #: Chunks whose ids are gathered at a time.
