@@ -1,8 +1,8 @@
 """Text likelihood under a unigram model of subwords, summed over all segmentations.
 
 The pieces are those of an existing vocabulary. Its scores give every piece a starting
-weight; one round of expectation over all distinct training words, each weighted by its count,
-turns them into probabilities. A text is its words in order, then one end. Pieces never cross
+weight; rounds of expectation over all distinct training words, each weighted by its count,
+turn them into probabilities. A text is its words in order, then one end. Pieces never cross
 a word's edge, so the probability of a text over all segmentations is the product of those
 of its words; a word's is found by the forward recursion in log space. Letters that no
 piece covers are spelt with byte pieces, so every text has a probability above zero.
@@ -37,6 +37,8 @@ from piitrace.session import cut
 
 #: Most words whose scores are sent to every task.
 HEAD = 1 << 18
+#: Rounds of expectation over the distinct training words.
+ROUNDS = 2
 #: Added to every expected piece count.
 SMOOTH = 0.1
 _LN10 = math.log(10)
@@ -188,10 +190,17 @@ def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
 
 def learn(words: DataFrame, model: str, ends: int) -> np.ndarray:
     """Log probability of each piece, the end last, from ``words`` and the number of ends."""
-    start = pieces_of(model).ranked
+    logp = pieces_of(model).ranked
+    for _ in range(ROUNDS):
+        logp = _round(words, model, ends, logp)
+    return logp
+
+
+def _round(words: DataFrame, model: str, ends: int, start: np.ndarray) -> np.ndarray:
+    shared = words.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logp = pieces_of(model), start.tolist()
+        pieces, logp = pieces_of(model), shared.value.tolist()
         total = np.zeros(pieces.end + 1)
         for batch in batches:
             total += expected_counts(pieces, logp, batch.column(0).to_pylist(),
@@ -202,12 +211,12 @@ def learn(words: DataFrame, model: str, ends: int) -> np.ndarray:
     sums = words.where("count > 0").select("word", "count").mapInArrow(
         run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = pieces_of(model)
-    total = np.where(np.isfinite(start), SMOOTH, 0.0)
+    total = np.where(np.isfinite(pieces.ranked), SMOOTH, 0.0)
     total[pieces.end] = ends + SMOOTH
     rows = sums.collect()  # at most one row per piece of the vocabulary
     if not rows:
-        weights = np.exp(start)
-        weights[pieces.end] = weights[np.isfinite(start)].max()
+        weights = np.exp(pieces.ranked)
+        weights[pieces.end] = weights.max()
         return np.log(weights / weights.sum(), out=np.full(len(weights), -np.inf), where=weights > 0)
     for r in rows:
         total[r.piece] += r.n

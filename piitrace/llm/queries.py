@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piitrace.llm import packing, token_files
+from piitrace.llm import bpe_trie, langid, lattice_lm, licenses, packing, token_files
 from piitrace.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,27 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op3_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_trie.encode(table(spark, folder, "documents"), vocabulary)
+    return bpe_trie.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", c("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _rest(key: str, n: int) -> F.Column:
+    """crc32 of a key written out, modulo n; null for a null key."""
+    return F.crc32(c(key).cast("string").cast("binary")) % n
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(_rest("doc_id", 4) == 2, F.lit(False)))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write(table(spark, folder, "documents"), path,
@@ -34,5 +55,31 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {"op1_pack": op1_pack, "op7_token_files": op7_token_files}
+def op9_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn(
+        "train", F.coalesce(_rest("doc_id", 7) != 2, F.lit(True)))
+    scored = lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), "train")
+    return scored.select("doc_id", F.coalesce(_rest("doc_id", 7) == 2, F.lit(False)).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.find(table(spark, folder, "documents"))
+    listed = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    spans = F.transform("spans", lambda s: s["label"])
+    best = F.array_max(F.transform("spans", lambda s: s["coverage"]))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", listed(c("base")).alias("base_labels"),
+        listed(F.concat("base", spans)).alias("labels"),
+        F.when(c("n_base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_pack": op1_pack,
+    "op3_bpe_trie": op3_bpe_trie,
+    "op4_language": op4_language,
+    "op7_token_files": op7_token_files,
+    "op9_lattice": op9_lattice,
+    "op10_licenses": op10_licenses,
+}
 ORACLES: dict[str, str] = {}
