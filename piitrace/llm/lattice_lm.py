@@ -1,11 +1,15 @@
 """Text likelihood under a unigram model of subwords, summed over all segmentations.
 
 The pieces are those of an existing vocabulary. Its scores give every piece a starting
-weight; rounds of expectation over all distinct training words, each weighted by its count,
-turn them into probabilities. A text is its words in order, then one end. Pieces never cross
-a word's edge, so the probability of a text over all segmentations is the product of those
-of its words; a word's is found by the forward recursion in log space. Letters that no
-piece covers are spelt with byte pieces, so every text has a probability above zero.
+weight; rounds of expectation over all distinct training words turn them into probabilities.
+A text is its words in order, then one end. Pieces never cross a word's edge, so the
+probability of a text over all segmentations is the product of those of its words; a word's
+is found by the forward recursion in log space. Letters that no piece covers are spelt with
+byte pieces, so every text has a probability above zero.
+
+The lattice of a word that training saw has one more edge from its first letter to its
+last, the word itself with its relative frequency. The share of training words that were seen
+once is the weight of all other segmentations: what a new word may expect.
 
 A word is scored once for the whole corpus:
 
@@ -19,7 +23,8 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
 
 Defined results: null and empty texts are one end; repeated rows and null or equal keys are texts of
 their own; rows whose ``train`` is null or false are not learnt from; with nothing to learn
-from, pieces keep their starting weights; an empty table gives no rows.
+from, pieces keep their starting weights and an end has the probability 1/2; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -62,7 +67,7 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.bytes = [-1] * 256
-        scores = np.full(model.get_piece_size() + 1, -np.inf)
+        scores = np.full(model.get_piece_size(), -np.inf)
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -72,7 +77,6 @@ class Pieces:
             else:
                 continue
             scores[i] = model.get_score(i)
-        self.end = len(scores) - 1
         self.longest = max(map(len, self.ids))
         # Scores of merge vocabularies are falling ranks: the weight of rank r is 1 / (r + 1).
         # Scores that are log probabilities are taken as they are.
@@ -130,12 +134,11 @@ def word_logs(pieces: Pieces, logp: list[float], words: list[str]) -> list[float
     return out
 
 
-def expected_counts(pieces: Pieces, logp: list[float], words: list[str], counts: list[int]
-                    ) -> np.ndarray:
-    """Expected uses of each piece in all segmentations of the words, times their counts."""
-    total = [0.0] * (pieces.end + 1)
+def expected_counts(pieces: Pieces, logp: list[float], words: list[str]) -> np.ndarray:
+    """Expected uses of each piece in all segmentations of the words."""
+    total = [0.0] * len(logp)
     exp = math.exp
-    for word, n in zip(words, counts, strict=True):
+    for word in words:
         word = "▁" + word
         size = len(word)
         edges, forward = [()], [0.0]
@@ -144,7 +147,7 @@ def expected_counts(pieces: Pieces, logp: list[float], words: list[str], counts:
             edges.append(here)
             forward.append(_sum_logs([forward[b] + lp for b, _, lp in here]))
         # Backward: the posterior of reaching a letter is shared among the edges into it.
-        reach = [0.0] * size + [float(n)]
+        reach = [0.0] * size + [1.0]
         for end in range(size, 0, -1):
             mass = reach[end]
             if mass == 0.0:
@@ -188,49 +191,52 @@ def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
     return per_batch.groupBy("word").agg(F.sum("count").alias("count"), F.sum("uses").alias("uses"))
 
 
-def learn(words: DataFrame, model: str, ends: int) -> np.ndarray:
-    """Log probability of each piece, the end last, from ``words`` and the number of ends."""
+def learn(words: DataFrame, model: str) -> np.ndarray:
+    """Log probability of each piece from the training words among ``words``, each once."""
     logp = pieces_of(model).ranked
     for _ in range(ROUNDS):
-        logp = _round(words, model, ends, logp)
+        logp = _round(words, model, logp)
     return logp
 
 
-def _round(words: DataFrame, model: str, ends: int, start: np.ndarray) -> np.ndarray:
+def _round(words: DataFrame, model: str, start: np.ndarray) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, logp = pieces_of(model), shared.value.tolist()
-        total = np.zeros(pieces.end + 1)
+        total = np.zeros(len(logp))
         for batch in batches:
-            total += expected_counts(pieces, logp, batch.column(0).to_pylist(),
-                                     batch.column(1).to_pylist())
+            total += expected_counts(pieces, logp, batch.column(0).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-    sums = words.where("count > 0").select("word", "count").mapInArrow(
+    sums = words.where("count > 0").select("word").mapInArrow(
         run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = pieces_of(model)
-    total = np.where(np.isfinite(pieces.ranked), SMOOTH, 0.0)
-    total[pieces.end] = ends + SMOOTH
     rows = sums.collect()  # at most one row per piece of the vocabulary
     if not rows:
-        weights = np.exp(pieces.ranked)
-        weights[pieces.end] = weights.max()
-        return np.log(weights / weights.sum(), out=np.full(len(weights), -np.inf), where=weights > 0)
+        return start
+    total = np.where(np.isfinite(start), SMOOTH, 0.0)
     for r in rows:
         total[r.piece] += r.n
     return np.log(total / total.sum(), out=np.full(len(total), -np.inf), where=total > 0)
 
 
-def score_words(words: DataFrame, model: str, logp: np.ndarray) -> DataFrame:
-    """``words`` with ``log10p``, the log10 probability of each word."""
+def score_words(words: DataFrame, model: str, logp: np.ndarray, tokens: int, once: int, ends: int
+                ) -> DataFrame:
+    """``words`` with ``log10p``, the log10 probability of each word. ``tokens`` counts training
+    words, ``once`` those seen once, ``ends`` the training texts."""
     shared = words.sparkSession.sparkContext.broadcast(logp)
+    new = max(once, 1) / tokens if tokens else 1.0
+    inside = math.log(tokens / (tokens + ends)) if tokens else math.log(0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, values = pieces_of(model), shared.value.tolist()
         for batch in batches:
-            logs = np.array(word_logs(pieces, values, batch.column(0).to_pylist())) / _LN10
+            logs = np.array(word_logs(pieces, values, batch.column(0).to_pylist())) + math.log(new)
+            count = batch.column(1).to_numpy()
+            with np.errstate(divide="ignore"):
+                whole = np.log((1 - new) * count / max(tokens, 1))
+            logs = (np.logaddexp(logs, whole) + inside) / _LN10
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())],
                                              names=["word", "count", "uses", "log10p"])
 
@@ -320,13 +326,13 @@ def score(docs: DataFrame, model: str, train: str, key: str = "doc_id", text: st
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"),
                        docs[train].alias("train"))
     counted = cut(count_words(docs, "text", "train"), "lm-counts")
-    totals = counted.agg(F.coalesce(F.sum("count"), F.lit(0)),
-                         F.coalesce(F.sum((F.col("count") > 0).cast("long")), F.lit(0))).first()
+    seen = F.col("count") > 0
+    tokens, distinct, once = (x or 0 for x in counted.agg(
+        F.sum("count"), F.sum(seen.cast("long")), F.sum((F.col("count") == 1).cast("long"))).first())
     ends = docs.where("train").count()
-    logp = learn(counted, model, ends)
-    words = cut(score_words(counted, model, logp), "lm-words")
-    tokens, distinct = totals[0] + ends, totals[1] + (1 if ends else 0)
-    scored = score_texts(docs, words, "key", "text", tokens, distinct, ends,
-                         float(logp[-1]) / _LN10)
-    return scored.withColumn("train_tokens", F.lit(int(tokens)).cast("long")).withColumnRenamed(
-        "key", key)
+    words = cut(score_words(counted, model, learn(counted, model), tokens, once, ends), "lm-words")
+    end_log10p = math.log10(ends / (tokens + ends)) if ends else math.log10(0.5)
+    scored = score_texts(docs, words, "key", "text", tokens + ends, distinct + (1 if ends else 0),
+                         ends, end_log10p)
+    return scored.withColumn("train_tokens", F.lit(int(tokens + ends)).cast("long")
+                             ).withColumnRenamed("key", key)
