@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piitrace.llm import bpe_trie, langid, lattice_lm, licenses, packing, token_files
+from piitrace.llm import bpe_trie, jaccard_join, langid, lattice_lm, licenses, packing, token_files
 from piitrace.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,35 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, folder, "documents"))
+
+
+#: All pairs of documents by their shingles, and everything a chain of links reaches.
+OP6_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+starts AS (
+  SELECT doc_id, w, unnest(range(1, CASE len(w) WHEN 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS i
+  FROM words),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write(table(spark, folder, "documents"), path,
@@ -78,8 +107,9 @@ QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op3_bpe_trie": op3_bpe_trie,
     "op4_language": op4_language,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op9_lattice": op9_lattice,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL}
