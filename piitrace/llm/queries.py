@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piitrace.llm import bpe_trie, jaccard_join, langid, lattice_lm, licenses, packing, token_files
+from piitrace.llm import (
+    ann,
+    bpe_trie,
+    jaccard_join,
+    langid,
+    lattice_lm,
+    licenses,
+    packing,
+    token_files,
+    vector_dedup,
+)
 from piitrace.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +36,10 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op2_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), c("vec_id") % 20 == 0)
+
+
 def op3_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe_trie.encode(table(spark, folder, "documents"), vocabulary)
@@ -47,6 +61,28 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+#: All pairs of vectors, and everything a chain of links reaches.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id,
+       r.vec_id = min(other) AS kept
+FROM reach r LEFT JOIN counted ON a = r.vec_id GROUP BY r.vec_id
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.groups(table(spark, folder, "documents"))
 
@@ -105,11 +141,13 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
+    "op2_collision_search": op2_collision_search,
     "op3_bpe_trie": op3_bpe_trie,
     "op4_language": op4_language,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op9_lattice": op9_lattice,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_vector_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL}
