@@ -1,10 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, repeated lines, near duplicates, packing.
+
+Every stage takes what the one before kept, and all but the last return the columns of
+``documents``. ``run`` writes each stage's rows to the shared folder and goes on from there, as a
+driver of the stages does.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from piitrace.llm import jaccard_join, langid, line_dedup, packing
+from piitrace.session import cut
+
+#: Least share of a text's n-grams that some language knows.
+LEAST_SCORE = 0.05
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those whose n-grams no learnt language knows.
+
+    Without any labelled text nothing is known, and nothing is dropped.
+    """
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    told = langid.identify(docs, model)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeated runs of lines; a text of which nothing is left goes."""
+    out = line_dedup.dedup(docs)
+    gone = (F.col("n_removed") > 0) & (F.trim("text", F.lit(" \t\n\x0b\f\r")) == "")
+    out = out.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    return jaccard_join.one_of_each_group(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 4096 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
 
-STAGES = []
+STAGES = [
+    ("language", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("near_copies", without_near_copies),
+    ("packing", packed),
+]
 #: SQL cannot state the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
@@ -12,6 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -475,3 +475,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     loose = members.where(c(key).isNull()).select(
         c(key).alias("key"), "n_shingles", c(key).alias("component_id"))
     return out.unionByName(alone).unionByName(loose).withColumnRenamed("key", key)
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of linked documents the one with the smallest
+    key, of rows with equal keys one, and all rows with a null key or without words."""
+    c = F.col
+    lost = groups(docs, key, text).where(f"{key} <> component_id").select(c(key).alias("__key"))
+    kept = docs.join(lost, c(key).eqNullSafe(c("__key")), "left_anti")
+    again = kept.where(c(key).isNotNull()).groupBy(c(key).alias("__key")).count().where(
+        "count > 1").select("__key")
+    once = kept.join(again, c(key) == c("__key"), "left_anti")
+    several = kept.join(again, c(key) == c("__key"), "left_semi")
+    return once.unionByName(several.dropDuplicates([key]))

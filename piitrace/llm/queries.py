@@ -15,6 +15,7 @@ from piitrace.llm import (
     langid,
     lattice_lm,
     licenses,
+    line_dedup,
     packing,
     token_files,
     vector_dedup,
@@ -120,6 +121,11 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_lattice(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn(
         "train", F.coalesce(_rest("doc_id", 7) != 2, F.lit(True)))
@@ -147,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op5_vector_dedup": op5_vector_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
+    "op8_line_dedup": op8_line_dedup,
     "op9_lattice": op9_lattice,
     "op10_licenses": op10_licenses,
 }
