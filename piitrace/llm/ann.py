@@ -127,11 +127,11 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     """For each row of ``df`` where ``queries`` holds, its ``k`` nearest other rows: ``query_id``,
     ``rank`` from 1, ``key`` and ``score``."""
     c = F.col
-    marked = df.withColumn("__query", F.coalesce(queries, F.lit(False)))
-    both = packed(marked.select(F.struct(c(key).cast("long").alias("key"), "__query").alias("__key"),
-                                c(vector).alias("__vec")), "__key", "__vec")
+    both = packed(df.select(
+        F.struct(df[key].cast("long").alias("key"), F.coalesce(queries, F.lit(False)).alias("query")
+                 ).alias("key"), df[vector].alias("vec")), "key", "vec")
     rows = cut(both.where("vec is not null and key.key is not null").select(
-        "row", "key.key", c("key.__query").alias("query"), "vec"), "vectors")
+        "row", "key.key", c("key.query").alias("query"), "vec"), "vectors")
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

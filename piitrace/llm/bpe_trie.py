@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from piitrace.llm.encode import Encoder, encoder
 
 #: Seams between two tokens that a Python worker remembers.
-MEMO_SEAMS = 1_000_000
+MEMO_SEAMS = 300_000
 #: Rank of a merge that never comes.
 NEVER = 1 << 60
 
@@ -138,9 +138,10 @@ class TrieEncoder(Encoder):
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
+           decoded: bool = False) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every text, special tokens written out in a text
-    included."""
+    included; if asked for, also what the ids decode to, without another pass over them."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +151,22 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             for ids in enc.batch(batch.column(1)):
                 held.append(ids)
                 count += len(ids)
-                if count > 1 << 20:
-                    yield _lists(batch.column(0).slice(at, len(held)), held)
+                if count > 1 << 19:
+                    yield rows(batch.column(0).slice(at, len(held)), held)
                     at, held, count = at + len(held), [], 0
             if held:
-                yield _lists(batch.column(0).slice(at, len(held)), held)
+                yield rows(batch.column(0).slice(at, len(held)), held)
+
+    def rows(keys: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+        out = _lists(keys, held)
+        if not decoded:
+            return out
+        texts = map(encoder(tokenizer, TrieEncoder).decode, (ids.tolist() for ids in held))
+        return out.append_column("decoded", pa.array(texts, pa.string()))
 
     chosen = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    schema = f"key {kind}, ids array<int>" + ", decoded string" * decoded
+    return chosen.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def _lists(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:

@@ -28,9 +28,11 @@ import pyarrow.compute as pc
 #: Distinct words whose ids a Python worker remembers; beyond it words are encoded anew.
 MEMO_WORDS = 400_000
 #: The same for chunks.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 200_000
 #: Marks that the split patterns leave alone when they follow a word.
 MARKS = frozenset(".,;:!?")
+#: Bytes of text whose chunks are told apart at a time; a longer text is a part of its own.
+PART = 12 << 20
 #: Chunks whose ids are gathered at a time.
 GATHER = 400_000
 
@@ -159,7 +161,15 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in turn."""
-        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + PART, "right")))
+            yield from self._part(pc.fill_null(texts.slice(begin, stop - begin), ""))
+            begin = stop
+
+    def _part(self, texts: pa.Array) -> Iterator[np.ndarray]:
         odd = {}
         if self.spaced:
             mask = pc.match_substring_regex(texts, self.whole)

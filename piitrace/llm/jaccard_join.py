@@ -481,10 +481,10 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """The rows of ``docs`` that stay: of each group of linked documents the one with the smallest
     key, of rows with equal keys one, and all rows with a null key or without words."""
     c = F.col
-    lost = groups(docs, key, text).where(f"{key} <> component_id").select(c(key).alias("__key"))
-    kept = docs.join(lost, c(key).eqNullSafe(c("__key")), "left_anti")
-    again = kept.where(c(key).isNotNull()).groupBy(c(key).alias("__key")).count().where(
-        "count > 1").select("__key")
-    once = kept.join(again, c(key) == c("__key"), "left_anti")
-    several = kept.join(again, c(key) == c("__key"), "left_semi")
-    return once.unionByName(several.dropDuplicates([key]))
+    lost = groups(docs, key, text).where(c(key) != c("component_id")).select(c(key).alias("lost"))
+    rows = docs.select(docs[key].alias("key"), F.struct(*docs.columns).alias("doc"))
+    kept = rows.join(lost, c("key") == c("lost"), "left_anti")
+    again = kept.groupBy("key").count().where("count > 1 and key is not null").select("key")
+    once = kept.join(again, "key", "left_anti")
+    several = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return once.select("doc.*").unionByName(several.select("doc.*"))

@@ -15,8 +15,7 @@ stands anywhere before is left, and each deleted line has an equal one that stay
 Lines are equal if they are after lower-casing A-Z; empty lines do not count and stay.
 
 Defined results: null and empty texts stay as they are; of repeated rows the first keeps its lines
-(rows are numbered by their place in the input, which must be a table or as repeatable); null
-keys come first; lines of any length are whole; an empty table gives no rows.
+(rows are numbered by their place in the input); null keys come first; lines of any length are whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,27 +198,27 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
           ) -> DataFrame:
     """``docs`` with the text less its later repeated runs, ``n_lines`` (not empty, before) and
     ``n_removed``. Columns of these two names are replaced."""
-    c = F.col
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    lines = cut(_lines(numbered.select(c("__row").alias("row"), c(key).alias("key"),
-                                       c(text).alias("text"))), "lines")
+    # Written once: a second reading of the input might number its rows in another way.
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"),
+                               F.struct(*names).alias("doc")), "documents")
+    lines = cut(_lines(numbered.select("row", F.col("doc")[key].alias("key"),
+                                       F.col("doc")[text].alias("text"))), "lines")
     while True:
         runs = cut(_repeats(lines, noise, sure), "runs")
         if runs.isEmpty():
             break
         lines = cut(_deleted(lines, runs), "lines")
 
-    kept = lines.select(c("row").alias("__row"), c("alive").alias("__alive"))
-    # Only texts that lose lines are taken apart.
     schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, count, gone = [], [], []
-            for value, blob in zip(batch.column(at), batch.column(len(names)), strict=True):
+            # Only texts that lose lines are taken apart.
+            for value, blob in zip(batch.column(0).field(at), batch.column(1), strict=True):
                 alive = np.frombuffer(blob.as_buffer(), np.bool_)
                 lost = len(alive) - int(alive.sum())
                 count.append(len(alive))
@@ -229,11 +228,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
                     flags = iter(alive.tolist())
                     value = "\n".join(x for x in value.split("\n") if not x or next(flags))
                 texts.append(value)
-            columns = list(batch.columns[:len(names)])
+            docs_in = batch.column(0)
+            columns = docs_in.flatten()
             columns[at] = pa.array(texts, columns[at].type)
-            fields = [batch.schema.field(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())],
-                schema=pa.schema([*fields, pa.field("n_lines", pa.int64()), pa.field("n_removed", pa.int64())]))
+                schema=pa.schema([*docs_in.type, pa.field("n_lines", pa.int64()), pa.field("n_removed", pa.int64())]))
 
-    return numbered.join(kept, "__row").select(*names, "__alive").mapInArrow(run, schema)
+    return numbered.select("row", "doc").join(lines.select("row", "alive"), "row").select(
+        "doc", "alive").mapInArrow(run, schema)

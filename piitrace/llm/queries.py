@@ -43,8 +43,7 @@ def op2_collision_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe_trie.encode(table(spark, folder, "documents"), vocabulary)
-    return bpe_trie.decode(encoded, vocabulary).select(
+    return bpe_trie.encode(table(spark, folder, "documents"), vocabulary, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", c("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
