@@ -87,11 +87,9 @@ PROFILES = {
 }
 MIN_TOKEN_LENGTH = 6
 
-# Replacement per pattern when masking in pattern order; groups around the value stay.
-MASK_ORDER = {
-    "demo": ["E1", "E2", "E3", "E4", "E5", "E6", "E7", "E8", *TOKEN_PATTERNS],
-    "server": ["E1", "E2", "E3", "E4", "E9", *TOKEN_PATTERNS],
-}
+# Replacement per pattern when masking in pattern order; groups around the value stay. Blobs
+# are E11: a blob that holds a secret is replaced as a whole.
+MASK_ORDER = PROFILES
 MASK_REGEX = {
     "E3": (r"(?i)(User\s*['\"])[A-Za-z][A-Za-z0-9_-]*(['\"])", "$1[USERNAME]$2"),
     "E4": (r"(?i)(user=)[A-Za-z][A-Za-z0-9_-]+", "$1[USERNAME]"),

@@ -304,23 +304,52 @@ def extractor_quality(matches: DataFrame, log_pii: DataFrame, profile: str = "de
     )
 
 
-def mask_text(df: DataFrame, text_col: str = "line", profile: str = "demo") -> DataFrame:
-    """Replace matches by ``[TYPE]``, one pattern after the other in profile order.
-
-    An earlier pattern wins where two overlap (an e-mail inside an assignment).
+#: Stands for the dots of an address that must stay; a private character no pattern takes.
+_KEPT_DOT = "\ue0f0"
+
+
+def _masked_addresses(text: Column, profile: str) -> Column:
+    """Addresses replaced, but for the excluded ones, which extraction leaves out too."""
+    for ip in EXCLUDED_IPS[profile]:
+        # where extraction would take the whole of it: no digit or further part before it
+        at = r"(?<![0-9])(?<![0-9]\.)\b" + ip.replace(".", r"\.") + r"\b"
+        text = F.regexp_replace(text, at, ip.replace(".", _KEPT_DOT))
+    text = F.regexp_replace(text, PATTERNS["E2"].regex, "[IP]")
+    return F.replace(text, F.lit(_KEPT_DOT), F.lit("."))
+
+
+def _masked_blobs(text: Column, profile: str, strict_padding: bool) -> Column:
+    """Blobs that hold a secret replaced, the longest first."""
+    blobs = F.array_distinct(_raw_hits("E10", profile))
+    secret = lambda b: F.exists(
+        F.coalesce(F.regexp_extract_all(entities.b64_decode(b, strict_padding),
+                                        F.lit(BLOB_SECRET[profile]), F.lit(1)), _no_strings()),
+        lambda v: F.length(v) >= MIN_TOKEN_LENGTH)
+    ordered = F.array_sort(F.transform(F.filter(blobs, secret), lambda b: F.struct(
+        (-F.length(b)).alias("n"), b.alias("v"))))
+    return F.aggregate(ordered, text, lambda acc, r: F.replace(acc, r["v"], F.lit("[TOKEN]")))
+
+
+def mask_text(df: DataFrame, text_col: str = "line", profile: str = "demo",
+              strict_padding: bool = True) -> DataFrame:
+    """Replace what extraction finds by ``[TYPE]``, one pattern after the other in profile order.
+
+    An earlier pattern wins where two overlap (an e-mail inside an assignment). Excluded
+    addresses stay; a blob goes if it holds a secret.
     """
     staged = _staged(df, df.columns, text_col).withColumn("masked", F.col("_text"))
     for pid in MASK_ORDER[profile]:
-        p = PATTERNS[pid]
-        regex, put = MASK_REGEX.get(pid, (p.regex, f"[{p.pii_type.upper()}]"))
+        if pid == "E11":
+            test, put = _can_match("E10"), _masked_blobs(F.col("masked"), profile, strict_padding)
+        elif pid == "E2":
+            test, put = _can_match(pid), _masked_addresses(F.col("masked"), profile)
+        else:
+            p = PATTERNS[pid]
+            regex, word = MASK_REGEX.get(pid, (p.regex, f"[{p.pii_type.upper()}]"))
+            test, put = _can_match(pid), F.regexp_replace("masked", regex, word)
         # the tests look at the original text: a replacement puts in no character a
         # pattern could use, so what can match later was there before
-        staged = staged.withColumn(
-            "masked",
-            F.when(_can_match(pid), F.regexp_replace("masked", regex, put)).otherwise(
-                F.col("masked")
-            ),
-        )
+        staged = staged.withColumn("masked", F.when(test, put).otherwise(F.col("masked")))
     return staged.select(*df.columns, "masked")
 
 

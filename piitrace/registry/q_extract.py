@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from piitrace.functions.patterns import MASK_ORDER, MASK_REGEX, PATTERNS, TOKEN_PATTERNS
+from piitrace.functions.patterns import BLOB_SECRET, PATTERNS, TOKEN_PATTERNS
 from piitrace.operators import extract as X
 
 from piitrace.registry.base import add, corpus, on_incident, table
@@ -129,13 +129,35 @@ on_incident(
 )
 
 
+#: What becomes of each pattern's matches, in order; written out apart from the engine's own list.
+_PHONES = {"demo": ["E5", "E6", "E7", "E8"], "server": ["E9"]}
+_STAY = {"demo": ["255.255.255.255", "0.0.0.0", "127.0.0.1"], "server": ["255.255.255.255"]}
+_WORD = r"(?:key|token|secret|credential|password|pwd|auth)"
+
+
 def _mask_sql(column, profile):
-    out = column
-    for pid in MASK_ORDER[profile]:
-        p = PATTERNS[pid]
-        regex, put = MASK_REGEX.get(pid, (p.regex, f"[{p.pii_type.upper()}]"))
-        put = put.replace("$", "\\")
-        out = f"regexp_replace({out}, {lit(regex)}, {lit(put)}, 'g')"
+    swap = lambda text, regex, put: f"regexp_replace({text}, {lit(regex)}, {lit(put)}, 'g')"
+    out = swap(column, PATTERNS["E1"].regex, "[EMAIL]")
+    for ip in _STAY[profile]:
+        out = swap(out, r"(^\.?|[^0-9.\w]|[^0-9]\.)" + ip.replace(".", r"\.") + r"\b",
+                   "\\1" + ip.replace(".", "\ue0f0"))
+    out = swap(out, PATTERNS["E2"].regex, "[IP]")
+    out = f"replace({out}, '\ue0f0', '.')"
+    out = swap(out, r"(?i)(User\s*['\"])[A-Za-z][A-Za-z0-9_-]*(['\"])", r"\1[USERNAME]\2")
+    out = swap(out, r"(?i)(user=)[A-Za-z][A-Za-z0-9_-]+", r"\1[USERNAME]")
+    for pid in _PHONES[profile]:
+        out = swap(out, PATTERNS[pid].regex, "[PHONE]")
+    blobs = f"regexp_extract_all({column}, {lit(PATTERNS['E10'].regex)}, 1)"
+    secret = f"""len(list_filter(coalesce(regexp_extract_all(try(decode(from_base64(
+      CASE WHEN length(b) % 4 = 0 THEN b END))), {lit(BLOB_SECRET[profile])}, 1), []),
+      lambda v: length(v) >= 6)) > 0"""
+    out = f"""list_reduce(list_prepend({out}, list_reverse_sort(list_filter(list_distinct({blobs}),
+      lambda b: {secret}))), lambda t, b: replace(t, b, '[TOKEN]'))"""
+    for pid in ["E12", "E13", "E14", "E15", "E16", "E17", "E18", "E19"]:
+        out = swap(out, PATTERNS[pid].regex, "[TOKEN]")
+    out = swap(out, r"(?i)(" + _WORD + r"\s*[:=]\s*[\"']?)[a-zA-Z0-9._%+-]{12,}", r"\1[TOKEN]")
+    for pid in ["E21", "E22"]:
+        out = swap(out, PATTERNS[pid].regex, "[TOKEN]")
     return out
 
 
