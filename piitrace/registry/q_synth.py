@@ -77,10 +77,10 @@ SEEDS = """SELECT c_custkey AS scenario_id, k.* FROM customer JOIN (SELECT
 _U = ("scenario_id", "ord")
 GEN_USERS = f"""SELECT scenario_id, difficulty, ord, username, username || '.'
     || {pick(['dev', 'ops', 'sec'], num('team', *_U) + ' % 3')} || '@'
-    || {pick(dims.DOMAINS, num('domain', *_U) + ' % 9')} AS email,
+    || {pick(dims.DOMAINS, num('domain', *_U) + f' % {len(dims.DOMAINS)}')} AS email,
   CASE WHEN {num('n-ips', *_U)} % 2 = 1 THEN [{ip_sql(*_U, '0')}, {ip_sql(*_U, '1')}]
     ELSE [{ip_sql(*_U, '0')}] END AS ips,
-  [{', '.join(pick(dims.SERVICES, f"({num('service', *_U)} + {k * 5}) % 12") for k in range(3))}]
+  [{', '.join(pick(dims.SERVICES, f"({num('service', *_U)} + {k * 5}) % 11") for k in range(3))}]
     [1:{num('n-services', *_U)} % 3 + 1] AS services
   FROM (SELECT s.*, o.ord, {pick(dims.NAMES, f"({num('name', 's.scenario_id')} + o.ord * 7) % 32")}
     AS username FROM seeds s JOIN (SELECT unnest(range(0, 5)) AS ord) o ON o.ord < s.n_users)"""
@@ -152,14 +152,12 @@ TOKEN_SQL = f"""SELECT scenario_id, layer, 'token_linked' AS kind, item, {_TOKEN
     FROM (SELECT l.scenario_id, l.layer, s.k AS item, s.token, s.token_type, s.service
       FROM gen_layers l JOIN gen_secrets s ON s.scenario_id = l.scenario_id WHERE l.has_tokens))"""
 _I2 = ("scenario_id", "item")
-FAKES = f"""SELECT *, {pick(synth.FAKE_HEADS, num('fake-head', *_I2) + ' % 4')}
+FAKES = f"""SELECT *, {pick(synth.FAKE_HEADS, num('fake-head', *_I2) + ' % 3')}
     || substr(md5(concat_ws(':', '0', 'fake-token', scenario_id, item)), 1, 20) AS fake_token,
-  CASE {num('fake-phone', *_I2)} % 5
-    WHEN 0 THEN '+1-555-' || {digits('fake-phone-digits', 4, *_I2)}
-    WHEN 1 THEN '+1-800-' || {digits('fake-phone-digits', 4, *_I2)}
-    WHEN 2 THEN '+44-20-7946-' || {digits('fake-phone-digits', 4, *_I2)}
-    WHEN 3 THEN '+1-555-0000'
-    ELSE '(555) 555-' || {digits('fake-phone-digits', 4, *_I2)} END AS fake_phone
+  CASE {num('fake-phone', *_I2)} % 3
+    WHEN 0 THEN 'ext. ' || {digits('fake-phone-digits', 4, *_I2)}
+    WHEN 1 THEN '+49-30-' || {digits('fake-phone-digits', 4, *_I2)}
+    ELSE '+1-555-' || substr({digits('fake-phone-digits', 4, *_I2)}, 1, 2) END AS fake_phone
   FROM (SELECT s.scenario_id, o.item FROM seeds s JOIN (SELECT unnest(range(0, 6)) AS item) o
     ON o.item < s.n_decoys)"""
 _NOISE_FILL = fill(synth.NOISE, f"{num('noise', *_I2)} % {len(synth.NOISE)}")

@@ -1,6 +1,10 @@
-"""A small step-by-step model of one episode, for comparison with the joins."""
+"""An episode as definitions: what has entered by which step, and what a step is worth.
 
-from dataclasses import dataclass, field
+Nothing is carried from step to step. Every question is answered from the list of
+actions played so far, in the words of the rule cards.
+"""
+
+from dataclasses import dataclass
 
 
 def hold(x, eps=0.05):
@@ -18,86 +22,99 @@ class Scene:
     budget: int
 
 
-@dataclass
+def earliest(pairs):
+    """Key to the smallest step it comes with."""
+    out = {}
+    for key, step in pairs:
+        out[key] = min(step, out.get(key, step))
+    return out
+
+
 class Episode:
-    scene: Scene
-    seen: set = field(default_factory=set)
-    known: set = field(default_factory=set)
-    tried: set = field(default_factory=set)
-    removed: set = field(default_factory=set)
-    steps: int = 0
-    total: float = 0.05
-    over: bool = False
-
-    def __post_init__(self):
-        self.seen = {i for i, (layer, _) in enumerate(self.scene.lines) if layer == 0}
-
-    def learn(self, lines):
-        fresh = {v for i in lines for v in self.scene.lines[i][1]} - self.known
-        self.known |= fresh
-        return fresh
+    def __init__(self, scene):
+        self.scene, self.played = scene, []
+
+    # ---- what entered when
+
+    def of_kind(self, kind):
+        return [(n, target, items) for n, (action, target, items) in enumerate(self.played, 1)
+                if action == kind]
+
+    @property
+    def tried_at(self):
+        return earliest((t, n) for n, t, _ in self.of_kind("investigate") if t)
+
+    @property
+    def opened_at(self):
+        """Line number to step; surface lines are open from the start."""
+        reach = [({t} | self.scene.links.get(t, set()), n) for t, n in self.tried_at.items()
+                 if t not in self.scene.traps]
+        surface = [(i, 0) for i, (layer, _) in enumerate(self.scene.lines) if layer == 0]
+        return earliest(surface + [(i, n) for i, (_, values) in enumerate(self.scene.lines)
+                                   for wanted, n in reach if wanted & set(values)])
+
+    @property
+    def known_at(self):
+        """Value to step: when its line opened, for surface lines when first scanned."""
+        scans = [n for n, _, _ in self.of_kind("scan")]
+        return earliest((v, n or scans[0]) for i, n in self.opened_at.items() if n or scans
+                        for v in self.scene.lines[i][1])
+
+    @property
+    def removed_at(self):
+        return earliest((v, n) for n, _, items in self.of_kind("redact") for v in items
+                        if v in self.scene.truth)
+
+    # ---- what a step is worth
+
+    def score(self):
+        truth, removed = self.scene.truth, set(self.removed_at)
+        share = lambda found: hold(len(found) / len(truth))
+        recall, precision = share(removed), 0.95 if removed else 0.05
+        f1 = hold(2.0 * precision * recall / (precision + recall))
+        tokens = {v for v, t in truth.items() if t == "token"}
+        spare = hold(0.05 * max(0, self.scene.budget - len(self.played)))
+        found = share(set(self.known_at) & set(truth))
+        return hold(f1 * 0.7 + found * 0.2 + recall * 0.1 + spare - 0.3 * min(3, len(tokens - removed)))
 
-    def play(self, action, target=None, items=()):
+    def worth(self):
+        """The reward of the last action."""
         if self.over:
-            return None
-        self.steps += 1
-        reward = {
-            "scan": self.scan, "investigate": lambda: self.look(target),
-            "redact": lambda: self.redact(items), "submit": self.final,
-        }[action]()
-        if action == "submit" or self.steps >= self.scene.budget:
-            reward = self.final()
-            self.over = True
-        self.total = hold(self.total + reward)
-        return reward
-
-    def scan(self):
-        return hold(0.1 * len(self.learn(self.seen)))
-
-    def look(self, target):
-        if not target or target in self.tried:
+            return self.score()
+        n, (action, target, items) = len(self.played), self.played[-1]
+        now = lambda entered: [k for k, step in entered.items() if step == n]
+        tokens = lambda values: sum(self.scene.truth.get(v) == "token" for v in values)
+        fresh = now(self.known_at)
+        if action == "scan":
+            return hold(0.1 * len(fresh))
+        if action == "redact":
+            right = now(self.removed_at)
+            wrong = [v for v in items if v not in self.scene.truth]
+            prize = hold(0.2 * tokens(right)) if tokens(right) else 0.05
+            share = hold(len(right) / len(self.scene.truth))
+            return hold(share - 0.25 * min(4, len(wrong)) + prize) if items else 0.05
+        if self.tried_at.get(target) != n:
             return 0.05
-        self.tried.add(target)
         if target in self.scene.traps:
             return -0.5
-        wanted = {target} | self.scene.links.get(target, set())
-        opened = {
-            i for i, (_, values) in enumerate(self.scene.lines)
-            if i not in self.seen and wanted & set(values)
-        }
-        self.seen |= opened
-        fresh = self.learn(opened)
-        if not opened and not fresh:
+        if not fresh and not now(self.opened_at):
             return 0.05
-        bonus = hold(0.15 * len(fresh))
-        secrets = sum(self.scene.truth.get(v) == "token" for v in fresh)
-        return hold(bonus + 0.3 * secrets) if secrets else bonus
+        base = hold(0.15 * len(fresh))
+        return hold(base + 0.3 * tokens(fresh)) if tokens(fresh) else base
 
-    def redact(self, items):
-        if not items:
-            return 0.05
-        right = wrong = secrets = 0
-        for value in items:
-            if value in self.removed:
-                continue
-            if value in self.scene.truth:
-                self.removed.add(value)
-                right += 1
-                secrets += self.scene.truth[value] == "token"
-            else:
-                wrong += 1
-        bonus = hold(0.2 * secrets) if secrets else 0.05
-        return hold(hold(right / len(self.scene.truth)) - 0.25 * min(wrong, 4) + bonus)
-
-    def final(self):
-        truth = self.scene.truth
-        precision = 0.95 if self.removed else 0.05
-        recall = hold(len(self.removed) / len(truth))
-        f1 = hold(2.0 * precision * recall / (precision + recall))
-        rate = hold(len(self.known & set(truth)) / len(truth))
-        saved = max(0, self.scene.budget - self.steps)
-        missed = sum(t == "token" and v not in self.removed for v, t in truth.items())
-        return hold(f1 * 0.7 + rate * 0.2 + recall * 0.1 + hold(0.05 * saved) - 0.3 * min(missed, 3))
+    # ---- playing
+
+    @property
+    def over(self):
+        return bool(self.played) and (
+            self.played[-1][0] == "submit" or len(self.played) >= self.scene.budget)
+
+    def play(self, action, target=None, items=()):
+        """Play an action; its reward, or None if the episode is over."""
+        if self.over:
+            return None
+        self.played.append((action, target, list(items)))
+        return self.worth()
 
     def targets(self):
-        return sorted(self.known - self.tried)
+        return sorted(set(self.known_at) - set(self.tried_at))
