@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from piitrace.operators.ordering import number_within
+
 VALUE = ["scenario_id", "value"]
 
 
@@ -29,28 +31,10 @@ def flatten_layers(layers: DataFrame) -> DataFrame:
     )
 
 
-def index_logs(logs: DataFrame, order: str = "log_id", width: int = 100_000) -> DataFrame:
-    """Flat 0-based index of logs that arrive as rows, by (layer, order).
-
-    Rows are numbered inside small (scenario, layer, bucket) groups and shifted by
-    the counts of the groups before them, so a scenario with a third of all logs
-    is never sorted in one task.
-    """
-    bucketed = logs.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
-    group = ["scenario_id", "layer", "_bucket"]
-    sizes = bucketed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy("scenario_id").orderBy("layer", "_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return (
-        bucketed.withColumn("_rn", inside)
-        .join(offsets.drop("_n"), group)
-        .withColumn("log_index", F.col("_offset") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_offset")
-    )
+def index_logs(logs: DataFrame, order: str = "log_id") -> DataFrame:
+    """Flat 0-based index of logs that arrive as rows, by (layer, order)."""
+    numbered = number_within(logs, ["scenario_id"], ["layer", order], "log_index")
+    return numbered.withColumn("log_index", F.col("log_index") - 1)
 
 
 def initial_visible(logs: DataFrame) -> DataFrame:

@@ -1,19 +1,17 @@
 """Iterative plans over many scenarios at once.
 
-The number of rounds is bounded by the step budget, never by the data. Each round
-is one set of joins for all scenarios or episodes; between rounds the state is
+Driver rules take one round per step of the largest budget, reachability goes on until a
+round finds nothing new. Each round is one set of joins for all scenarios or episodes; between rounds the state is
 written to the shared folder, so lineage does not grow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from piitrace.operators import extract, graph
-from piitrace.plans.replay import log_classes
+from piitrace.plans.replay import BY_STEP, largest_budget, log_classes
 from piitrace.session import cut
-from piitrace.sources.dims import MAX_BUDGET
 
 
 def _hidden_values(logs: DataFrame) -> DataFrame:
@@ -42,13 +40,16 @@ def _found(moves: DataFrame, edges: DataFrame, hidden: DataFrame, keys: list[str
     ).distinct()
 
 
-def reachable(logs: DataFrame, edges: DataFrame, rounds: int = MAX_BUDGET) -> DataFrame:
-    """Values an unlimited investigator knows after at most ``rounds`` rounds, with the
-    round each is first reached (0: on the surface). Only new values are expanded."""
+def reachable(logs: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Values an unlimited investigator knows, with the round each is first reached (0: on the
+    surface). Only new values are expanded. Goes on until a round finds nothing new, or
+    for ``rounds`` rounds if that is given."""
     hidden = cut(_hidden_values(logs), "hidden")
     keys = ["scenario_id", "value"]
     known = cut(_surface_values(logs).withColumn("reached", F.lit(0)), "reach")
-    for k in range(1, rounds + 1):
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
         frontier = known.filter(F.col("reached") == k - 1).select(
             "scenario_id", F.col("value").alias("target")
         )
@@ -62,99 +63,20 @@ def reachable(logs: DataFrame, edges: DataFrame, rounds: int = MAX_BUDGET) -> Da
     return known
 
 
-def greedy_batch(scenarios: DataFrame, logs: DataFrame, edges: DataFrame, honeypots: DataFrame,
-                 max_budget: int = MAX_BUDGET) -> tuple[DataFrame, DataFrame]:
-    """Greedy investigation of all scenarios: actions and redaction items.
-
-    Scan; while more than two steps remain, investigate the smallest target; redact
-    what the extractor finds on visible lines plus everything discovered; submit.
-    The episode of a scenario has the scenario's id.
-    """
-    keys = ["scenario_id", "value"]
-    hidden = cut(_hidden_values(logs), "hidden")
-    none = F.lit(None).cast("int")
-    state = cut(
-        _surface_values(logs).select(*keys, F.lit(1).alias("found"), none.alias("tried")), "greedy"
-    )
-    budgets = scenarios.select("scenario_id", "budget")
-    traps = honeypots.select("scenario_id", F.col("value").alias("target"))
-    for step in range(2, max_budget - 1):
-        # the minimum first: a join by the same key before it would tie a scenario to one task
-        smallest = state.filter("tried is null").groupBy("scenario_id").agg(
-            F.min("value").alias("target")
-        )
-        moves = smallest.join(
-            budgets.filter(F.col("budget") >= step + 2), "scenario_id", "left_semi"
-        )
-        moves = cut(moves, "moves")
-        safe = moves.join(traps, ["scenario_id", "target"], "left_anti")
-        fresh = _found(safe, edges, hidden, ["scenario_id"]).select(
-            *keys, F.lit(step).alias("found"), none.alias("tried")
-        )
-        tried = moves.select("scenario_id", F.col("target").alias("value"), none.alias("found"),
-                             F.lit(step).alias("tried"))
-        state = cut(
-            state.unionByName(fresh).unionByName(tried).groupBy(*keys).agg(
-                F.min("found").alias("found"), F.min("tried").alias("tried")
-            ),
-            "greedy",
-        )
-    used = budgets.join(
-        state.groupBy("scenario_id").agg(F.count("tried").alias("moves")), "scenario_id", "left"
-    ).withColumn("redact_step", (F.coalesce("moves", F.lit(0)) + 2).cast("int"))
-    action = lambda df, step, kind, target: df.select(
-        F.col("scenario_id").alias("episode_id"), "scenario_id", F.lit(0).alias("strategy"),
-        step.cast("int").alias("step"), F.lit(kind).alias("action_type"),
-        target.cast("string").alias("target_entity"),
-    )
-    no_target = F.lit(None)
-    actions = (
-        action(used, F.lit(1), "scan", no_target)
-        .unionByName(action(state.filter("tried is not null"), F.col("tried"), "investigate",
-                            F.col("value")))
-        .unionByName(action(used, F.col("redact_step"), "redact", no_target))
-        .unionByName(action(used, F.col("redact_step") + 1, "submit", no_target))
-    )
-    items = greedy_items(state, logs, edges, traps).join(
-        used.select("scenario_id", "redact_step"), "scenario_id"
-    ).select(
-        F.col("scenario_id").alias("episode_id"), F.col("redact_step").alias("step"),
-        F.lit(0).alias("pos"), F.col("value").alias("original"), F.col("pii_type").alias("type"),
-    )
-    return actions, items
-
-
-def greedy_items(state: DataFrame, logs: DataFrame, edges: DataFrame, traps: DataFrame
-                 ) -> DataFrame:
-    """Distinct values to redact: found by the extractor on visible lines, or discovered."""
-    tried = state.filter("tried is not null").select(
-        "scenario_id", F.col("value").alias("target")
-    ).join(traps, ["scenario_id", "target"], "left_anti")
-    search = graph.search_set(tried, edges).select("scenario_id", "value").distinct()
-    labels = logs.filter("layer > 0").select("scenario_id", "log_id", F.inline("labels"))
-    hit = labels.join(search, ["scenario_id", "value"], "left_semi").select(
-        "scenario_id", "log_id"
-    ).distinct()
-    columns = ["scenario_id", "log_id", "line"]
-    visible = logs.filter("layer = 0").select(*columns).unionByName(
-        logs.filter("layer > 0").select(*columns).join(hit, ["scenario_id", "log_id"], "left_semi")
-    )
-    found = extract.extract_pii(visible, profile="server")
-    known = state.filter("found is not null")
-    return extract.merge_discovered(found, known, ("scenario_id",), "server")
-
-
 def apply_driver_rules(plan: DataFrame, scenarios: DataFrame, logs: DataFrame, edges: DataFrame,
-                       honeypots: DataFrame, max_budget: int = MAX_BUDGET) -> DataFrame:
+                       honeypots: DataFrame) -> DataFrame:
     """Planned decisions to the actions a run would take.
 
-    Step 1 is a scan. A step with one step left is a submit. An investigation whose
-    target is missing, not discovered by then or already investigated becomes a
-    scan. Whether a target is discovered depends on the steps before it, hence one
-    round per step; all episodes advance together.
+    Decisions count from 1 in the order of their recorded steps. Step 1 is a scan. A
+    step with one step left is a submit. An investigation whose target is missing, not
+    discovered by then or already investigated becomes a scan. Whether a target is
+    discovered depends on the steps before it, hence one round per step; all episodes
+    advance together. The state holds only values that a plan asks for.
     """
     episode = ["episode_id", "scenario_id"]
-    plan = plan.filter(F.col("step") <= max_budget).join(
+    top = largest_budget(scenarios)
+    by_step = Window.partitionBy("episode_id").orderBy(*BY_STEP)
+    plan = plan.withColumn("step", F.row_number().over(by_step)).filter(F.col("step") <= top).join(
         scenarios.select("scenario_id", "budget"), "scenario_id"
     ).filter(F.col("step") <= F.col("budget"))
     opening = F.when(F.col("step") == 1, "scan").when(
@@ -171,16 +93,16 @@ def apply_driver_rules(plan: DataFrame, scenarios: DataFrame, logs: DataFrame, e
     )
     hidden = cut(_hidden_values(logs), "hidden")
     traps = honeypots.select("scenario_id", F.col("value").alias("target"))
-    asked = plan.filter("planned = 'investigate'").select(*episode, "step",
-                                                          F.col("target_entity").alias("value"))
+    asked = plan.filter("planned = 'investigate' and target_entity is not null").select(
+        *episode, "step", F.col("target_entity").alias("value"))
     none = F.lit(None).cast("int")
-    state = cut(
-        plan.select(*episode).distinct().join(_surface_values(logs), "scenario_id").withColumn(
-            "tried", none),
-        "driver",
-    )
     keys = [*episode, "value"]
-    for step in range(2, max_budget):
+    wanted = cut(asked.select(*keys).distinct(), "wanted")
+    state = cut(
+        wanted.join(_surface_values(logs), ["scenario_id", "value"], "left_semi").select(
+            *keys, none.alias("tried")), "driver")
+    steps = asked.agg(F.max("step")).first()[0] or 0
+    for step in range(2, steps + 1):
         moves = cut(
             asked.filter(F.col("step") == step).join(state.filter("tried is null"), keys,
                                                      "left_semi").select(*keys),
@@ -189,7 +111,8 @@ def apply_driver_rules(plan: DataFrame, scenarios: DataFrame, logs: DataFrame, e
         safe = moves.withColumnRenamed("value", "target").join(
             traps, ["scenario_id", "target"], "left_anti"
         )
-        fresh = _found(safe, edges, hidden, episode).withColumn("tried", none)
+        fresh = _found(safe, edges, hidden, episode).join(wanted, keys, "left_semi").select(
+            *keys, none.alias("tried"))
         tried = moves.withColumn("tried", F.lit(step))
         state = cut(
             state.unionByName(fresh).unionByName(tried).groupBy(*keys).agg(

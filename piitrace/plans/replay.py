@@ -31,9 +31,9 @@ from piitrace.functions.scores import (
 )
 from piitrace.operators import redaction
 from piitrace.operators.graph import truth_flat
+from piitrace.operators.ordering import number_within
 from piitrace.operators.scoring import env_parts
 from piitrace.session import cut
-from piitrace.sources.dims import MAX_BUDGET
 
 # Step rewards.
 SCAN_WEIGHT = 0.1
@@ -47,45 +47,39 @@ EPISODE = ["episode_id", "scenario_id"]
 # ---------------------------------------------------------------- steps and ends
 
 
-def number_steps(actions: DataFrame, width: int = 4096) -> DataFrame:
-    """Step numbers 1.. per episode by recorded ``step``.
+#: Actions of one recorded step follow each other in this order.
+BY_STEP = ["step", "action_type", "target_entity"]
+
+
+def number_steps(actions: DataFrame) -> DataFrame:
+    """Step numbers 1.. per episode by recorded ``step``, whatever that looks like."""
+    return number_within(actions, ["episode_id"], BY_STEP, "step_no")
 
-    Rows are numbered inside buckets of ``width`` recorded steps and shifted by
-    the sizes of the buckets before, so one endless episode is not one task.
-    """
-    bucketed = actions.withColumn("_bucket", F.floor(F.col("step") / F.lit(width)))
-    group = ["episode_id", "_bucket"]
-    sizes = bucketed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("episode_id").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    shift = sizes.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy("step"))
-    return (
-        bucketed.withColumn("_rn", rn).join(shift, group)
-        .withColumn("step_no", (F.col("_shift") + F.col("_rn")).cast("bigint"))
-        .drop("_bucket", "_rn", "_shift")
-    )
+
+def largest_budget(scenarios: DataFrame) -> int:
+    """The largest budget of all scenarios: one number."""
+    return scenarios.agg(F.max("budget")).first()[0] or 0
 
 
 def steps_remaining(budget: Column, step: Column) -> Column:
     return F.greatest(F.lit(0), budget - step)
 
 
-def live_actions(actions: DataFrame, scenarios: DataFrame, max_budget: int = MAX_BUDGET,
-                 extra: tuple[str, ...] = ()) -> DataFrame:
+def live_actions(actions: DataFrame, scenarios: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Actions up to the end of each episode, numbered, with budget and end flags.
 
-    An episode ends at its first submit or when the budget is used up; later
-    actions are errors and left out. No step past ``max_budget`` can be live, so
-    map tasks keep that many rows per episode before the shuffle. A scenario with
-    a larger budget is refused rather than cut short. ``extra`` names further
-    scenario columns to carry along.
+    ``step`` counts from 1 in the order of the recorded steps, which stay as
+    ``recorded_step`` and may have gaps or begin anywhere. An episode ends at its first
+    submit or when its budget is used up; later actions are errors and left out. No step
+    past the largest budget of all scenarios can be live, so map tasks keep that many rows
+    per episode before the shuffle. ``extra`` names further scenario columns to carry along.
     """
-    by_step = Window.partitionBy("episode_id").orderBy("step")
+    facts = scenarios.select("scenario_id", "difficulty", "n_layers", "budget", *extra)
+    by_step = Window.partitionBy("episode_id").orderBy(*BY_STEP)
     top = (
         actions.withColumn("_rn", F.row_number().over(by_step))
-        .filter(F.col("_rn") <= max_budget)
+        .filter(F.col("_rn") <= largest_budget(scenarios))
+        .withColumnRenamed("step", "recorded_step")
         .withColumn("step", F.col("_rn").cast("int"))
         .drop("_rn")
     )
@@ -99,11 +93,7 @@ def live_actions(actions: DataFrame, scenarios: DataFrame, max_budget: int = MAX
             "first_same": F.min("step").over(same),
         }
     )
-    facts = scenarios.select("scenario_id", "difficulty", "n_layers", "budget", *extra)
-    budget = F.when(
-        F.col("budget") > max_budget, F.raise_error(F.lit("budget above max_budget"))
-    ).otherwise(F.col("budget"))
-    joined = top.join(facts, "scenario_id").withColumn("budget", budget.cast("int"))
+    joined = top.join(facts, "scenario_id").withColumn("budget", F.col("budget").cast("int"))
     end = F.least("first_submit", "budget")
     live = joined.withColumn("end_step", end).filter(F.col("step") <= F.col("end_step"))
     done = F.col("action_type") == "submit"
@@ -303,8 +293,12 @@ class Replay:
         )
 
     def _in_live_steps(self, items: DataFrame) -> DataFrame:
-        steps = self.live.filter("action_type = 'redact'").select(*EPISODE, "step")
-        return items.join(steps, ["episode_id", "step"])
+        """Items with the number of the live step that recorded them; of several redactions
+        recorded under one step, the first takes the items."""
+        steps = self.live.filter("action_type = 'redact'").groupBy(*EPISODE, "recorded_step").agg(
+            F.min("step").alias("step"))
+        return items.withColumnRenamed("step", "recorded_step").join(
+            steps, ["episode_id", "recorded_step"]).drop("recorded_step")
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -505,24 +499,21 @@ def entity_spans(replay: Replay) -> DataFrame:
 def next_targets(replay: Replay) -> DataFrame:
     """Smallest target after each step: over all targets, and over those not redacted.
 
-    A value is a target from its discovery until it is investigated; the span is
-    unrolled over at most ``MAX_BUDGET`` steps, reduced with a map-side minimum, and
-    only then held against the steps that exist.
+    A value is a target from its discovery until it is investigated or the episode ends;
+    the span is unrolled over these steps and reduced with a map-side minimum.
     """
-    last = F.least(F.col("investigated_at") - 1, F.lit(MAX_BUDGET))
-    rows = entity_spans(replay).withColumn("_last", last).filter("discovered_at <= _last").select(
+    ends = end_flags(replay.live).select("episode_id", "steps_used")
+    last = F.least(F.col("investigated_at") - 1, F.col("steps_used"))
+    rows = entity_spans(replay).join(ends, "episode_id").withColumn("_last", last).filter("discovered_at <= _last").select(
         "episode_id", "value", "redacted_at",
         F.explode(F.sequence("discovered_at", "_last")).alias("step"),
     )
     open_ = F.col("redacted_at").isNull() | (F.col("redacted_at") > F.col("step"))
-    smallest = rows.groupBy("episode_id", "step").agg(
+    return rows.groupBy("episode_id", "step").agg(
         F.min("value").alias("next_target"),
         F.min(F.when(open_, F.col("value"))).alias("next_suggestion"),
         F.count(F.lit(1)).alias("n_targets"),
     )
-    return smallest.join(
-        replay.live.select("episode_id", "step"), ["episode_id", "step"], "left_semi"
-    )
 
 
 def invalid_targets(replay: Replay) -> DataFrame:

@@ -111,37 +111,39 @@ _TOKEN = """CASE (scenario_id + ord) % 5 WHEN 0 THEN 'sk_live_' || h[1:24]
 _B64 = "base64(encode({}))"
 
 _TEXTS = [
-    "'AUTH: Failed login for ' || email || ' from ' || ip || ' (attempt 3/5)'",
-    "'ALERT: Suspicious activity from ' || ip || ', user=' || username",
-    "'AUTH: User ''' || username || ''' logged in from ' || ip",
-    "'MONITOR: Email sent to ' || email || ' about account lock'",
-    "'FIREWALL: Connection from ' || ip || ' to port 443 accepted'",
-    "'AUDIT: User ''' || username || ''' (' || email || ') reset password from ' || ip",
-    "'NOTES: Talked with ' || upper(username[1]) || username[2:] || ' Johnson about the breach'",
-    "'CONFIG: service_ip=' || ip || ' for api-gateway (server address)'",
-    "'DOCS: Example contact test@example.com for trial runs'",
-    "'DOCS: Set bind_address=127.0.0.1 as a sample value'",
-    "'README: Use user=''admin'' in local dev only'",
-    "'PLAYBOOK: Call test line +33-142-868-2000 in a drill'",
-    "'CONFIG: Test API key sk_test_' || m[1:24]",
-    "'LOG: Cached value b64=' || " + _B64.format("'mock_secret=abcd1234'"),
-    "'CONFIG: DNS servers [8.8.8.8, 8.8.4.4] (public)'",
-    "'DEBUG [ci-runner]: Token ' || tok || ' used for API authentication'",
-    "'CONFIG: Loaded vendor_key=' || tok || ' for secrets-vault'",
-    "'DEBUG [ci-runner]: Credential observed sk_l**e_' || right(coalesce(token, '********'), 8)",
-    "'CONFIG_DUMP [ci-runner]: b64=' || " + _B64.format("'token=' || tok"),
-    "'SUPPORT: Called client at ' || phone || ' to verify incident report'",
-    "'ACCESS: ' || email || ' granted role ''admin'' on user-mgmt from ' || ip",
-    "'NETWORK: ' || ip || ' established 12 connections to api-gateway'",
-    "'TRACE: rotated ' || CASE q % 7 WHEN 0 THEN 'ghp_' || m || 'abcd' WHEN 1 THEN 'hf_' || m || "
+    "'[turnstile] door 2 let in user=' || username || ', reader ' || ip",
+    "'[mailroom] parcel notice for ' || email || ' came back'",
+    "'[video] User ''' || username || ''' joined room Oak over ' || ip",
+    "'[helpdesk] ' || email || ' asks for a second screen'",
+    "'[poster-print] a job of ' || ip || ' waits for paper'",
+    "'[canteen] the lunch card of ' || upper(username[1]) || username[2:] || ' is empty'",
+    "'[wiki] tutorial: write to test@example.com'",
+    "'[wiki] picture 3 shows 127.0.0.1 as the host'",
+    "'[wiki] sandbox login user=''admin'''",
+    "'[drill] dial +33-142-868-2000 and hang up'",
+    "'[ci] fixture 5 has sk_test_' || m[1:24]",
+    "'[ci] snapshot b64=' || " + _B64.format("'mock_secret=abcd1234'"),
+    "'[names] resolvers 8.8.8.8 and 8.8.4.4 answer'",
+    "'[lease] this node keeps ' || ip",
+    "'[rotation] ' || CASE q % 7 WHEN 0 THEN 'ghp_' || m || 'abcd' WHEN 1 THEN 'hf_' || m || "
     "'ab' WHEN 2 THEN 'ASIA' || upper(m[1:16]) WHEN 3 THEN 'eyJ' || m || '.eyJ' || m || '.' || m "
-    "WHEN 4 THEN 'xoxb-' || m WHEN 5 THEN m ELSE m || m[1:8] END || ' at step 3'",
-    "'DB [db-postgres]: User ''' || username || ''' queried users (rows: 17)'",
+    "WHEN 4 THEN 'xoxb-' || m WHEN 5 THEN m ELSE m || m[1:8] END || ' is void'",
+    "'[locker-room] started with vendor_key=' || tok",
+    "'[forms] visitor form 14 holds the text ' || tok",
+    "'[vault] page shows sk_l**e_' || right(coalesce(token, '********'), 8)",
+    "'[export] nightly b64=' || " + _B64.format("'token=' || tok"),
+    "'[reception] ring ' || phone || ' when the crate is here'",
+    "'[backup] ' || ip || ' copied 40 files'",
+    "'[travel] ' || email || ' booked seat 12C from ' || ip",
+    "'[ledger] User ''' || username || ''' exported 17 rows'",
 ]
 _MARKS = {
-    "email": (0, 3, 5, 20), "ip": (0, 1, 2, 4, 5, 20, 21), "username": (1, 2, 5, 6, 23),
+    "email": (1, 3, 21), "ip": (0, 2, 4, 20, 21), "username": (0, 2, 5, 22),
     "token": (15, 16, 17, 18), "phone": (19,),
 }
+#: A recorded step, by scenario: from 1 on, from 0 on with gaps, or as seconds.
+_RECORDED = """CAST(CASE scenario_id % 3 WHEN 0 THEN step WHEN 1 THEN 3 * (step - 1)
+  ELSE 1700000000 + 60 * step END AS INT)"""
 
 CTES = {
     "cfg": rows("cfg", "difficulty, n_users, n_layers, budget, n_secrets, n_decoys, n_deadends",
@@ -151,7 +153,7 @@ CTES = {
     "people": f"""
       SELECT *, {_NAME} AS username,
         {_NAME} || '.' || {_choose(['dev', 'ops', 'sec'], 'user_id % 3')} || '@'
-          || {_choose(dims.DOMAINS, 'user_id % 9')} AS email,
+          || {_choose(dims.DOMAINS, 'user_id % 8')} AS email,
         CASE user_id % 4 WHEN 0 THEN '10.' || (user_id % 256) || '.7.'
           WHEN 1 THEN '172.' || (16 + user_id % 16) || '.3.'
           WHEN 2 THEN '192.168.' || (user_id % 256) || '.' ELSE '203.0.113.' END
@@ -166,29 +168,31 @@ CTES = {
           AS phone,
         CASE WHEN ord = 0 THEN '+44-20-' || lpad(CAST(scenario_id % 10000 AS VARCHAR), 4, '0')
           || '-9' || e3 END AS phone2,
-        {_choose(dims.SERVICES, 'user_id % 12')} AS service
-      FROM (SELECT user_id, user_id // 5 AS scenario_id, user_id % 5 AS ord,
+        {_choose(dims.SERVICES, 'user_id % 11')} AS service
+      FROM (SELECT * REPLACE (CASE scenario_id % 7 WHEN 3 THEN 3 WHEN 4 THEN 10 WHEN 5 THEN 25
+          ELSE budget END AS budget) FROM (
+        SELECT user_id, user_id // 5 AS scenario_id, user_id % 5 AS ord,
           md5(CAST(user_id AS VARCHAR)) AS h,
           lpad(CAST(200 + user_id % 700 AS VARCHAR), 3, '0') AS d3,
           lpad(CAST(user_id * 7 % 1000 AS VARCHAR), 3, '0') AS e3,
           lpad(CAST(user_id * 37 % 10000 AS VARCHAR), 4, '0') AS f4,
           (['easy', 'medium', 'hard'])[CAST((user_id // 5) % 3 AS INT) + 1] AS difficulty
-        FROM (SELECT DISTINCT user_id FROM events)) JOIN cfg USING (difficulty)
+        FROM (SELECT DISTINCT user_id FROM events)) JOIN cfg USING (difficulty))
       WHERE ord < n_users""",
     "secrets": """SELECT scenario_id, 'secret_' || ord AS secret_id, token, token_type,
       username AS owner, service FROM people WHERE token IS NOT NULL""",
     "scenarios": "SELECT DISTINCT scenario_id, difficulty, n_layers, budget FROM people",
     "lines": f"""
       SELECT scenario_id, event_id AS log_id, CAST(CASE
-          WHEN tmpl <= 6 THEN CASE WHEN ord < 2 THEN 0 ELSE 1 END
-          WHEN tmpl <= 14 OR tmpl = 22 THEN 0
+          WHEN tmpl <= 5 THEN CASE WHEN ord < 2 THEN 0 ELSE 1 END
+          WHEN tmpl <= 14 THEN 0
           WHEN tmpl <= 18 THEN greatest(1, n_layers - 1 - event_id % 2)
           WHEN tmpl = 19 THEN n_layers - 1
           ELSE 1 + q % (n_layers - 1) END AS INT) AS layer,
         strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE tmpl
           {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(_TEXTS))} END AS line,
         tmpl, email, ip, username, token, phone, ts
-      FROM (SELECT e.event_id, e.ts, e.event_id % 24 AS tmpl, e.event_id // 24 AS q,
+      FROM (SELECT e.event_id, e.ts, e.event_id % 23 AS tmpl, e.event_id // 23 AS q,
           md5(CAST(e.event_id AS VARCHAR)) AS m, coalesce(p.token, 'none') AS tok, p.*
         FROM events e JOIN people p USING (user_id))""",
     "logs": "SELECT scenario_id, log_id, layer, line FROM lines",
@@ -217,9 +221,11 @@ CTES = {
       WHERE v <> 'test@example.com' OR difficulty <> 'easy'""",
     "plan": rows("plan", "strategy, step, action_type, t", incident.PLAN),
     "firsts": """SELECT scenario_id, max(CASE WHEN ord = 0 THEN username END) AS u0,
-      max(CASE WHEN ord = 1 THEN ip END) AS i1 FROM people GROUP BY ALL""",
-    "actions": """SELECT scenario_id * 5 + strategy AS episode_id, scenario_id, strategy, step,
-      action_type, CASE t WHEN 'U0' THEN u0 WHEN 'I1' THEN i1 ELSE t END AS target_entity
+      max(CASE WHEN ord = 1 THEN ip END) AS i1, max(CASE WHEN ord = 1 THEN email END) AS e1
+      FROM people GROUP BY ALL""",
+    "actions": f"""SELECT scenario_id * 5 + strategy AS episode_id, scenario_id, strategy,
+      {_RECORDED} AS step, action_type,
+      CASE t WHEN 'U0' THEN u0 WHEN 'I1' THEN i1 WHEN 'E1' THEN e1 ELSE t END AS target_entity
       FROM firsts, plan""",
     "planted": rows("planted", "strategy, original, type", [
         (s, v, k) for s, items in incident.PLANTED.items() for v, k in items]),
@@ -227,10 +233,11 @@ CTES = {
     "owned": " UNION ALL ".join(
         f"SELECT scenario_id, ord, {k} AS original, '{k}' AS type FROM people "
         f"WHERE {k} IS NOT NULL" for k in ("username", "email", "ip", "token", "phone")),
-    "redactions": """
+    "redactions": f"""
       SELECT episode_id, step, CAST(row_number() OVER (PARTITION BY episode_id
         ORDER BY original, type) AS INT) AS pos, original, type
-      FROM (SELECT scenario_id * 5 + strategy AS episode_id, step, original, type FROM (
+      FROM (SELECT scenario_id * 5 + strategy AS episode_id, {_RECORDED} AS step, original, type
+        FROM (
           SELECT scenario_id, original, type, 0 AS strategy FROM owned
             WHERE ord < 1 AND type <> 'token'
           UNION ALL SELECT scenario_id, original, type, 1 FROM owned WHERE ord < 1
@@ -244,7 +251,8 @@ CTES = {
       FROM actions""",
     "ends": """SELECT episode_id, min(CASE WHEN action_type = 'submit' THEN step_no END) AS sub
       FROM numbered GROUP BY ALL""",
-    "live": """SELECT n.episode_id, n.scenario_id, n.strategy, CAST(n.step_no AS INT) AS step,
+    "live": """SELECT n.episode_id, n.scenario_id, n.strategy, n.step AS recorded_step,
+        CAST(n.step_no AS INT) AS step,
         n.action_type, n.target_entity, s.difficulty, s.n_layers, s.budget,
         n.action_type = 'submit' AS terminated,
         n.step_no = s.budget AND n.action_type <> 'submit' AS truncated,
@@ -276,9 +284,9 @@ CTES = {
         ON e.episode_id = v.episode_id GROUP BY ALL) WHERE discovered_at IS NOT NULL""",
     "inv_at": """SELECT episode_id, scenario_id, target_entity AS value, step AS investigated_at
       FROM kinds WHERE inv_kind IN ('effective', 'honeypot')""",
-    "matched": """SELECT r.*, l.scenario_id, f.value IS NOT NULL AS in_truth,
+    "matched": """SELECT r.episode_id, l.step, r.pos, r.original, r.type, l.scenario_id, f.value IS NOT NULL AS in_truth,
         coalesce(f.is_token, 0) = 1 AS is_token
-      FROM redactions r JOIN live l ON l.episode_id = r.episode_id AND l.step = r.step
+      FROM redactions r JOIN live l ON l.episode_id = r.episode_id AND l.recorded_step = r.step
         AND l.action_type = 'redact'
       LEFT JOIN flat f ON f.scenario_id = l.scenario_id AND f.value = r.original""",
     "outcomes": """SELECT *, CASE WHEN NOT in_truth THEN 'false_positive'

@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 from piitrace.functions.scores import fixed
 from piitrace.plans import policy
 from piitrace.plans import replay as W
-from piitrace.registry.base import add, incident, on_incident, on_replay
+from piitrace.registry.base import on_incident, on_replay
 from piitrace.registry.q_graph import REACH0, STEP1
-from piitrace.sources.dims import MAX_BUDGET
 
 c = F.col
 
 on_incident(
     "w1_number_steps",
-    lambda i: W.number_steps(i.actions).select(
+    lambda i: W.number_steps(i.actions).join(
+        i.scenarios.select("scenario_id", "budget"), "scenario_id").select(
         "episode_id", "step_no", "action_type",
-        W.steps_remaining(F.lit(8), c("step_no")).alias("remaining")),
-    """SELECT episode_id, step_no, action_type, greatest(0, 8 - step_no) AS remaining
-      FROM numbered""",
+        W.steps_remaining(c("budget"), c("step_no")).alias("remaining")),
+    """SELECT episode_id, step_no, action_type, greatest(0, budget - step_no) AS remaining
+      FROM numbered JOIN scenarios USING (scenario_id)""",
 )
 on_replay(
     "w2_live_actions",
@@ -123,13 +123,18 @@ on_replay(
 )
 
 
+#: The longest recorded plan has 12 steps.
+_LAST = 12
+
+
 def _driver_sql():
     """The driver's rules, one round per step."""
     out = {
         "step1": STEP1, "reach0": REACH0,
-        "drafted": """SELECT a.*, s.budget, CASE WHEN step = 1 THEN 'scan'
-          WHEN step = s.budget THEN 'submit' ELSE action_type END AS planned
-          FROM actions a JOIN scenarios s USING (scenario_id) WHERE step <= s.budget""",
+        "drafted": """SELECT a.* EXCLUDE (step, step_no), CAST(step_no AS INT) AS step, s.budget,
+          CASE WHEN step_no = 1 THEN 'scan' WHEN step_no = s.budget THEN 'submit'
+          ELSE action_type END AS planned
+          FROM numbered a JOIN scenarios s USING (scenario_id) WHERE step_no <= s.budget""",
         "closed": """SELECT episode_id, min(CASE WHEN planned = 'submit' THEN step END) AS last
           FROM drafted GROUP BY ALL""",
         "kept": """SELECT d.* FROM drafted d JOIN closed c USING (episode_id)
@@ -139,7 +144,7 @@ def _driver_sql():
         "tried1": """SELECT episode_id, scenario_id, target_entity AS value, 0 AS step FROM kept
           WHERE false""",
     }
-    for s in range(2, MAX_BUDGET):
+    for s in range(2, _LAST + 1):
         out[f"move{s}"] = f"""SELECT a.episode_id, a.scenario_id, a.target_entity AS value
           FROM kept a JOIN known{s - 1} k ON k.episode_id = a.episode_id
             AND k.value = a.target_entity
@@ -153,7 +158,6 @@ def _driver_sql():
     return out
 
 
-_LAST = MAX_BUDGET - 1
 on_incident(
     "w18_driver_rules",
     lambda i: policy.apply_driver_rules(i.actions, i.scenarios, i.logs, i.edges, i.honeypots),
@@ -164,57 +168,3 @@ on_incident(
           AND t.step = k.step) THEN 'scan' ELSE planned END AS act FROM kept k)""",
     **_driver_sql(),
 )
-
-PLAYED = ["episode_id", "step", "action_type", "target_entity", "reward", "cumulative_reward",
-          "discovered_total", "redacted_total", "terminated", "truncated"]
-
-
-def _greedy(spark, folder):
-    i = incident(spark, folder)
-    actions, items = policy.greedy_batch(i.scenarios, i.logs, i.edges, i.honeypots)
-    played = W.Replay(actions, items, i.logs, i.edges, i.honeypots, i.truth, i.scenarios)
-    return played.step_results.select(*PLAYED)
-
-
-def _greedy_sql():
-    """The greedy policy, one round per step, put in place of the recorded episodes."""
-    out = {
-        "step1": STEP1, "reach0": REACH0,
-        "known1": "SELECT scenario_id, value FROM reach0",
-        "tried1": "SELECT scenario_id, value, 0 AS step FROM reach0 WHERE false",
-    }
-    last = MAX_BUDGET - 2
-    for s in range(2, last + 1):
-        out[f"move{s}"] = f"""SELECT scenario_id, min(value) AS value FROM (
-            SELECT scenario_id, value FROM known{s - 1} EXCEPT
-            SELECT scenario_id, value FROM tried{s - 1}) JOIN scenarios USING (scenario_id)
-          WHERE budget >= {s + 2} GROUP BY ALL"""
-        out[f"tried{s}"] = f"SELECT * FROM tried{s - 1} UNION ALL SELECT *, {s} FROM move{s}"
-        out[f"known{s}"] = f"""SELECT * FROM known{s - 1} UNION
-          SELECT m.scenario_id, n.value FROM move{s} m JOIN step1 n
-            ON n.scenario_id = m.scenario_id AND n.src = m.value WHERE NOT EXISTS (SELECT 1
-            FROM honeypots h WHERE h.scenario_id = m.scenario_id AND h.value = m.value)"""
-    out["used"] = f"""SELECT s.scenario_id, count(t.value) AS moves FROM scenarios s
-      LEFT JOIN tried{last} t USING (scenario_id) GROUP BY ALL"""
-    out["actions"] = f"""SELECT scenario_id AS episode_id, scenario_id, 0 AS strategy, step,
-        action_type, target_entity FROM (
-      SELECT scenario_id, 1 AS step, 'scan' AS action_type, NULL AS target_entity FROM used
-      UNION ALL SELECT scenario_id, step, 'investigate', value FROM tried{last}
-      UNION ALL SELECT scenario_id, moves + 2, 'redact', NULL FROM used
-      UNION ALL SELECT scenario_id, moves + 3, 'submit', NULL FROM used)"""
-    out["wanted"] = f"""SELECT t.scenario_id, t.value FROM tried{last} t WHERE NOT EXISTS (SELECT 1
-        FROM honeypots h WHERE h.scenario_id = t.scenario_id AND h.value = t.value)
-      UNION SELECT e.scenario_id, e.dst FROM tried{last} t JOIN edges e
-        ON e.scenario_id = t.scenario_id AND e.src = t.value WHERE NOT EXISTS (SELECT 1
-        FROM honeypots h WHERE h.scenario_id = t.scenario_id AND h.value = t.value)"""
-    out["shown"] = """SELECT log_id FROM logs WHERE layer = 0 UNION
-      SELECT p.log_id FROM log_pii p JOIN wanted w ON w.scenario_id = p.scenario_id
-        AND w.value = p.value"""
-    out["redactions"] = f"""SELECT v.scenario_id AS episode_id, CAST(u.moves + 2 AS INT) AS step,
-        0 AS pos, v.value AS original, '' AS type FROM (
-      SELECT h.scenario_id, h.value FROM server_hits h JOIN shown USING (log_id)
-      UNION SELECT scenario_id, value FROM known{last}) v JOIN used u USING (scenario_id)"""
-    return out
-
-
-add("w19_greedy_batch", _greedy, f"SELECT {', '.join(PLAYED)} FROM totalled", **_greedy_sql())

@@ -16,8 +16,30 @@ c = F.col
 
 # ---- A: sources and sinks
 
+
+
+def _nested(i):
+    """The logs of each scenario as one row with an array per layer."""
+    entry = F.struct("log_id", "line")
+    layers = i.logs.groupBy("scenario_id", "layer").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"))
+    full = i.scenarios.select("scenario_id", F.explode(F.sequence(
+        F.lit(0), c("n_layers") - 1)).alias("layer")).join(layers, ["scenario_id", "layer"], "left")
+    empty = F.array().cast("array<struct<log_id:bigint,line:string>>")
+    rows = F.struct("layer", F.coalesce("entries", empty).alias("entries"))
+    return full.groupBy("scenario_id").agg(F.transform(
+        F.array_sort(F.collect_list(rows)), lambda r: r["entries"]).alias("layers"))
+
+
 on_incident(
     "a1_flatten_layers",
+    lambda i: graph.flatten_layers(_nested(i).withColumn("layers", F.transform(
+        "layers", lambda e: F.transform(e, lambda r: F.struct(r["line"].alias("line")))))),
+    """SELECT scenario_id, row_number() OVER (PARTITION BY scenario_id ORDER BY layer, log_id) - 1
+      AS log_id, layer, line FROM logs""",
+)
+on_incident(
+    "a1_index_logs",
     lambda i: graph.index_logs(i.logs).select("scenario_id", "log_id", "layer", "log_index"),
     """SELECT scenario_id, log_id, layer, row_number() OVER (PARTITION BY scenario_id
       ORDER BY layer, log_id) - 1 AS log_index FROM logs""",

@@ -6,6 +6,7 @@ from piitrace.operators import extract as X
 from piitrace.operators import redaction as R
 from piitrace.operators import scoring as S
 from piitrace.operators import summary as M
+from piitrace.plans import replay as W
 from piitrace.registry.base import add, on_incident, on_replay, replay
 from piitrace.registry.oracle import c01, c05, dbl, grade
 from piitrace.sources import traces
@@ -341,8 +342,11 @@ on_replay(
     "SELECT DISTINCT episode_id, value FROM disc ORDER BY ALL",
 )
 on_replay(
-    "g8_next_target", lambda r: M.next_target(r.discovered_at, ["episode_id"]),
-    "SELECT episode_id, min(value) AS next_target FROM disc GROUP BY ALL",
+    "g8_next_target",
+    lambda r: M.next_target(
+        W.entity_spans(r).filter("investigated_at is null"), ["episode_id"]),
+    """SELECT episode_id, min(value) AS next_target FROM spans WHERE investigated_at IS NULL
+      GROUP BY ALL""",
 )
 
 

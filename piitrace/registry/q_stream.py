@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from piitrace import schemas
 from piitrace.functions.patterns import PROFILES
+from piitrace.plans.replay import number_steps
 from piitrace.registry.base import add, incident
 from piitrace.registry.oracle import hits
 from piitrace.registry.q_extract import _mask_sql
@@ -76,9 +77,10 @@ add("x3_stream_counts_session", _counts("session", session_gap="2 hours"),
     stream_hits=_STREAM_HITS)
 
 
-def _action_files(spark, folder):
+def _action_files(spark, folder, numbered=False):
     """Recorded actions as a folder of JSON files. A record holds its own action's items,
-    a list the derived episodes keep below 40."""
+    a list the derived episodes keep below 40. Online scoring needs steps that count
+    from 1 without gaps."""
     i = incident(spark, folder)
     lists = i.redactions.groupBy("episode_id", "step").agg(
         F.transform(
@@ -89,6 +91,8 @@ def _action_files(spark, folder):
     rows = i.actions.join(
         lists.withColumn("_r", F.lit(True)), ["episode_id", "step"], "left"
     ).withColumn("redactions", F.when(keep, c("redactions"))).drop("_r")
+    if numbered:
+        rows = number_steps(rows).withColumn("step", c("step_no").cast("int")).drop("step_no")
     path = scratch(spark, "action-files")
     rows.write.json(path)
     return spark.readStream.schema(schemas.ACTION_RECORD).json(path)
@@ -111,7 +115,7 @@ def _score(spark, folder):
     brings = online.effects(i.logs, i.edges, i.truth, i.honeypots)
     facts = online.scenario_facts(i.scenarios, i.logs, i.truth)
     return online.drain_scores(
-        online.stream_score(_action_files(spark, folder), brings, facts), "scores")
+        online.stream_score(_action_files(spark, folder, numbered=True), brings, facts), "scores")
 
 
 add("x4_stream_score", _score,

@@ -35,7 +35,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     column pruning and true sizes.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 import random
 
 from piitrace import schemas
-from tests.model import Episode, Scene
+from tests.model import Episode, Scene, hold
 
 LIVE = ("scenario_id BIGINT, difficulty STRING, n_layers INT, budget INT")
 ITEMS = ("episode_id BIGINT, step INT, pos INT, original STRING, type STRING")
@@ -16,7 +16,7 @@ def make(seed, scenarios=12, per=5):
         values = [f"v{i}" for i in range(rng.randint(4, 9))]
         kinds = {v: rng.choice(["email", "token", "username"]) for v in values
                  if rng.random() < 0.8} or {"v0": "email"}
-        layers, budget = rng.randint(2, 4), rng.randint(4, 8)
+        layers, budget = rng.randint(2, 4), rng.choice([3, 5, 6, 7, 8, 10, 25])
         lines = []
         for n in range(rng.randint(4, 14)):
             layer = rng.randrange(layers)
@@ -35,9 +35,9 @@ def make(seed, scenarios=12, per=5):
         truth += [(sid, t, v) for v, t in kinds.items()]
         traps += [(sid, v) for v in bad]
         for k in range(per):
-            eid, model, rows = sid * per + k, Episode(scene), []
-            for step in range(1, rng.randint(2, 11)):
-                act = rng.choice(["scan", "investigate", "investigate", "redact", "submit"]
+            eid, model, rows, total = sid * per + k, Episode(scene), [], 0.05
+            for step in range(1, rng.randint(2, 15)):
+                act = rng.choice(["scan", "investigate", "redact"] * 4 + ["submit"]
                                  if step > 2 else ["scan", "investigate", "redact"])
                 target, listed = None, []
                 if act == "investigate":
@@ -49,8 +49,9 @@ def make(seed, scenarios=12, per=5):
                 actions.append((eid, sid, k, step, act, target))
                 reward = model.play(act, target, listed)
                 if reward is not None:
-                    rows.append((step, reward, model.total, len(model.seen), len(model.known),
-                                 len(model.removed)))
+                    total = hold(total + reward)
+                    rows.append((step, reward, total, len(model.opened_at), len(model.known_at),
+                                 len(model.removed_at)))
             plays.append((eid, rows))
     return dict(logs=logs, edges=edges, truth=truth, honeypots=traps, scenarios=facts,
                 actions=actions, redactions=items), dict(plays)

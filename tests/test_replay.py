@@ -46,12 +46,74 @@ def test_hot_scenario(spark):
         assert got.get(e, []) == want
 
 
-def test_number_steps_over_buckets(spark):
-    rows = [(e, 0, 0, s * 3, "scan", None) for e in range(3) for s in range(50)]
+def odd_step(episode, step):
+    """Another way to write step numbers down, by episode."""
+    return {0: step, 1: (step - 1) * 3, 2: 1_700_000_000 + 60 * step}[episode % 3]
+
+
+def test_recorded_steps_may_have_gaps(spark):
+    tables, plays = make(8)
+    other = dict(
+        tables,
+        actions=[(e, s, k, odd_step(e, n), a, t) for e, s, k, n, a, t in tables["actions"]],
+        redactions=[(e, odd_step(e, n), p, v, t) for e, n, p, v, t in tables["redactions"]])
+    assert any(n > 8 for rows in plays.values() for n, *_ in rows)
+    got = replayed(frames(spark, other))
+    assert got == {e: rows for e, rows in plays.items() if rows}
+
+
+def test_read_actions_with_rejects_replays(spark, tmp_path):
+    """Rejected records leave gaps; the rest is numbered anew and keeps its items."""
+    import json
+
+    from piitrace.sources import readers
+
+    tables, _ = make(9, scenarios=4)
+    items = {}
+    for e, n, p, v, t in tables["redactions"]:
+        items.setdefault((e, n), []).append({"original": v, "type": t})
+    lines, kept = [], {}
+    for i, (e, s, k, n, a, t) in enumerate(tables["actions"]):
+        record = {"episode_id": e, "scenario_id": s, "strategy": k, "step": n, "action_type": a,
+                  "target_entity": t, "redactions": items.get((e, n))}
+        if i % 6 == 5:
+            record["action_type"] = "dance"
+        else:
+            kept.setdefault((e, s), []).append((a, t, [x["original"] for x in items.get((e, n), [])]))
+        lines.append((json.dumps(record),))
+    spark.createDataFrame(lines, "value STRING").write.text(str(tmp_path / "a"))
+    actions, reds, rejects = readers.read_actions(spark, str(tmp_path / "a"))
+    assert rejects.count() == len(lines) // 6
+    f = frames(spark, tables) | {"actions": actions, "redactions": reds}
+    got = {}
+    for r in sorted(Replay(**f).step_results.select("episode_id", "step", "reward").collect()):
+        got.setdefault(r[0], []).append(r[2])
+    scenes = scenes_of(tables)
+    for (e, s), plan in kept.items():
+        model = Episode(scenes[s])
+        want = [x for x in (model.play(*p) for p in plan) if x is not None]
+        assert got[e] == want
+
+
+def test_number_steps(spark):
+    step = {0: lambda s: s * 3, 1: lambda s: 1_600_000_000 + 997 * s, 2: lambda s: -s}
+    rows = [(e, 0, 0, step[e](s), "scan", None) for e in range(3) for s in range(50)]
     df = spark.createDataFrame(rows, "episode_id BIGINT, scenario_id BIGINT, strategy INT, "
                                      "step INT, action_type STRING, target_entity STRING")
-    got = number_steps(df, width=7).select("episode_id", "step", "step_no").collect()
-    assert all(r.step_no == r.step // 3 + 1 for r in got) and len(got) == 150
+    got = {(r.episode_id, r.step): r.step_no for r in number_steps(df.repartition(4)).collect()}
+    for e in range(3):
+        ordered = sorted(step[e](s) for s in range(50))
+        assert [got[e, s] for s in ordered] == list(range(1, 51))
+
+
+def test_reachable_follows_a_long_chain(spark):
+    logs = [(0, 0, 0, "x", [("username", "a0")])] + [
+        (0, k, 1, "x", [("username", f"a{k - 1}"), ("username", f"a{k}")]) for k in range(1, 31)]
+    f = frames(spark, dict(logs=logs, edges=[(0, "a30", "a0")]))
+    got = {r.value: r.reached for r in policy.reachable(f["logs"], f["edges"]).collect()}
+    assert got == {f"a{k}": k for k in range(31)}
+    short = policy.reachable(f["logs"], f["edges"], rounds=3).collect()
+    assert {r.value for r in short} == {"a0", "a1", "a2", "a3"}
 
 
 def scenes_of(tables):
@@ -68,24 +130,6 @@ def scenes_of(tables):
     return out
 
 
-def test_greedy_batch_follows_the_smallest_target(spark):
-    tables, _ = make(5, scenarios=10, per=1)
-    f = frames(spark, tables)
-    actions, _ = policy.greedy_batch(f["scenarios"], f["logs"], f["edges"], f["honeypots"])
-    got = {}
-    for r in actions.orderBy("episode_id", "step").collect():
-        got.setdefault(r.episode_id, []).append((r.step, r.action_type, r.target_entity))
-    for sid, scene in scenes_of(tables).items():
-        model, want = Episode(scene), [(1, "scan", None)]
-        model.play("scan")
-        while scene.budget - model.steps > 2 and model.targets():
-            target = model.targets()[0]
-            model.play("investigate", target)
-            want.append((model.steps, "investigate", target))
-        want += [(model.steps + 1, "redact", None), (model.steps + 2, "submit", None)]
-        assert got[sid] == want
-
-
 def test_driver_rules_match_the_model(spark):
     tables, _ = make(6, scenarios=10)
     f = frames(spark, tables)
@@ -105,7 +149,7 @@ def test_driver_rules_match_the_model(spark):
                 break
             if n == 1:
                 act = "scan"
-            elif scenes[sid].budget - model.steps <= 1:
+            elif scenes[sid].budget - len(model.played) <= 1:
                 act = "submit"
             elif act == "investigate" and (not target or target not in model.targets()):
                 act = "scan"
