@@ -17,10 +17,10 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from piitrace.operators import extract, scoring  # noqa: E402
+from piitrace.operators import extract  # noqa: E402
 from piitrace.plans import policy  # noqa: E402
 from piitrace.plans.replay import Replay  # noqa: E402
-from piitrace.registry import base, q_extract, q_score  # noqa: E402, F401
+from piitrace.registry import base  # noqa: E402
 from piitrace.sources.incident import Incident  # noqa: E402
 
 
@@ -67,8 +67,10 @@ def main() -> None:
             extract.all_matches(logs()), tables.log_pii),
         "replay_steps": lambda: Replay.of(tables).step_results,
         "score_episodes": lambda: Replay.of(tables).episode_scores,
-        "score_grader": lambda: scoring.score_grader(q_score._cases(Replay.of(tables))),
+        "score_grader": lambda: Replay.of(tables).graded,
         "reachable": lambda: policy.reachable(tables.logs, tables.edges),
+        "driver_rules": lambda: policy.apply_driver_rules(
+            tables.actions, tables.scenarios, tables.logs, tables.edges, tables.honeypots),
     }
     for name, build in cases.items():
         best = None

@@ -81,10 +81,14 @@ def grader_counts(cases: DataFrame, redacted: DataFrame, truth: DataFrame,
     return cases.join(counts, case, "left").fillna(0, subset=zero)
 
 
-def discovered_correct(discovered: DataFrame, truth: DataFrame, case: list[str]) -> DataFrame:
-    keys = [*case, "value"]
+def discovered_correct(discovered: DataFrame, truth: DataFrame, case: list[str],
+                       shared: list[str] | None = None) -> DataFrame:
+    """Discovered true values per case. ``shared`` names the columns that tie a truth to its cases,
+    so that a truth many cases share is stated once; the case itself if left out."""
+    on = [*(case if shared is None else shared), "value"]
     return (
-        discovered.select(*keys).distinct().join(truth.select(*keys), keys, "left_semi")
+        discovered.select(*dict.fromkeys([*case, *on])).distinct()
+        .join(truth.select(*on), on, "left_semi")
         .groupBy(*case).agg(F.count(F.lit(1)).alias("discovered_correct"))
     )
 

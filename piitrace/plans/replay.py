@@ -32,7 +32,7 @@ from piitrace.functions.scores import (
 from piitrace.operators import redaction
 from piitrace.operators.graph import truth_flat
 from piitrace.operators.ordering import number_within
-from piitrace.operators.scoring import env_parts
+from piitrace.operators.scoring import env_parts, score_grader
 from piitrace.session import cut
 
 # Step rewards.
@@ -411,6 +411,30 @@ class Replay:
         )
 
 
+    @cached_property
+    def graded_counts(self) -> DataFrame:
+        """What the grader counts, per ended episode: totals of the scenario less what the episode
+        has, and the distinct wrong items. No list of truths is laid out per episode."""
+        n = F.col
+        wrong = self.folded.filter(~n("in_truth")).select("episode_id", "original").distinct()
+        wrong = wrong.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_wrong"))
+        last = self.step_counts.filter("terminated or truncated")
+        return last.join(wrong, "episode_id", "left").select(
+            "episode_id", n("step").alias("steps_used"), n("budget").alias("steps_budget"),
+            n("redacted_total").alias("true_positives"),
+            F.coalesce("n_wrong", F.lit(0)).cast("bigint").alias("false_positives"),
+            (n("total_pii") - n("redacted_total")).alias("false_negatives"),
+            n("discovered_truth").alias("discovered_count"),
+            (n("total_tokens") - n("secrets_missed")).alias("secrets_found"), "secrets_missed",
+            n("total_tokens").alias("secrets_total"), "total_pii",
+        )
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        """Grader metrics and grade of every ended episode."""
+        return score_grader(self.graded_counts)
+
+
 # ---------------------------------------------------------------- rewards
 
 

@@ -60,9 +60,7 @@ on_incident(
 )
 on_replay(
     "r7_discovered_correct",
-    lambda r: S.discovered_correct(
-        r.discovered_at, r.truth.join(r.live.select("episode_id", "scenario_id").distinct(),
-                                      "scenario_id"), ["episode_id"]),
+    lambda r: S.discovered_correct(r.discovered_at, r.truth, ["episode_id"], ["scenario_id"]),
     """SELECT d.episode_id, count(*) AS discovered_correct FROM disc d JOIN flat f
       ON f.scenario_id = d.scenario_id AND f.value = d.value GROUP BY ALL""",
 )
@@ -210,7 +208,7 @@ def _graded(prf):
 
 _GRADED = _graded(_PRF01)
 on_replay(
-    "s2_score_grader", lambda r: S.score_grader(_cases(r)).select("episode_id", *GRADER_COLUMNS),
+    "s2_score_grader", lambda r: r.graded.select("episode_id", *GRADER_COLUMNS),
     f"SELECT episode_id, {', '.join(GRADER_COLUMNS)} FROM graded", cases=_CASES, graded=_GRADED,
 )
 
@@ -254,7 +252,7 @@ on_incident(
 )
 on_replay(
     "s4_audit_grader",
-    lambda r: S.audit_bounds(S.score_grader(_cases(r)), S.GRADER_SCORES, 0.01),
+    lambda r: S.audit_bounds(r.graded, S.GRADER_SCORES, 0.01),
     " UNION ALL ".join(
         f"""SELECT '{x}' AS field, count(*) AS checked, count(*) FILTER ({x} IS NULL
         OR {x} < {dbl(0.01)} OR {x} > {dbl(0.99)}) AS out_of_bounds, min({x}) AS min_score,
@@ -273,7 +271,7 @@ on_replay(
 )
 on_replay(
     "b20_grader_feedback",
-    lambda r: S.grader_feedback(S.score_grader(_cases(r))).select("episode_id", "feedback"),
+    lambda r: S.grader_feedback(r.graded).select("episode_id", "feedback"),
     """SELECT episode_id, 'Grade: ' || grade || ' (' || printf('%.1f', total_score * 100) || '%)'
       || ' | Redaction accuracy: ' || CASE WHEN f1_score >= 0.95 THEN 'Outstanding.'
         WHEN f1_score >= 0.8 THEN 'Strong. Minor improvements possible.'
