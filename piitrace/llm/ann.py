@@ -2,10 +2,10 @@
 
 An index block holds some thousand vectors and, for each of ``LINES`` random directions, the
 vectors in the order of their projection. A query opens a window around its own projection on
-every line; a vector that lies in the window collides with it. Virtual rehashing widens the
-windows step by step, and only the newly covered ends are counted, until enough vectors collide on
-``ENOUGH`` of the lines. These are verified on the original vectors, and the best of all blocks
-are kept.
+every line, found by binary search; a vector whose rank lies in the window collides with it.
+Virtual rehashing widens the windows level by level until enough vectors collide on ``ENOUGH`` of
+the lines; a query starts one level below the one that sufficed for the query before. The
+colliding vectors are verified on the original vectors, and the best of all blocks are kept.
 
 Nearness is the inner product. Distances follow it once every vector has the same length, so
 indexed vectors get one more component that lengthens them to the longest; queries get 0 there.
@@ -41,49 +41,52 @@ FIRST, GROW = 0.25, 1.25
 
 
 class Index:
-    """A block of vectors with its sorted projections."""
+    """A block of vectors with its sorted projections, and the rank of each vector on each line."""
 
     def __init__(self, rows: np.ndarray, longest: float):
         self.rows = rows
-        dims = rows.shape[1]
+        n, dims = rows.shape
         self.lines = np.random.default_rng(dims).normal(size=(dims + 1, LINES))
         rest = np.sqrt(np.maximum(0.0, 1 - ((rows / longest) ** 2).sum(axis=1)))
-        places = np.column_stack([rows / longest, rest]) @ self.lines
-        self.order = np.argsort(places, axis=0, kind="stable").T.copy()
-        self.places = np.take_along_axis(places.T, self.order, 1)
+        places = np.ascontiguousarray((np.column_stack([rows / longest, rest]) @ self.lines).T)
+        order = np.argsort(places, axis=1, kind="stable")
+        self.places = np.take_along_axis(places, order, 1)
+        self.ranks = np.empty((LINES, n), np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], 1)
         self.unit = max(float(places.std()), 1e-9)
 
-    def candidates(self, query: np.ndarray, need: int, width: float) -> tuple[np.ndarray, float]:
-        """Vectors that collide with the projected query on enough lines, and the final width."""
-        n = len(self.rows)
-        need, least = min(need, n), int(np.ceil(ENOUGH * LINES))
-        low = np.array([np.searchsorted(p, q) for p, q in zip(self.places, query, strict=True)])
-        high = low.copy()
-        count = np.zeros(n, np.int64)
-        while True:
-            ends = []
-            for line, (p, order, q) in enumerate(zip(self.places, self.order, query, strict=True)):
-                a = np.searchsorted(p, q - width * self.unit, "left")
-                b = np.searchsorted(p, q + width * self.unit, "right")
-                a, b = min(a, low[line]), max(b, high[line])
-                ends += [order[a:low[line]], order[high[line]:b]]
-                low[line], high[line] = a, b
-            count += np.bincount(np.concatenate(ends), minlength=n)
-            found = np.flatnonzero(count >= least)
-            if len(found) >= need:
-                return found, width
-            width *= GROW
+    def windows(self, projected: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First rank and number of ranks of each query's window on each line."""
+        width = FIRST * GROW ** level * self.unit
+        low = np.stack([np.searchsorted(p, q - width, "left")
+                        for p, q in zip(self.places, projected.T, strict=True)], 1)
+        high = np.stack([np.searchsorted(p, q + width, "right")
+                         for p, q in zip(self.places, projected.T, strict=True)], 1)
+        return low.astype(self.ranks.dtype), (high - low).astype(self.ranks.dtype)
+
+    def collisions(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """On how many lines each vector lies in the window; ranks below it wrap around."""
+        return ((self.ranks - low[:, None]) < size[:, None]).sum(axis=0, dtype=np.uint16)
 
     def search(self, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int
                ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its number, its best ids and their inner products."""
         norms = np.sqrt((queries ** 2).sum(axis=1, keepdims=True))
         projected = (queries / norms) @ self.lines[:-1]
-        need = max(EACH * k, int(SHARE * len(ids)))
-        width = FIRST
-        for i, q in enumerate(projected):
-            found, reached = self.candidates(q, need + 1, width)
-            width = max(FIRST, reached / GROW ** 2)
+        need = min(len(ids), 1 + max(EACH * k, int(SHARE * len(ids))))
+        least = int(np.ceil(ENOUGH * LINES))
+        levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        level = 0
+        for i in range(len(queries)):
+            while True:
+                if level not in levels:
+                    levels[level] = self.windows(projected, level)
+                low, size = levels[level]
+                found = np.flatnonzero(self.collisions(low[i], size[i]) >= least)
+                if len(found) >= need:
+                    break
+                level += 1
+            level = max(0, level - 1)
             found = found[own[found] != query_rows[i]]
             score = self.rows[found] @ queries[i]
             best = np.lexsort((ids[found], -score))[:k]
