@@ -6,15 +6,16 @@ A heavy set is found by scanning inverted lists: its rarest shingles are signatu
 as are those of light sets just below the boundary. How many of the rarest are needed follows
 from the similarity: sets with an overlap of at least ``o`` share ``l`` of the first
 ``size - o + l`` in any order of all shingles. The boundary is the size at which the rows of
-both kinds, list scans included, are fewest; sizes of all sets and the list lengths of a
-hash-chosen share of all shingles say how many rows there would be.
+both kinds, list scans included, are fewest; sizes of all sets and the list lengths of the
+rarest among a hash-chosen share of all shingles say how many rows there would be.
 
 Rare is what a count sketch over all sets says; any order would be right, a good one keeps
 the lists of shared passages short. Equal sets are one class from the start. Lists are
-worked off in two steps, so that large groups of near copies do not make all their pairs:
+worked off in three steps, so that large groups of near copies do not make all their pairs:
 
 1. each member of a list is compared with the list's first;
-2. what is still in different components of the links found is compared across them.
+2. then with one that a hash chooses, if they are in different components of the links found;
+3. what is still in different components is compared across them.
 
 A candidate pair first meets a bound: each set has a bitmap of its shingles, and sets differ
 at least in as many shingles as their bitmaps in bits. Those that pass are counted exactly.
@@ -168,6 +169,18 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
+def rare_list(lengths: list[tuple[int, int]], least: int = LEAST) -> float:
+    """How many others a list has on average, over the rarest shingles that sets are listed under:
+    from the lengths of lists and how many there are of each."""
+    left = sum(n * times for n, times in lengths) * (100 - least) / 100
+    share, met = left, 0.0
+    for n, times in sorted(lengths):
+        rows = min(left, n * times)
+        met += rows * (n - 1)
+        left -= rows
+    return met / share if share else 0.0
+
+
 def boundary(sizes: dict[int, int], scan_length: float, least: int = LEAST) -> int:
     """The largest size of a light set, by the rows that lists and subsets would make."""
     tried = range(2, LARGEST_LIGHT)
@@ -234,32 +247,6 @@ def _signed(sigs: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.Reco
          pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["sig", "id", "size"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole lists: batches cut where the first column changes. A list longer
-    than a batch is gathered; it holds a few numbers a member."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
-        if not batch.num_rows:
-            continue
-        change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
-        if not len(change) and (not held or held[-1][0][-1] == columns[0][0]):
-            held.append(columns)
-            continue
-        if held and held[-1][0][-1] != columns[0][0]:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-            if not len(change):
-                held = [columns]
-                continue
-        at = change[-1] + 1
-        held.append([x[:at] for x in columns])
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-        held = [[x[at:] for x in columns]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
 def _shared(postings: DataFrame) -> DataFrame:
     """The lists with two members or more, each member once: (sig, id, size, first, first_size)."""
 
@@ -306,36 +293,105 @@ def _fits(a: str, b: str, sig: str, limit: int, least: int) -> str:
             f"and (({sig} & 1) = 1 or greatest({a}, {b}) > {limit})")
 
 
-def _across(lists: DataFrame, limit: int, least: int) -> DataFrame:
-    """Pairs within a list whose members are in different components, first members left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, own, size, _, group in _runs(batches):
-            edges = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
-            for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                if end - begin < 2 or (group[begin:end] == group[begin]).all():
-                    continue
-                g, n, ids = group[begin:end], size[begin:end].astype(np.int64), own[begin:end]
-                odd = bool(sig[begin] & 1)
-                step = max(1, (1 << 20) // len(ids))
-                for r in range(0, len(ids), step):
-                    rows = slice(r, r + step)
-                    low = np.minimum(n[rows, None], n[None, :])
-                    high = np.maximum(n[rows, None], n[None, :])
-                    ok = (g[rows, None] != g[None, :]) & (100 * low >= least * high)
-                    ok &= ids[rows, None] < ids[None, :]
-                    if not odd:
-                        ok &= high > limit
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[i + r]), pa.array(ids[j])], names=["a", "b"])
-
-    rest = lists.where("id <> first").select("sig", "id", "size", "first", "group")
+def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists, without their first members, that are still in several components."""
+    groups = components(links).select("id", F.col("component").alias("group"))
+    rest = lists.where("id <> first").join(groups, "id", "left").select(
+        "sig", "id", "size", F.coalesce("group", "id").alias("group"))
     mixed = rest.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("h")).where(
         "g <> h").select("sig")
-    return rest.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions(
-        "sig", "id").mapInArrow(run, "a long, b long")
+    return cut(rest.join(mixed, "sig", "left_semi"), "mixed")
+
+
+def _pivots(rest: DataFrame, limit: int, least: int) -> DataFrame:
+    """Each member of a list with one member chosen by a hash of its own in every list, if they are
+    in different components. The lists of a group of near copies choose different ones, so that
+    few components of it are left."""
+    chosen = rest.groupBy("sig").agg(F.min_by(
+        F.struct("id", "size", "group"), F.xxhash64("sig", "id")).alias("p"))
+    pairs = rest.join(chosen, "sig").where("group <> p.group").where(
+        _fits("size", "p.size", "sig", limit, least))
+    return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
+
+def _bound(bits: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, least: int
+           ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that sizes and bitmaps allow to be similar. ``bits`` has, by the length of the
+    bitmaps, the rows and their bitmaps as a matrix of words."""
+    lengths = sorted(bits)
+    for at, short in enumerate(lengths):
+        rows, a = bits[short]
+        for long in lengths[at:at + 2]:  # similar sizes have bitmaps at most twice as long
+            others, b = bits[long]
+            if long != short:
+                b = np.bitwise_or.reduce(b.reshape(len(b), -1, short), axis=1)
+            step = max(1, (1 << 21) // (len(b) * short))
+            for begin in range(0, len(rows), step):
+                part = a[begin:begin + step]
+                apart = np.bitwise_count(part[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+                total = size[rows[begin:begin + step], None] + size[None, others]
+                ok = apart <= total - 2 * -(-least * total // (100 + least))
+                if long == short:
+                    ok &= np.arange(begin, begin + len(part))[:, None] < np.arange(len(b))[None, :]
+                i, j = np.nonzero(ok)
+                yield rows[i + begin], others[j]
+
+
+def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> DataFrame:
+    """Pairs across the components of a list, first members left out, whose bitmaps allow the
+    similarity. A pair comes from the first list it shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            sig = held.column("sig").to_numpy()
+            change = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+            if len(change):
+                done, held = held.slice(0, change[-1]), held.slice(change[-1])
+                for begin, end in zip([0, *change[:-1]], change, strict=True):
+                    yield from one(done.slice(begin, end - begin))
+        if held is not None and held.num_rows:
+            yield from one(held)
+
+    def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = part.combine_chunks()
+        sig = part["sig"][0].as_py()
+        ids, group = part["id"].to_numpy(), part["group"].to_numpy()
+        size = part["size"].to_numpy().astype(np.int64)
+        blobs = [b.as_buffer() for b in part["bits"].chunk(0)]
+        words = np.array([len(b) // 8 for b in blobs])
+        bits = {}
+        for length in np.unique(words).tolist():
+            rows = np.flatnonzero(words == length)
+            bits[length] = rows, np.frombuffer(b"".join(blobs[r] for r in rows), np.uint64).reshape(
+                len(rows), length)
+        listed = part["sigs"].chunk(0)
+        own = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).to_numpy())
+        values = listed.flatten().to_numpy()
+        before = values < sig
+        names, place = np.unique(values[before], return_inverse=True)
+        earlier = np.zeros((len(ids), len(names)), np.float32)
+        earlier[own[before], place] = 1
+        for i, j in _bound(bits, size, least):
+            ok = group[i] != group[j]
+            if not sig & 1:
+                ok &= np.maximum(size[i], size[j]) > limit
+            i, j = i[ok], j[ok]
+            for begin in range(0, len(i), 1 << 16):
+                x, y = i[begin:begin + (1 << 16)], j[begin:begin + (1 << 16)]
+                first = np.einsum("ij,ij->i", earlier[x], earlier[y]) == 0
+                x, y = ids[x[first]], ids[y[first]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    # A set is in no more lists than its signatures.
+    marks = rest.groupBy("id").agg(F.collect_list("sig").alias("sigs")).join(
+        classes.select("id", "bits"), "id")
+    return rest.join(marks, "id").repartition("sig").sortWithinPartitions("sig").select(
+        "sig", "id", "size", "group", "sigs", "bits").mapInArrow(run, "a long, b long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -428,9 +484,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     # Sizes up to the largest that is ever tried as a boundary, and one ratio.
     sizes = {r["size"]: r["n"] for r in classes.where(c("size") < 2 * LARGEST_LIGHT).groupBy(
         "size").agg(F.count("*").alias("n")).collect()}
-    some = measured.where("kind = 2").groupBy("id").agg(F.sum("size").alias("n"))
-    ratio = some.agg(F.sum(c("n") * c("n")) / F.sum("n")).first()[0]
-    limit = boundary(sizes, max(0.0, (ratio or 1.0) - 1), least)
+    some = measured.where("kind = 2").groupBy("id").agg(F.sum("size").alias("n")).groupBy("n").count()
+    limit = boundary(sizes, rare_list([(r.n, r["count"]) for r in some.collect()], least), least)
 
     rarity = spark.sparkContext.broadcast(_sketch(measured))
     lists = cut(_shared(_postings(docs, rarity, limit, k, least)), "lists")
@@ -439,12 +494,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     near = cut(_plausible(pairs.distinct(), classes, least), "pairs")
     links = cut(_links(docs, near, k, least), "links")
 
-    groups = components(links).select("id", c("component").alias("group"))
-    grouped = lists.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    more = _across(grouped, limit, least).distinct()
-    more = cut(_plausible(more, classes, least), "pairs")
-    if not more.isEmpty():
-        links = cut(links.union(_links(docs, more, k, least)), "links")
+    pairs = _pivots(_mixed(lists, links), limit, least)
+    near = cut(_plausible(pairs.distinct(), classes, least), "pairs")
+    if not near.isEmpty():
+        links = cut(links.union(_links(docs, near, k, least)), "links")
+    near = cut(_across(_mixed(lists, links), classes, limit, least), "pairs")
+    if not near.isEmpty():
+        links = cut(links.union(_links(docs, near, k, least)), "links")
     return members.withColumnRenamed("key", key), links
 
 
