@@ -102,6 +102,8 @@ def _sum_logs(values: list[float]) -> float:
     if len(values) == 1:
         return values[0]
     top = max(values)
+    if len(values) == 2:
+        return top + math.log1p(math.exp(min(values) - top))
     return top + math.log(sum([math.exp(v - top) for v in values]))
 
 
@@ -135,26 +137,50 @@ def word_logs(pieces: Pieces, logp: list[float], words: list[str]) -> list[float
 
 
 def expected_counts(pieces: Pieces, logp: list[float], words: list[str]) -> np.ndarray:
-    """Expected uses of each piece in all segmentations of the words."""
+    """Expected uses of each piece in all segmentations of the words.
+
+    In sorted order a word keeps the forward states and edges of the prefix it shares with the last.
+    """
     total = [0.0] * len(logp)
-    exp = math.exp
-    for word in words:
+    exp, log1p, get, longest = math.exp, math.log1p, pieces.ids.get, pieces.longest
+    path, forward, edges = "", [0.0], [[]]
+    for word in sorted(words):
         word = "▁" + word
-        size = len(word)
-        edges, forward = [()], [0.0]
-        for end in range(1, size + 1):
-            here = pieces.edges(word, end, logp)
+        shared = 0
+        for x, y in zip(path, word):  # noqa: B905  one is longer
+            if x != y:
+                break
+            shared += 1
+        del forward[shared + 1:], edges[shared + 1:]
+        path, size = word, len(word)
+        for end in range(shared + 1, size + 1):
+            here, value = [], None
+            for begin in range(max(0, end - longest), end):
+                i = get(word[begin:end])
+                if i is not None:
+                    v = forward[begin] + logp[i]
+                    here.append((begin, i, v))
+                    if value is None:
+                        value = v
+                    elif v > value:
+                        value = v + log1p(exp(value - v))
+                    else:
+                        value += log1p(exp(v - value))
+            if i is None:  # the last letter by itself is no piece
+                v = forward[end - 1] + pieces.edges(word, end, logp)[-1][2]
+                here.append((end - 1, -1, v))
+                value = v if value is None else _sum_logs([value, v])
             edges.append(here)
-            forward.append(_sum_logs([forward[b] + lp for b, _, lp in here]))
+            forward.append(value)
         # Backward: the posterior of reaching a letter is shared among the edges into it.
         reach = [0.0] * size + [1.0]
         for end in range(size, 0, -1):
             mass = reach[end]
             if mass == 0.0:
                 continue
-            here = edges[end]
-            for b, i, lp in here:
-                part = mass if len(here) == 1 else mass * exp(forward[b] + lp - forward[end])
+            here, base = edges[end], forward[end]
+            for b, i, v in here:
+                part = mass if len(here) == 1 else mass * exp(v - base)
                 reach[b] += part
                 if i >= 0:
                     total[i] += part
