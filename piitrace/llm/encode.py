@@ -26,13 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words whose ids a Python worker remembers; beyond it words are encoded anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: The same for chunks.
 MEMO_CHUNKS = 200_000
 #: Marks that the split patterns leave alone when they follow a word.
 MARKS = frozenset(".,;:!?")
 #: Bytes of text whose chunks are told apart at a time; a longer text is a part of its own.
-PART = 12 << 20
+PART = 8 << 20
 #: Chunks whose ids are gathered at a time.
 GATHER = 400_000
 
@@ -99,6 +99,12 @@ class Encoder:
         gap = f"[{SPACE}]"
         self.whole = "|".join([f"{gap} | {gap}", *map(re.escape, self.special)])
 
+    def forget(self) -> None:
+        """Give the memory of remembered words and chunks back."""
+        self._memo.clear()
+        self._chunks.clear()
+        pa.default_memory_pool().release_unused()
+
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk. Plain words, also with one mark behind them, need no pattern."""
         if self.spaced and chunk[:1] == " ":

@@ -41,8 +41,10 @@ LEAST = 0.004
 POSITIONS, PROBES = 1 << 20, 3
 #: Languages per mask.
 WORD = 62
+#: Texts handled at a time.
+ROWS = 500
 #: Letters handled at a time.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 #: Odd multipliers of the position hashes.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93],
@@ -214,7 +216,12 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(pc.cast(batch.column(at), pa.string()).to_pylist())
+            names, scores = [], []
+            texts = pc.cast(batch.column(at), pa.string())
+            for begin in range(0, len(texts), ROWS):  # few texts as Python strings at a time
+                told = shared.value.predict(texts.slice(begin, ROWS).to_pylist())
+                names += told[0]
+                scores += told[1].tolist()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 schema=batch.schema.append(pa.field("lang_pred", pa.string())).append(

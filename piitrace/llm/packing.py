@@ -158,6 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         rows.extend(stream.flush(last=True))
         if rows:
             yield _table(rows, names)
+        enc.forget()  # a worker may go on with tasks of another kind
 
     out = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(
         run, f"key {kind.simpleString()}, {SCHEMA}")

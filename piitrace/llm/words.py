@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at a time; a longer text is handled by itself.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _R = 0x5851F42D4C957F2D
 _powers: list[np.ndarray] = []
 
