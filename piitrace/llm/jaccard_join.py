@@ -339,7 +339,7 @@ def _bound(bits: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, lea
 
 def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> DataFrame:
     """Pairs across the components of a list, first members left out, whose bitmaps allow the
-    similarity. A pair comes from the first list it shares."""
+    similarity. A pair comes from the first list it shares that may give it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -370,7 +370,9 @@ def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> Data
         listed = part["sigs"].chunk(0)
         own = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).to_numpy())
         values = listed.flatten().to_numpy()
-        before = values < sig
+        # Only lists of the same kind give the pair: one with a heavy set is in no list of subsets,
+        # one of light sets comes out of no list of a single shingle.
+        before = (values < sig) & ((values ^ sig) & 1 == 0)
         names, place = np.unique(values[before], return_inverse=True)
         earlier = np.zeros((len(ids), len(names)), np.float32)
         earlier[own[before], place] = 1

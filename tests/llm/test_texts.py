@@ -360,6 +360,44 @@ def test_links_between_different_sets(spark):
         assert 100 * len(x & y) >= 75 * len(x | y)
 
 
+def test_light_pairs_come_out_of_their_subsets(spark):
+    """A list of a single shingle that two light sets share first does not use up their pair."""
+    sets = {i: np.arange(i, 20 + i, dtype=np.uint64) for i in range(1, 5)}
+    size = {1: 20, 2: 20, 3: 20, 4: 21}  # the last is heavy
+    sets[4] = np.arange(1, 22, dtype=np.uint64)
+    classes = spark.createDataFrame([(i, size[i], bytearray(jaccard_join.bitmap(s))) for i, s in sets.items()],
+                                    "id long, size long, bits binary")
+    listed = {-6: (1, 2, 3, 4), -4: (1, 2, 4), 5: (1, 2), 7: (1, 2, 3), 9: (2, 3)}
+    rest = spark.createDataFrame([(sig, i, size[i], i) for sig, of in listed.items() for i in of],
+                                 "sig long, id long, size int, group long")
+    got = sorted((r.a, r.b) for r in jaccard_join._across(rest, classes, 20, 75).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def short_variants(families, copies, size, seed):
+    """Windows over a long text, of which only close ones are similar."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for f in range(families):
+        at = 0
+        for _ in range(copies):
+            at += int(rng.integers(1, 5))
+            n = size + int(rng.integers(-3, 4))
+            texts.append(" ".join(f"f{f}w{i}" for i in range(at, at + n)))
+    return [(int(k) + 1, t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+
+
+def test_short_variants_around_the_boundary(spark, monkeypatch, limit=34):
+    """Step 3 has work here: most members of a list are not similar to its first or its pivot."""
+    rows = short_variants(8, 40, 36, limit)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda *_: limit)
+    across, left = jaccard_join._across, []
+    monkeypatch.setattr(jaccard_join, "_across", lambda rest, *a: (left.append(rest.count()), across(rest, *a))[1])
+    got = jaccard_join.groups(documents(spark, rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_groups(rows)
+    assert left[0] > 0
+
+
 def test_boundary_weighs_rows():
     few = jaccard_join.boundary({10: 100, 40: 100, 200: 100}, 0.0)
     many = jaccard_join.boundary({10: 100, 40: 100, 200: 100}, 500.0)
