@@ -15,7 +15,7 @@ worked off in three steps, so that large groups of near copies do not make all t
 
 1. each member of a list is compared with the list's first;
 2. then with one that a hash chooses, if they are in different components of the links found;
-3. what is still in different components is compared across them.
+3. what is still in different components is compared across them, in blocks of a fixed size.
 
 A candidate pair first meets a bound: each set has a bitmap of its shingles, and sets differ
 at least in as many shingles as their bitmaps in bits. Those that pass are counted exactly.
@@ -54,6 +54,10 @@ COUNTED = 1024
 LARGEST_LIGHT = 256
 #: Positions of the filter that says whose sets are needed, a power of two.
 WANTED = 1 << 23
+#: Members of a list that are compared in one place, where 1024 shingles more count as another.
+BLOCK = 1024
+#: Words of the bits that say which earlier lists a member is in, looked at in one go.
+WIDE = 256
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -314,27 +318,110 @@ def _pivots(rest: DataFrame, limit: int, least: int) -> DataFrame:
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
 
 
-def _bound(bits: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, least: int
-           ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that sizes and bitmaps allow to be similar. ``bits`` has, by the length of the
-    bitmaps, the rows and their bitmaps as a matrix of words."""
-    lengths = sorted(bits)
-    for at, short in enumerate(lengths):
-        rows, a = bits[short]
-        for long in lengths[at:at + 2]:  # similar sizes have bitmaps at most twice as long
-            others, b = bits[long]
-            if long != short:
+def _bitmaps(blobs: list[pa.Buffer]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By the length of the bitmaps in words, the rows that have it and their bitmaps as a matrix."""
+    words = np.array([len(b) // 8 for b in blobs])
+    out = {}
+    for length in np.unique(words).tolist():
+        rows = np.flatnonzero(words == length)
+        out[length] = rows, np.frombuffer(b"".join(blobs[r] for r in rows), np.uint64).reshape(
+            len(rows), length)
+    return out
+
+
+def _bound(bits: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, left: np.ndarray,
+           right: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row marked ``left`` and one marked ``right`` that sizes and bitmaps allow to be
+    similar; of two rows that are both on both sides the one order."""
+    for n, (rows, mine) in bits.items():
+        here = left[rows]
+        rows, mine = rows[here], mine[here]
+        for m, (others, theirs) in bits.items():
+            if not n <= 2 * m <= 4 * n:  # similar sizes have bitmaps at most twice as long
+                continue
+            there = right[others]
+            others, b, a = others[there], theirs[there], mine
+            if not len(a) or not len(b):
+                continue
+            short = min(n, m)
+            if n > m:
+                a = np.bitwise_or.reduce(a.reshape(len(a), -1, short), axis=1)
+            elif m > n:
                 b = np.bitwise_or.reduce(b.reshape(len(b), -1, short), axis=1)
             step = max(1, (1 << 21) // (len(b) * short))
             for begin in range(0, len(rows), step):
-                part = a[begin:begin + step]
-                apart = np.bitwise_count(part[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
-                total = size[rows[begin:begin + step], None] + size[None, others]
+                x = rows[begin:begin + step]
+                apart = np.bitwise_count(a[begin:begin + step, None, :] ^ b[None, :, :]).sum(
+                    axis=2, dtype=np.int32)
+                total = size[x, None] + size[None, others]
                 ok = apart <= total - 2 * -(-least * total // (100 + least))
-                if long == short:
-                    ok &= np.arange(begin, begin + len(part))[:, None] < np.arange(len(b))[None, :]
+                ok &= ~(right[x, None] & left[None, others]) | (x[:, None] < others[None, :])
                 i, j = np.nonzero(ok)
-                yield rows[i + begin], others[j]
+                yield x[i], others[j]
+
+
+def _apart(x: np.ndarray, y: np.ndarray, own: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Whether rows ``x`` and ``y`` have no value in common. Row ``own[i]`` of ``n`` has
+    ``values[i]``; a value that one row has cannot be common."""
+    names, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    common = times > 1
+    number = np.cumsum(common) - 1
+    keep = common[place]
+    own, place = own[keep], number[place[keep]]
+    out = np.ones(len(x), bool)
+    for low in range(0, int(common.sum()), WIDE * 64):
+        here = (place >= low) & (place < low + WIDE * 64)
+        wide = -(-min(WIDE * 64, int(common.sum()) - low) // 64)
+        bits = np.zeros(n * wide, np.uint64)
+        at = place[here] - low
+        np.bitwise_or.at(bits, own[here] * wide + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        bits = bits.reshape(n, wide)
+        left = np.flatnonzero(out)
+        step = (1 << 20) // wide
+        for begin in range(0, len(left), step):
+            pair = left[begin:begin + step]
+            out[pair] = ~(bits[x[pair]] & bits[y[pair]]).any(axis=1)
+    return out
+
+
+def _cells(rest: DataFrame) -> DataFrame:
+    """The members of the lists, dealt to cells (sig, x, y) in which about ``BLOCK`` meet as many:
+    (sig, x, y, id, size, group, side). Members of different components meet in just one cell of
+    a list, on different sides, or on side 2, which is both.
+
+    A component that fills a block has blocks of its own, and those never meet each other; members of
+    all others share blocks by their hash. A list of one block is one cell.
+    """
+    c = F.col
+    weight = F.lit(1) + F.floor(c("size") / 1024)
+    per = rest.groupBy("sig", "group").agg(F.sum(weight).alias("w"))
+    per = per.withColumn("parts", F.when(c("w") >= BLOCK, F.ceil(c("w") / BLOCK)))
+    loose = per.groupBy("sig").agg(F.sum("w").alias("all"), F.sum(F.when(c("parts").isNull(), c("w"))).alias("w"))
+    loose = loose.where(c("all") > BLOCK).select(
+        "sig", F.ceil(F.coalesce("w", F.lit(0)) / BLOCK).alias("parts"))
+    owned = per.where("parts is not null").select("sig", "group", "parts")
+    long = cut(loose.select("sig", F.lit(None).cast("long").alias("owner"), "parts").where("parts > 0").unionByName(
+        owned.withColumnRenamed("group", "owner").join(loose.select("sig"), "sig", "left_semi")), "blocks")
+    lists = long.select("sig").distinct()
+    once = rest.join(lists, "sig", "left_anti").select(
+        "sig", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "size", "group", F.lit(2).alias("side"))
+
+    # A block is (owner, part); shared ones have no owner.
+    own = long.where("owner is not null").select("sig", c("owner").alias("group"), c("parts").alias("own_parts"))
+    shared = long.where("owner is null").select("sig", c("parts").alias("shared_parts"))
+    named = rest.join(lists, "sig", "left_semi").join(own, ["sig", "group"], "left").join(shared, "sig", "left")
+    named = named.select(
+        "sig", "id", "size", "group", F.when(c("own_parts").isNotNull(), c("group")).alias("owner"),
+        F.pmod(F.xxhash64("id", "sig"), F.coalesce("own_parts", "shared_parts")).cast("int").alias("part"))
+    others = long.select("sig", c("owner").alias("to"), F.explode(
+        F.expr("sequence(0, cast(parts as int) - 1)")).alias("to_part"))
+    mine, to = F.struct("owner", "part"), F.struct(c("to").alias("owner"), c("to_part").alias("part"))
+    met = named.join(others, "sig").where("owner is null or to is null or owner <> to")
+    block = lambda s: F.xxhash64(s["owner"], F.lit(1), s["part"])
+    met = met.select("sig", F.least(mine, to).alias("x"), F.greatest(mine, to).alias("y"), "id", "size", "group",
+                     F.when(mine.eqNullSafe(to), 2).when(mine < to, 0).otherwise(1).alias("side"))
+    return once.select("sig", c("x").cast("long"), c("y").cast("long"), "id", "size", "group", "side").unionByName(
+        met.select("sig", block(c("x")).alias("x"), block(c("y")).alias("y"), "id", "size", "group", "side"))
 
 
 def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> DataFrame:
@@ -346,8 +433,8 @@ def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> Data
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            sig = held.column("sig").to_numpy()
-            change = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+            of = [held.column(n).to_numpy() for n in ("sig", "x", "y")]
+            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in of], axis=0)) + 1
             if len(change):
                 done, held = held.slice(0, change[-1]), held.slice(change[-1])
                 for begin, end in zip([0, *change[:-1]], change, strict=True):
@@ -358,42 +445,44 @@ def _across(rest: DataFrame, classes: DataFrame, limit: int, least: int) -> Data
     def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
         part = part.combine_chunks()
         sig = part["sig"][0].as_py()
-        ids, group = part["id"].to_numpy(), part["group"].to_numpy()
+        ids, group, side = (part[n].to_numpy() for n in ("id", "group", "side"))
         size = part["size"].to_numpy().astype(np.int64)
-        blobs = [b.as_buffer() for b in part["bits"].chunk(0)]
-        words = np.array([len(b) // 8 for b in blobs])
-        bits = {}
-        for length in np.unique(words).tolist():
-            rows = np.flatnonzero(words == length)
-            bits[length] = rows, np.frombuffer(b"".join(blobs[r] for r in rows), np.uint64).reshape(
-                len(rows), length)
+        left, right = side != 1, side != 0
+        # Within a cell of its own the largest component is on one side only: it is not compared with itself.
+        names, of, times = np.unique(group, return_inverse=True, return_counts=True)
+        if side[0] == 2:
+            if len(names) == 1:
+                return
+            left = of != times.argmax()
+        bits = _bitmaps([b.as_buffer() for b in part["bits"].chunk(0)])
         listed = part["sigs"].chunk(0)
         own = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).to_numpy())
         values = listed.flatten().to_numpy()
         # Only lists of the same kind give the pair: one with a heavy set is in no list of subsets,
         # one of light sets comes out of no list of a single shingle.
         before = (values < sig) & ((values ^ sig) & 1 == 0)
-        names, place = np.unique(values[before], return_inverse=True)
-        earlier = np.zeros((len(ids), len(names)), np.float32)
-        earlier[own[before], place] = 1
-        for i, j in _bound(bits, size, least):
+        own, values = own[before], values[before]
+        pairs = []
+        for i, j in _bound(bits, size, left, right, least):
             ok = group[i] != group[j]
             if not sig & 1:
                 ok &= np.maximum(size[i], size[j]) > limit
-            i, j = i[ok], j[ok]
-            for begin in range(0, len(i), 1 << 16):
-                x, y = i[begin:begin + (1 << 16)], j[begin:begin + (1 << 16)]
-                first = np.einsum("ij,ij->i", earlier[x], earlier[y]) == 0
-                x, y = ids[x[first]], ids[y[first]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            pairs.append((i[ok], j[ok]))
+        if not pairs:
+            return
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        if len(i):
+            first = _apart(i, j, own, values, len(ids))
+            x, y = ids[i[first]], ids[j[first]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     # A set is in no more lists than its signatures.
     marks = rest.groupBy("id").agg(F.collect_list("sig").alias("sigs")).join(
         classes.select("id", "bits"), "id")
-    return rest.join(marks, "id").repartition("sig").sortWithinPartitions("sig").select(
-        "sig", "id", "size", "group", "sigs", "bits").mapInArrow(run, "a long, b long")
+    return _cells(rest).join(marks, "id").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").select(
+        "sig", "x", "y", "id", "size", "group", "side", "sigs", "bits").mapInArrow(run, "a long, b long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:

@@ -390,6 +390,7 @@ def short_variants(families, copies, size, seed):
 def test_short_variants_around_the_boundary(spark, monkeypatch, limit=34):
     """Step 3 has work here: most members of a list are not similar to its first or its pivot."""
     rows = short_variants(8, 40, 36, limit)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "boundary", lambda *_: limit)
     across, left = jaccard_join._across, []
     monkeypatch.setattr(jaccard_join, "_across", lambda rest, *a: (left.append(rest.count()), across(rest, *a))[1])
@@ -398,6 +399,40 @@ def test_short_variants_around_the_boundary(spark, monkeypatch, limit=34):
     assert left[0] > 0
 
 
+def test_long_lists_are_dealt_to_cells(spark, monkeypatch):
+    """No cell holds a whole long list, and members of different components meet once."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    hot = [(1, i, 40, 7) for i in range(600)] + [(1, 1000, 40, 1000)]
+    loose = [(2, i, 40, i) for i in range(150)] + [(2, 200 + i, 40, 8 + i // 50) for i in range(100)]
+    short = [(3, i, 40, i % 3) for i in range(9)]
+    rest = spark.createDataFrame(hot + loose + short, "sig long, id long, size int, group long")
+    cells = collections.defaultdict(list)
+    for r in jaccard_join._cells(rest).collect():
+        cells[r.sig, r.x, r.y].append((r.id, r.group, r.side))
+    assert max(len(v) for v in cells.values()) <= 4 * 32
+    assert sum(len(v) for k, v in cells.items() if k[0] == 1) < 2 * 601
+    met = collections.Counter()
+    for (sig, _, _), members in cells.items():
+        for (a, g, s), (b, h, t) in itertools.combinations(sorted(members), 2):
+            if g != h and (s == t == 2 or s != t):
+                met[sig, a, b] += 1
+    want = {(s, a, b) for rows in (hot, loose, short)
+            for (s, a, _, g), (_, b, _, h) in itertools.combinations(sorted(rows), 2) if g != h}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_common_values_of_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(40_000, 60).tolist()) for _ in range(80)]
+    own = np.repeat(np.arange(80), [len(s) for s in sets])
+    values = np.array([v for s in sets for v in s])
+    i, j = np.triu_indices(80, 1)
+    want = [not sets[a] & sets[b] for a, b in zip(i, j, strict=True)]
+    for wide in (jaccard_join.WIDE, 1):
+        monkeypatch.setattr(jaccard_join, "WIDE", wide)
+        assert jaccard_join._apart(i, j, own, values, 80).tolist() == want
+
+
 def test_boundary_weighs_rows():
     few = jaccard_join.boundary({10: 100, 40: 100, 200: 100}, 0.0)
     many = jaccard_join.boundary({10: 100, 40: 100, 200: 100}, 500.0)
