@@ -10,7 +10,7 @@ A segment is one blob of some hundred thousand ids of consecutive documents:
     ids                 m unsigned numbers of 2 or 4 bytes
 
 The end of document i is ``(select(i) - i) << l | low(i)``; ``select`` starts at a sample and
-counts set bits of at most a few words. It takes about ``2 + log2(m / n)`` bits a document.
+counts set bits of at most a few words, for all documents that are read at once. It takes about ``2 + log2(m / n)`` bits a document.
 
 A store is a Parquet table of segments, which Spark's committer writes, so that lost
 tasks leave nothing behind and any file system will do. Segments carry ``part`` (the range
@@ -85,6 +85,33 @@ class EliasFano:
             low |= (int(self.low[(bit + k) >> 3]) >> ((bit + k) & 7) & 1) << k
         return (self.select(i) - i) << self.low_bits | low
 
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at the places ``i``, by a select each."""
+        words = self.high.view("<u8")
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        w, left = at >> 6, i % SAMPLE
+        off = (at & 63).astype(np.uint64)
+        word = words[w] >> off << off
+        count = np.bitwise_count(word).astype(np.int64)
+        far = np.flatnonzero(count <= left)
+        while len(far):
+            left[far] -= count[far]
+            w[far] += 1
+            word[far] = words[w[far]]
+            count[far] = np.bitwise_count(word[far])
+            far = far[count[far] <= left[far]]
+        # The word's set bits before the wanted one go by halves.
+        place = np.zeros(len(i), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            less = np.bitwise_count(word >> place.astype(np.uint64) & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = less <= left
+            left -= np.where(up, less, 0)
+            place += np.where(up, half, 0)
+        bit, low = i * self.low_bits, np.zeros(len(i), np.int64)
+        for k in range(self.low_bits):
+            low |= (self.low[bit + k >> 3].astype(np.int64) >> (bit + k & 7) & 1) << k
+        return ((w << 6) + place - i) << self.low_bits | low
+
     def all(self) -> np.ndarray:
         """Every number, decoded at once."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
@@ -128,6 +155,11 @@ def document(segment: tuple[EliasFano, np.ndarray], i: int) -> np.ndarray:
     return ids[ends[i - 1] if i else 0:ends[i]]
 
 
+def bounds(ends: EliasFano) -> np.ndarray:
+    """Where each document of a segment begins, and the end of the last."""
+    return np.concatenate([[0], ends.take(np.arange(ends.n))])
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
           end_id: int = 2) -> None:
     """Write the ids of all texts in rising key order to a store at ``path``."""
@@ -189,7 +221,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for first, keys, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
                 ends, ids = read_segment(blob.as_buffer())
-                begin = np.concatenate([[0], ends.all()])
+                begin = bounds(ends)
                 wide = ids.astype("<u4")
                 buffers = [None, pa.py_buffer((begin * 4).astype("<i4").tobytes()),
                            pa.py_buffer(wide.tobytes())]

@@ -119,6 +119,24 @@ def test_elias_fano_round_trip(sizes):
     assert [ef[i] for i in range(len(sizes))] == ends.tolist() == ef.all().tolist()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 9000)), min_size=1, max_size=700), st.integers(0, 99))
+def test_selects_at_once(sizes, seed):
+    ends = np.cumsum(sizes).astype(np.int64)
+    ef = token_files.EliasFano.build(ends, int(ends[-1]))
+    assert ef.take(np.arange(len(ends))).tolist() == ends.tolist()
+    some = np.random.default_rng(seed).integers(0, len(ends), 20)
+    assert ef.take(some).tolist() == ends[some].tolist()
+
+
+def test_reading_selects(monkeypatch):
+    """A segment is read by selects, not by unpacking all its bits."""
+    monkeypatch.delattr(token_files.EliasFano, "all")
+    docs = [np.arange(n, dtype="<u4") % 50_257 for n in [0, 1, 70_000, 3, 0] * 120]
+    ends, _ = token_files.read_segment(token_files.write_segment(docs, 2))
+    assert token_files.bounds(ends).tolist() == np.cumsum([0, *map(len, docs)]).tolist()
+
+
 def test_segment_round_trip():
     docs = [np.arange(n, dtype="<u4") % 50_257 for n in (0, 1, 70_000, 3, 0)]
     for width in (2, 4):
