@@ -143,7 +143,7 @@ def test_hard_negatives(spark, monkeypatch, tile):
 
 
 def test_large_components(spark):
-    rows = [(0, 1, [1e300, 1.0]), (1, 1, [1e300, 1.0]), (2, 2, [1e299, 1.0]), (3, 2, [1.0, 1.0])]
+    rows = [(0, 1, [1e300, 1.0]), (1, 1, [1e300, 1.0]), (2, 2, [1e299, 1.0]), (3, 2, [-1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = hard_negatives.mine(df, F.col("vec_id") == 0).collect()
     assert [(r.anchor_id, r.positive_id, r.negative_id, r.positive_score) for r in got] == [
