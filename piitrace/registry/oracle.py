@@ -111,31 +111,31 @@ _TOKEN = """CASE (scenario_id + ord) % 5 WHEN 0 THEN 'sk_live_' || h[1:24]
 _B64 = "base64(encode({}))"
 
 _TEXTS = [
-    "'[turnstile] door 2 let in user=' || username || ', reader ' || ip",
-    "'[mailroom] parcel notice for ' || email || ' came back'",
+    "'ACCESS [turnstile]: door 2 let in user=' || username || ', reader ' || ip",
+    "'MAIL: parcel notice for ' || email || ' came back'",
     "'[video] User ''' || username || ''' joined room Oak over ' || ip",
-    "'[helpdesk] ' || email || ' asks for a second screen'",
-    "'[poster-print] a job of ' || ip || ' waits for paper'",
+    "'TICKET [helpdesk]: ' || email || ' asks for a second screen'",
+    "'PRINT_QUEUE [poster-print]: a job of ' || ip || ' waits for paper'",
     "'[canteen] the lunch card of ' || upper(username[1]) || username[2:] || ' is empty'",
-    "'[wiki] tutorial: write to test@example.com'",
+    "'PAGE [wiki]: tutorial: write to test@example.com'",
     "'[wiki] picture 3 shows 127.0.0.1 as the host'",
     "'[wiki] sandbox login user=''admin'''",
     "'[drill] dial +33-142-868-2000 and hang up'",
-    "'[ci] fixture 5 has sk_test_' || m[1:24]",
+    "'TEST [ci]: fixture 5 has sk_test_' || m[1:24]",
     "'[ci] snapshot b64=' || " + _B64.format("'mock_secret=abcd1234'"),
-    "'[names] resolvers 8.8.8.8 and 8.8.4.4 answer'",
+    "'DNS: resolvers 8.8.8.8 and 8.8.4.4 answer'",
     "'[lease] this node keeps ' || ip",
     "'[rotation] ' || CASE q % 7 WHEN 0 THEN 'ghp_' || m || 'abcd' WHEN 1 THEN 'hf_' || m || "
     "'ab' WHEN 2 THEN 'ASIA' || upper(m[1:16]) WHEN 3 THEN 'eyJ' || m || '.eyJ' || m || '.' || m "
     "WHEN 4 THEN 'xoxb-' || m WHEN 5 THEN m ELSE m || m[1:8] END || ' is void'",
-    "'[locker-room] started with vendor_key=' || tok",
+    "'START [locker-room]: started with vendor_key=' || tok",
     "'[forms] visitor form 14 holds the text ' || tok",
-    "'[vault] page shows sk_l**e_' || right(coalesce(token, '********'), 8)",
+    "'SECRET_VIEW [vault]: page shows sk_l**e_' || right(coalesce(token, '********'), 8)",
     "'[export] nightly b64=' || " + _B64.format("'token=' || tok"),
-    "'[reception] ring ' || phone || ' when the crate is here'",
+    "'CALL: ring ' || phone || ' when the crate is here'",
     "'[backup] ' || ip || ' copied 40 files'",
-    "'[travel] ' || email || ' booked seat 12C from ' || ip",
-    "'[ledger] User ''' || username || ''' exported 17 rows'",
+    "'BOOKING [travel]: ' || email || ' booked seat 12C from ' || ip",
+    "'EXPORT: User ''' || username || ''' exported 17 rows'",
 ]
 _MARKS = {
     "email": (1, 3, 21), "ip": (0, 2, 4, 20, 21), "username": (0, 2, 5, 22),

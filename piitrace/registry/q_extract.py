@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from piitrace.functions.patterns import BLOB_SECRET, PATTERNS, TOKEN_PATTERNS
 from piitrace.operators import extract as X
-
-from piitrace.registry.base import add, corpus, on_incident, table
+from piitrace.operators.dictionary import mask_dictionary
+from piitrace.registry.base import add, corpus, incident, on_incident, table
 from piitrace.registry.oracle import hits, lit
 from piitrace.sources import dims
 
@@ -178,6 +178,27 @@ on_incident(
           AS items FROM (SELECT DISTINCT * FROM log_pii) GROUP BY ALL) k USING (log_id)""",
 )
 
+#: Every value of every scenario, whatever line it was planted in.
+_DICTIONARY_SQL = """SELECT c.src, c.id, coalesce(list_reduce(k.items, lambda acc, r:
+    {'t': replace(acc.t, r.v, r.t), 'v': ''}, {'t': c.text, 'v': ''}).t, c.text) AS masked
+  FROM corpus c LEFT JOIN (
+    SELECT src, id, list({'t': '[' || upper(kind) || ']', 'v': value} ORDER BY length(value) DESC, value) AS items
+    FROM corpus JOIN (SELECT value, min(pii_type) AS kind FROM log_pii GROUP BY ALL) ON contains(text, value)
+    GROUP BY ALL) k ON k.src = c.src AND k.id = c.id"""
+
+
+def _dictionary(**bounds):
+    def build(spark, folder):
+        texts = corpus(spark, folder).withColumn("row", F.concat_ws(":", "src", "id"))
+        values = incident(spark, folder).log_pii
+        return mask_dictionary(texts, values, "row", "text", **bounds).select("src", "id", "masked")
+
+    return build
+
+
+add("e30_mask_dictionary", _dictionary(), _DICTIONARY_SQL)
+add("e30_mask_dictionary_joined", _dictionary(automaton_values=0), _DICTIONARY_SQL)
+
 _RATES = """SELECT {by}, count(DISTINCT doc_id) AS docs,
   count(DISTINCT CASE WHEN value IS NOT NULL THEN doc_id END) AS docs_with_pii,
   count(value) AS hits, count(DISTINCT value) AS distinct_values

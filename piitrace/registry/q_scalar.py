@@ -364,10 +364,10 @@ on_incident(
     lambda i: N.parse_line(i.logs).select(
         "log_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "category", "service",
         "message"),
-    f"""SELECT log_id, strftime(CAST(regexp_extract(line, '{_HEADER}', 1) AS TIMESTAMP),
-        '%Y-%m-%d %H:%M:%S') AS ts, regexp_extract(line, '{_HEADER}', 2) AS category,
+    f"""SELECT log_id, strftime(try_cast(nullif(regexp_extract(line, '{_HEADER}', 1), '') AS TIMESTAMP),
+        '%Y-%m-%d %H:%M:%S') AS ts, nullif(regexp_extract(line, '{_HEADER}', 2), '') AS category,
       nullif(regexp_extract(line, '{_HEADER}', 3), '') AS service,
-      regexp_extract(line, '{_HEADER}', 4) AS message FROM logs""",
+      nullif(regexp_extract(line, '{_HEADER}', 4), '') AS message FROM logs""",
 )
 on_incident(
     "b13_time_part",

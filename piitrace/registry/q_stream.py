@@ -9,7 +9,8 @@ from piitrace.registry.base import add, incident
 from piitrace.registry.oracle import hits
 from piitrace.registry.q_extract import _mask_sql
 from piitrace.session import scratch
-from piitrace.streaming import online, streams
+from piitrace.streaming import online, streams, timed
+from piitrace.streaming.sightings import first_sightings
 
 c = F.col
 
@@ -33,6 +34,20 @@ def _first_seen(spark, folder):
 
 add("x2_stream_first_seen", _first_seen, "SELECT scenario_id, value FROM demo_found")
 
+
+def _first_sightings(spark, folder):
+    """Of values first seen before the last day, which later lines have closed."""
+    out = streams.drain_stateful(first_sightings(_lines(spark, folder), "1 day", keep_ms=1 << 40), "sightings")
+    return out.select("scenario_id", "value", "log_id", "pattern_id", "pii_type")
+
+
+add("x2_stream_first_sightings", _first_sightings,
+    """SELECT scenario_id, value, log_id, pattern_id, pii_type FROM (SELECT *, row_number() OVER (
+        PARTITION BY scenario_id, value ORDER BY ts, log_id, pattern_ord, match_ord) AS rn FROM timed_hits)
+      WHERE rn = 1 AND ts < (SELECT max(ts) - INTERVAL 1 DAY FROM lines)""",
+    timed_hits=" UNION ALL ".join(hits(p, i, "lines", "scenario_id, log_id, ts", "line", "demo")
+                                  for i, p in enumerate(PROFILES["demo"])))
+
 _STREAM_HITS = " UNION ALL ".join(
     hits(p, i, "lines", "log_id, ts", "line", "demo") for i, p in enumerate(PROFILES["demo"]))
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM stream_hits)"
@@ -77,10 +92,9 @@ add("x3_stream_counts_session", _counts("session", session_gap="2 hours"),
     stream_hits=_STREAM_HITS)
 
 
-def _action_files(spark, folder, numbered=False):
-    """Recorded actions as a folder of JSON files. A record holds its own action's items,
-    a list the derived episodes keep below 40. Online scoring needs steps that count
-    from 1 without gaps."""
+def _action_rows(spark, folder, numbered=False):
+    """Recorded actions as records. A record holds its own action's items, a list the derived
+    episodes keep below 40. Online scoring needs steps that count from 1 without gaps."""
     i = incident(spark, folder)
     lists = i.redactions.groupBy("episode_id", "step").agg(
         F.transform(
@@ -93,8 +107,13 @@ def _action_files(spark, folder, numbered=False):
     ).withColumn("redactions", F.when(keep, c("redactions"))).drop("_r")
     if numbered:
         rows = number_steps(rows).withColumn("step", c("step_no").cast("int")).drop("step_no")
+    return rows
+
+
+def _action_files(spark, folder, numbered=False):
+    """The same as a folder of JSON files."""
     path = scratch(spark, "action-files")
-    rows.write.json(path)
+    _action_rows(spark, folder, numbered).write.json(path)
     return spark.readStream.schema(schemas.ACTION_RECORD).json(path)
 
 
@@ -121,3 +140,50 @@ def _score(spark, folder):
 add("x4_stream_score", _score,
     """SELECT episode_id, step, action_type, reward, cumulative_reward, visible_total,
       discovered_total, redacted_total, terminated, truncated FROM totalled""")
+
+
+#: Hours at which the batches of the timed stream arrive: actions, a heartbeat, lost actions, heartbeats.
+_HOURS = (0, 24, 30, 216, 217)
+
+
+def _timed(spark, folder):
+    """Some actions get lost and arrive a day after the others; episodes that stay open run out."""
+    i = incident(spark, folder)
+    rows = _action_rows(spark, folder, numbered=True)
+    rows = rows.select(*schemas.ACTION_RECORD.names)
+    lost = (c("episode_id") * 7 + c("step")) % 11 == 0
+    start = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    after = lambda hours, minutes: start + F.make_interval(
+        hours=F.lit(hours), mins=minutes)
+    beat = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ACTION_RECORD))
+    parts = [rows.where(~lost), beat, rows.where(lost), beat, beat]
+    path = scratch(spark, "timed-actions")
+    for part, hours in zip(parts, _HOURS, strict=True):
+        minutes = F.coalesce("step", F.lit(0))
+        part.withColumn("received_at", after(hours, minutes)).coalesce(1).write.mode("append").parquet(path)
+    schema = rows.withColumn("received_at", start).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    brings = online.effects(i.logs, i.edges, i.truth, i.honeypots)
+    facts = online.scenario_facts(i.scenarios, i.logs, i.truth)
+    hour = 3_600_000
+    scored = timed.stream_score_timed(stream, brings, facts, hour, 72 * hour, "1 hour")
+    return streams.drain_stateful(scored, "timed").select("episode_id", "step", "status")
+
+
+add("x4_stream_score_timed", _timed,
+    """SELECT episode_id, step, status FROM (
+      SELECT episode_id, step, CASE WHEN NOT lost THEN 'applied' ELSE 'missing' END AS status FROM sent
+        WHERE step < m OR step = m AND NOT lost
+      UNION ALL SELECT episode_id, step, 'late' FROM sent WHERE lost AND step < m AND done IS NULL
+      UNION ALL SELECT episode_id, step, 'applied' FROM tail WHERE step <= coalesce(done_t, step)
+      UNION ALL SELECT s.episode_id, max(s.step), 'expired' FROM sent s LEFT JOIN (
+          SELECT DISTINCT episode_id, done_t FROM tail) t ON t.episode_id = s.episode_id
+        WHERE done IS NULL AND done_t IS NULL GROUP BY ALL)""",
+    allowed="""SELECT n.episode_id, CAST(n.step_no AS INT) AS step, n.action_type = 'submit' OR n.step_no >= s.budget
+        AS ends_it, (n.episode_id * 7 + n.step_no) % 11 = 0 AS lost
+      FROM numbered n JOIN scenarios s USING (scenario_id) WHERE n.step_no <= s.budget""",
+    sent="""SELECT *, coalesce(done, max(CASE WHEN NOT lost THEN step END) OVER (PARTITION BY episode_id), 0) AS m
+      FROM (SELECT *, min(CASE WHEN ends_it AND NOT lost THEN step END) OVER (PARTITION BY episode_id) AS done
+        FROM allowed)""",
+    tail="""SELECT *, min(CASE WHEN ends_it THEN step END) OVER (PARTITION BY episode_id) AS done_t
+      FROM sent WHERE done IS NULL AND step > m""")

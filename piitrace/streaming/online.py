@@ -19,9 +19,8 @@ from piitrace.functions.scores import ENV_EPS
 from piitrace.operators import redaction, scoring
 from piitrace.operators.graph import truth_flat
 from piitrace.plans import replay
-from piitrace.streaming.streams import drain
+from piitrace.streaming.streams import drain_stateful
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = (
     "episode_id BIGINT, step INT, action_type STRING, reward DOUBLE, cumulative_reward DOUBLE, "
     "visible_total BIGINT, discovered_total BIGINT, redacted_total BIGINT, terminated BOOLEAN, "
@@ -95,6 +94,10 @@ def _clamp(x: float) -> float:
 class EpisodeScorer(StatefulProcessor):
     """Applies the actions of one episode in step order, holding back early ones."""
 
+    #: The fields of the head state, and the reward of nothing.
+    names = ("steps", "total", "done", "visible", "discovered", "true", "redacted", "tokens")
+    nothing = ENV_EPS
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", HEAD)
         self.values = handle.getMapState("values", "value STRING", "marks STRING")
@@ -234,11 +237,12 @@ def _as_file(text: str):
     return StringIO(text)
 
 
-def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> DataFrame:
-    """Score a stream of action records (schema ``ACTION_RECORD``) step by step.
+def keyed_actions(records: DataFrame, brings: DataFrame, facts: DataFrame, time: str | None = None,
+                  more: list | None = None) -> DataFrame:
+    """A row per thing an action can bring, with the facts of its scenario and the columns ``more``.
 
-    ``brings`` is the table of ``effects``, ``facts`` that of ``scenario_facts``.
-    Needs the RocksDB state store, see ``STATE_STORE``.
+    With a ``time`` column, what leaves rows out looks at it too: otherwise the optimizer would do so
+    before the watermark has seen them.
     """
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     action, target = F.col("action_type"), F.coalesce("target_entity", F.lit(""))
@@ -252,26 +256,26 @@ def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> Dat
             "total_pii", "total_tokens", "n_surface"]
     # a step past the budget can never count; leaving it out here bounds what one
     # episode can send to its state
-    live = records.join(facts, "scenario_id").filter(F.col("step") <= F.col("budget"))
-    keyed = live.select(*base, F.posexplode_outer(keys).alias("pos", "k")).select(
-        *base, "pos", "k.kind", "k.key"
-    )
-    joined = keyed.join(brings, ["scenario_id", "kind", "key"], "left")
-    return joined.groupBy("episode_id").transformWithStateInPandas(
+    counts = F.col("step") <= F.col("budget")
+    if time is not None:
+        counts = F.when(F.col(time).isNotNull(), counts)
+    live = records.join(facts, "scenario_id", "left").filter(counts)
+    keyed = live.select(*base, *(more or []), F.posexplode_outer(keys).alias("pos", "k"))
+    return keyed.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k").join(
+        brings, ["scenario_id", "kind", "key"], "left")
+
+
+def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> DataFrame:
+    """Score a stream of action records (schema ``ACTION_RECORD``) step by step.
+
+    ``brings`` is the table of ``effects``, ``facts`` that of ``scenario_facts``.
+    Needs the RocksDB state store, see ``drain_stateful``.
+    """
+    return keyed_actions(records, brings, facts).groupBy("episode_id").transformWithStateInPandas(
         EpisodeScorer(), outputStructType=RESULT, outputMode="append", timeMode="None"
     )
 
 
 def drain_scores(scores: DataFrame, label: str) -> DataFrame:
     """Drain a scoring stream with the state store it needs."""
-    spark = scores.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)
-    try:
-        return drain(scores, label)
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    return drain_stateful(scores, label)

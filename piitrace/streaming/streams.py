@@ -41,6 +41,25 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+#: Keeps the state of keyed processors on disk.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain_stateful(stream: DataFrame, label: str) -> DataFrame:
+    """``drain`` for keyed state and timers, with the state store they need."""
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        return drain(stream, label)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stream_mask(lines: DataFrame, profile: str = "demo") -> DataFrame:
     """Stateless masking: the batch projection on a stream."""
     return extract.mask_text(lines, "line", profile)

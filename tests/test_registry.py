@@ -29,6 +29,15 @@ def test_plan(spark, folder, name):
     assert not [w for w in FORBIDDEN if w in plan]
 
 
+def test_headers_are_met(spark, folder):
+    """Lines with a header, with and without a service, and lines without one."""
+    rows = QUERIES["b12_parse_line"](spark, folder).collect()
+    parsed = [r for r in rows if r.category is not None]
+    assert len(rows) > len(parsed) > len(rows) // 3
+    assert all(r.ts and r.message for r in parsed)
+    assert {r.service is None for r in parsed} == {True, False}
+
+
 def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     df = entry.entry(spark)

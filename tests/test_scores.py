@@ -162,10 +162,20 @@ def test_flatten_layers(spark):
     assert got == [(1, 0, 0, "a"), (1, 1, 0, "b"), (1, 2, 2, "c"), (2, 0, 0, "d")]
 
 
-def test_index_logs_over_buckets(spark):
+def test_index_logs_over_ranges(spark):
     rows = [(s, 10 * i + s, i % 3, "x") for s in range(3) for i in range(40)]
     df = spark.createDataFrame(rows, schemas.LOG_LINES)
-    got = graph.index_logs(df, width=50).collect()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = df.repartitionByRange("scenario_id", "layer", "log_id").groupBy("scenario_id").agg(
+            F.count_distinct(F.spark_partition_id()).alias("n"))
+        assert min(r.n for r in ranges.collect()) > 1
+        got = graph.index_logs(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for s in range(3):
         mine = sorted((r.layer, r.log_id, r.log_index) for r in got if r.scenario_id == s)
         assert [m[2] for m in mine] == list(range(40))
