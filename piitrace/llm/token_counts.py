@@ -114,7 +114,7 @@ class Transducer:
                 self._column[byte] = len(self._byte)
                 self._byte.append(byte)
             if len(self._byte) > self._next.shape[1]:
-                self._room(len(self._next), 2 * self._next.shape[1] if len(self._byte) <= 128 else 256)
+                self._room(len(self._next), 1 << (len(self._byte) - 1).bit_length())
             out = self._column[data]
         return out
 

@@ -55,6 +55,15 @@ def test_words_walk_side_by_side(words):
     assert got.tolist() == [n(w) for w in words]
 
 
+def test_all_bytes_at_once():
+    """The arrays make room for any number of letters."""
+    n = library()
+    words = [chr(i) * 3 for i in range(0x4E00, 0x4F00)] + ["é", "a"] + ["ü" * 40]
+    counter = token_counts.Counter(DROPPED)
+    assert counter.transducer.count([w.encode() for w in ["abc"] * 20]).tolist() == [n("abc")] * 20
+    assert counter.transducer.count([w.encode() for w in words]).tolist() == [n(w) for w in words]
+
+
 def test_transducer_forgets(monkeypatch):
     """Beyond its bound the transducer starts anew, also in the middle of a word."""
     monkeypatch.setattr(token_counts, "STATES", 50)
