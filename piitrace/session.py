@@ -36,7 +36,23 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once whatever was made of them has been written itself.
+
+    Nothing that is still to be computed may read them. Other DataFrames are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            table._scratch = None
 
 
 def scratch(spark: SparkSession, label: str) -> str:
