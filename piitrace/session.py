@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recorders: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -38,6 +42,8 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for made in _recorders:
+        made.append(out)
     return out
 
 
@@ -55,6 +61,22 @@ def drop(*tables: DataFrame) -> None:
             table._scratch = None
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice which finished shuffles nothing refers to any more, so that their files go."""
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that ``cut`` writes inside the block."""
+    made: list[DataFrame] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/piitrace-{label}-{uuid.uuid4().hex}"
