@@ -5,7 +5,8 @@ weight; rounds of expectation over all distinct training words turn them into pr
 A text is its words in order, then one end. Pieces never cross a word's edge, so the
 probability of a text over all segmentations is the product of those of its words; a word's
 is found by the forward recursion in log space. Letters that no piece covers are spelt with
-byte pieces, so every text has a probability above zero.
+byte pieces, so every text has a probability above zero. The distinct words of a batch are a prefix
+tree in arrays, and recursion and expectation run over all of it at once.
 
 The lattice of a word that training saw has one more edge from its first letter to its
 last, the word itself with its relative frequency. The share of training words that were seen
@@ -40,10 +41,12 @@ from pyspark.sql import functions as F
 
 from piitrace.session import cut
 
-#: Most words whose scores are sent to every task.
-HEAD = 1 << 18
+#: Most words whose scores are sent to every task, and the bytes of the longest of them.
+HEAD, HEAD_BYTES = 1 << 18, 128
 #: Rounds of expectation over the distinct training words.
 ROUNDS = 2
+#: Letters from which a word is worked off by itself.
+LONG = 48
 #: Added to every expected piece count.
 SMOOTH = 0.1
 _LN10 = math.log(10)
@@ -78,6 +81,7 @@ class Pieces:
                 continue
             scores[i] = model.get_score(i)
         self.longest = max(map(len, self.ids))
+        self._read_backwards()
         # Scores of merge vocabularies are falling ranks: the weight of rank r is 1 / (r + 1).
         # Scores that are log probabilities are taken as they are.
         known = np.isfinite(scores)
@@ -85,6 +89,29 @@ class Pieces:
         scores[known] = -np.log1p(-scores[known]) if ranks else scores[known]
         self.ranked = scores - math.log(np.exp(scores[known]).sum())
 
+    def _read_backwards(self) -> None:
+        """The trie of the pieces' letters from last to first: sorted (node, letter) keys, the node each
+        leads to, and the piece that ends in a node."""
+        child: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for name, i in self.ids.items():
+            node = 0
+            for letter in reversed(name):
+                node = child.setdefault((node, ord(letter)), len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+            piece[node] = i
+        keys = np.array([n << 21 | x for n, x in child], np.int64)
+        order = np.argsort(keys)
+        self.steps, self.nodes = keys[order], np.array(list(child.values()), np.int64)[order]
+        self.piece = np.array(piece, np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The nodes that letters lead to, or -1."""
+        key = node << 21 | letter
+        at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+        return np.where(self.steps[at] == key, self.nodes[at], -1)
+
     def edges(self, word: str, at: int, logp: list[float]) -> list[tuple[int, int, float]]:
         """Pieces that end behind letter ``at - 1`` of ``word``: (start, piece, log probability)."""
         ids, out = self.ids, []
@@ -136,6 +163,138 @@ def word_logs(pieces: Pieces, logp: list[float], words: list[str]) -> list[float
     return out
 
 
+class Lattice:
+    """The prefix tree of distinct words as arrays, and the pieces that lead from prefix to prefix.
+
+    States are the distinct prefixes, by length; an edge is a piece that ends a prefix. All words of
+    a batch are worked off together, one length after the other.
+    """
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.pieces = pieces
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        width = int(size.max())
+        letters = np.array(["▁" + w for w in words], f"U{width}").view(np.uint32).reshape(-1, width)
+        order = np.lexsort(letters.T[::-1])
+        letters, size = letters[order].astype(np.int64), size[order]
+        differ = np.ones(letters.shape, bool)
+        differ[1:] = letters[1:] != letters[:-1]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        shared[1:] = np.minimum(shared[1:], size[:-1])
+        shared[0] = 0
+        #: For each length the letter that ends its states, the state each grows from, and the number of its first.
+        self.letter, self.parent, self.base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [0, 1]
+        of = np.zeros(len(words), np.int64)  # each word's state at the length at hand
+        end = np.zeros(len(words), np.int64)
+        for d in range(1, width + 1):
+            here = size >= d
+            new = here & (shared < d)
+            rows = np.flatnonzero(new)
+            self.letter.append(letters[rows, d - 1])
+            self.parent.append(of[rows])
+            number = np.cumsum(new) - 1
+            of = np.where(here, number, of)
+            last = np.flatnonzero(size == d)
+            end[last] = self.base[d] + of[last]
+            self.base.append(self.base[d] + len(rows))
+        #: The state of each word, in the order given.
+        self.end = np.empty(len(words), np.int64)
+        self.end[order] = end
+        self._find_edges()
+
+    def _find_edges(self) -> None:
+        """For each length the edges into its states: (state, state it leads from, piece), or the letter of
+        a state that no piece spells, as -1 - letter."""
+        pieces, self.edges = self.pieces, []
+        for d in range(1, len(self.letter)):
+            n = len(self.letter[d])
+            act = at = np.arange(n)
+            node = np.zeros(n, np.int64)
+            states, sources, names = [], [], []
+            for e in range(d, max(0, d - pieces.longest), -1):
+                node = pieces.step(node, self.letter[e][at])
+                keep = node >= 0
+                act, node, at = act[keep], node[keep], self.parent[e][at[keep]]
+                piece = pieces.piece[node]
+                found = piece >= 0
+                states.append(act[found])
+                sources.append(self.base[e - 1] + at[found])
+                names.append(piece[found])
+                if e == d:
+                    spelt = np.ones(n, bool)
+                    spelt[act[found]] = False
+                    spelt = np.flatnonzero(spelt)
+                    states.append(spelt)
+                    sources.append(self.base[d - 1] + self.parent[d][spelt])
+                    names.append(-1 - self.letter[d][spelt])
+                if not len(act):
+                    break
+            self.edges.append((self.base[d] + np.concatenate(states), np.concatenate(sources),
+                               np.concatenate(names)))
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Natural log of each prefix's probability over all segmentations; fills the edges' weights."""
+        out = np.zeros(self.base[-1])
+        self.weights = []
+        bytes_of = self.pieces.bytes
+        spelt: dict[int, float] = {}
+        for d, (state, source, name) in enumerate(self.edges, 1):
+            weight = logp[np.maximum(name, 0)]
+            for letter in np.unique(name[name < 0]).tolist():
+                if letter not in spelt:
+                    spelt[letter] = sum(logp[bytes_of[b]] for b in chr(-1 - letter).encode("utf-8", "surrogatepass"))
+                weight[name == letter] = spelt[letter]
+            value = out[source] + weight
+            low, high = self.base[d], self.base[d + 1]
+            top = np.full(high - low, -np.inf)
+            np.maximum.at(top, state - low, value)
+            total = np.bincount(state - low, np.exp(value - top[state - low]), high - low)
+            out[low:high] = top + np.log(total)
+            self.weights.append(value)
+        return out
+
+    def expected(self, logp: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in all segmentations of the words: the posterior of reaching a
+        prefix is shared among the edges into it, from the longest prefix down."""
+        forward = self.forward(logp)
+        reach = np.bincount(self.end, minlength=len(forward)).astype(float)
+        out = np.zeros(len(logp))
+        for (state, source, name), value in zip(reversed(self.edges), reversed(self.weights), strict=True):
+            part = reach[state] * np.exp(value - forward[state])
+            reach += np.bincount(source, part, len(reach))
+            out += np.bincount(name[name >= 0], part[name >= 0], len(out))
+            rest = name < 0
+            for letter, mass in zip((-1 - name[rest]).tolist(), part[rest].tolist(), strict=True):
+                for byte in chr(letter).encode("utf-8", "surrogatepass"):
+                    out[self.pieces.bytes[byte]] += mass
+        return out
+
+
+def batches_of_words(words: list[str]) -> tuple[list[str], list[str]]:
+    """Words that are worked off as a lattice of all, and those that are too long for one."""
+    return [w for w in words if len(w) < LONG], [w for w in words if len(w) >= LONG]
+
+
+def expected_counts_of(pieces: Pieces, logp: np.ndarray, words: list[str]) -> np.ndarray:
+    """Expected uses of each piece in all segmentations of the words."""
+    short, long = batches_of_words(words)
+    total = Lattice(pieces, short).expected(logp) if short else np.zeros(len(logp))
+    return total + expected_counts(pieces, logp.tolist(), long) if long else total
+
+
+def word_logs_of(pieces: Pieces, logp: np.ndarray, words: list[str]) -> np.ndarray:
+    """Natural log of each word's probability over all segmentations."""
+    out = np.empty(len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short, long = np.flatnonzero(size < LONG), np.flatnonzero(size >= LONG)
+    if len(short):
+        lattice = Lattice(pieces, [words[i] for i in short])
+        out[short] = lattice.forward(logp)[lattice.end]
+    if len(long):
+        out[long] = word_logs(pieces, logp.tolist(), [words[i] for i in long])
+    return out
+
+
 def expected_counts(pieces: Pieces, logp: list[float], words: list[str]) -> np.ndarray:
     """Expected uses of each piece in all segmentations of the words.
 
@@ -229,10 +388,10 @@ def _round(words: DataFrame, model: str, start: np.ndarray) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logp = pieces_of(model), shared.value.tolist()
+        pieces, logp = pieces_of(model), shared.value
         total = np.zeros(len(logp))
         for batch in batches:
-            total += expected_counts(pieces, logp, batch.column(0).to_pylist())
+            total += expected_counts_of(pieces, logp, batch.column(0).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
@@ -256,9 +415,9 @@ def score_words(words: DataFrame, model: str, logp: np.ndarray, tokens: int, onc
     inside = math.log(tokens / (tokens + ends)) if tokens else math.log(0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, values = pieces_of(model), shared.value.tolist()
+        pieces, values = pieces_of(model), shared.value
         for batch in batches:
-            logs = np.array(word_logs(pieces, values, batch.column(0).to_pylist())) + math.log(new)
+            logs = word_logs_of(pieces, values, batch.column(0).to_pylist()) + math.log(new)
             count = batch.column(1).to_numpy()
             with np.errstate(divide="ignore"):
                 whole = np.log((1 - new) * count / max(tokens, 1))
@@ -271,7 +430,9 @@ def score_words(words: DataFrame, model: str, logp: np.ndarray, tokens: int, onc
 
 
 def _head(words: DataFrame) -> pa.Table:
-    """The most used words, no more than ``HEAD``: all with at least so many uses."""
+    """The most used words, no more than ``HEAD``: all with at least so many uses and no longer than
+    ``HEAD_BYTES``."""
+    words = words.where(F.octet_length("word") <= HEAD_BYTES)
     least, n = 1, 0
     steps = words.groupBy(F.floor(F.log2("uses") * 4).alias("step")).count().orderBy(F.desc("step"))
     for r in steps.collect():  # four rows for each doubling of the largest count
