@@ -17,6 +17,11 @@ worked off in three steps, so that large groups of near copies do not make all t
 2. then with one that a hash chooses, if they are in different components of the links found;
 3. what is still in different components is compared across them, in blocks of a fixed size.
 
+Before signatures are shuffled, a filter of fixed size drops most of those that only one class has:
+tasks say which positions their signatures fall on, and a position that two classes fall on passes.
+It only ever keeps too many. Where there are so many signatures that it would keep nearly all, it
+is left out.
+
 A candidate pair first meets a bound: each set has a bitmap of its shingles, and sets differ
 at least in as many shingles as their bitmaps in bits. Those that pass are counted exactly.
 
@@ -31,6 +36,7 @@ unlinked; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +48,7 @@ from pyspark.sql import functions as F
 
 from piitrace.llm.components import components
 from piitrace.llm.words import UNSPACED, mix, scan, windows
-from piitrace.session import cut
+from piitrace.session import cut, drop
 
 #: Words of a shingle, and the similarity from which sets link, in hundredths.
 SHINGLE, LEAST = 5, 75
@@ -52,8 +58,13 @@ COUNTERS, PARTS = 1 << 22, 64
 COUNTED = 1024
 #: Sizes from which no boundary is tried: their subsets alone are too many.
 LARGEST_LIGHT = 256
-#: Positions of the filter that says whose sets are needed, a power of two.
-WANTED = 1 << 23
+#: Least and most positions of the filter that says whose sets are needed, powers of two.
+WANTED = 1 << 15, 1 << 27
+#: Shingles from which half the bits tell sets apart well enough.
+LARGE = 1024
+#: Positions of the filter of signatures, a power of two, the parts in which they travel, and how many
+#: signatures a task gathers before it tells their positions.
+SHARED, SHARED_PARTS, TELL = 1 << 28, 64, 1 << 22
 #: Members of a list that are compared in one place, where 1024 shingles more count as another.
 BLOCK = 1024
 #: Words of the bits that say which earlier lists a member is in, looked at in one go.
@@ -86,8 +97,9 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle, in at least twice as many bits, a power of two, as there are."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """A bit for each shingle, in a power of two of bits: at least twice as many as there are shingles, or,
+    from ``LARGE`` on, at least as many."""
+    bits = max(64, 1 << ((1 + (len(shingles) < LARGE)) * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(shingles) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -203,43 +215,126 @@ def boundary(sizes: dict[int, int], scan_length: float, least: int = LEAST) -> i
     return min(tried, key=lambda limit: (cost(limit), limit))
 
 
-def _postings(docs: DataFrame, rarity, limit: int, k: int, least: int) -> DataFrame:
-    """Signatures of all classes, once per task: (sig, id, size). Subsets have odd signatures,
-    single shingles even ones."""
-    near = overlap(limit + 1, least)
+def signatures(shingles: np.ndarray, counts: np.ndarray, limit: int, near: int, least: int) -> np.ndarray:
+    """The signatures of a set of three shingles or more. Subsets have odd ones, single shingles even ones."""
+    n = len(shingles)
+    at = (shingles >> np.uint64(8)) & np.uint64(COUNTERS - 1)
+    first = n - overlap(n, least)
+    counts = counts[at.astype(np.int64)]
+    if n > limit and first + 1 < n:  # the rarest, in no order
+        rare = shingles[np.argpartition(counts.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64),
+                                        first)[:first + 1]]
+        return rare & ~np.uint64(1)
+    rare = shingles[np.argsort(counts, kind="stable")]
+    out = []
+    if n <= limit:
+        i, j = np.triu_indices(min(first + 2, n), 1)
+        out.append(mix(np.minimum(rare[i], rare[j]) * np.uint64(3) + mix(np.maximum(rare[i], rare[j])))
+                   | np.uint64(1))
+    if n > limit or n >= near:
+        out.append(rare[:first + 1] & ~np.uint64(1))
+    return np.concatenate(out)
+
+
+def _signed_sets(batches: Iterator[pa.RecordBatch], counts: np.ndarray, limit: int, k: int, least: int
+                 ) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Signatures, class and size of each class of a task, once."""
+    near, seen = overlap(limit + 1, least), set()
+    for batch in batches:
+        for _, shingles in shingle_sets(batch.column(0), k):
+            # A set of one or two shingles is similar to itself only.
+            if len(shingles) > 2 and (own := class_of(shingles)) not in seen:
+                seen.add(own)
+                yield signatures(shingles, counts, limit, near, least), own, len(shingles)
+
+
+def _place(sigs: np.ndarray) -> np.ndarray:
+    """Positions of signatures in their filter."""
+    return (mix(sigs) >> np.uint64(20)) & np.uint64(SHARED - 1)
+
+
+def _repeated(docs: DataFrame, rarity, limit: int, k: int, least: int) -> bytes:
+    """The filter of signatures, a bit for each position that two classes fall on, compressed."""
+    part = SHARED // SHARED_PARTS
+
+    def told(places: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(places), return_counts=True)
+        edge = np.searchsorted(at, np.arange(SHARED_PARTS + 1, dtype=np.uint64) * np.uint64(part))
+        rows = [(p, zlib.compress(np.diff(at[x:y], prepend=np.uint64(p * part)).astype("<u4").tobytes(), 1),
+                 np.packbits(n[x:y] > 1).tobytes())
+                for p, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if y > x]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+             pa.array([zlib.compress(r[2], 1) for r in rows], pa.binary())], names=["part", "steps", "twice"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held = [], 0
+        for sigs, _, _ in _signed_sets(batches, rarity.value, limit, k, least):
+            places.append(_place(np.unique(sigs)))
+            held += len(sigs)
+            if held > TELL:
+                yield told(places)
+                places, held = [], 0
+        if held:
+            yield told(places)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, steps, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if p not in once:
+                    once[p], twice[p] = np.zeros(part, bool), np.zeros(part, bool)
+                steps = np.frombuffer(zlib.decompress(steps.as_buffer()), "<u4")
+                more = np.unpackbits(np.frombuffer(zlib.decompress(more.as_buffer()), np.uint8), count=len(steps))
+                at = np.cumsum(steps, dtype=np.int64)
+                twice[p][at] |= once[p][at] | more.astype(bool)
+                once[p][at] = True
+        if once:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(twice), pa.int32()),
+                 pa.array([zlib.compress(np.packbits(t, bitorder="little").tobytes(), 1) for t in twice.values()])],
+                names=["part", "bits"])
+
+    parts = docs.select("text").mapInArrow(tell, "part int, steps binary, twice binary").repartition(
+        SHARED_PARTS, "part").mapInArrow(merge, "part int, bits binary")
+    out = np.zeros((SHARED_PARTS, part // 8), np.uint8)
+    for r in parts.collect():  # SHARED bits, whatever the input
+        out[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return zlib.compress(out.tobytes(), 1)
+
+
+_filters: dict[str, np.ndarray] = {}
+
+
+def _filter(name: str, packed: bytes) -> np.ndarray:
+    """The worker's filter of signatures; it keeps the last one."""
+    if name not in _filters:
+        _filters.clear()
+        _filters[name] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return _filters[name]
+
+
+def _postings(docs: DataFrame, rarity, repeated, limit: int, k: int, least: int) -> DataFrame:
+    """Signatures of all classes that the filter lets through, once per task: (sig, id, size)."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = rarity.value, set()
-        for batch in batches:
-            sigs, ids, sizes, held = [], [], [], 0
-            for _, shingles in shingle_sets(batch.column(0), k):
-                n = len(shingles)
-                own = class_of(shingles)
-                # A set of one or two shingles is similar to itself only.
-                if n < 3 or own in seen:
-                    continue
-                seen.add(own)
-                at = (shingles >> np.uint64(8)) & np.uint64(COUNTERS - 1)
-                order = np.argsort(counts[at.astype(np.int64)], kind="stable")
-                first = n - overlap(n, least)
-                out = []
-                if n <= limit:
-                    i, j = np.triu_indices(min(first + 2, n), 1)
-                    rare = shingles[order]
-                    out.append(mix(np.minimum(rare[i], rare[j]) * np.uint64(3)
-                                   + mix(np.maximum(rare[i], rare[j]))) | np.uint64(1))
-                if n > limit or n >= near:
-                    out.append(shingles[order[:first + 1]] & ~np.uint64(1))
-                out = np.concatenate(out)
-                sigs.append(out)
-                ids.append(own)
-                sizes.append(n)
-                held += len(out)
-                if held > 1 << 18:
-                    yield _signed(sigs, ids, sizes)
-                    sigs, ids, sizes, held = [], [], [], 0
-            if ids:
+        sigs, ids, sizes, held = [], [], [], 0
+        bits = None if repeated is None else _filter(name, repeated.value)
+        for out, own, n in _signed_sets(batches, rarity.value, limit, k, least):
+            if bits is not None:
+                at = _place(out)
+                out = out[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+            sigs.append(out)
+            ids.append(own)
+            sizes.append(n)
+            held += len(out) + 1
+            if held > 1 << 18:
                 yield _signed(sigs, ids, sizes)
+                sigs, ids, sizes, held = [], [], [], 0
+        if ids:
+            yield _signed(sigs, ids, sizes)
 
     return docs.select("text").mapInArrow(run, "sig long, id long, size int")
 
@@ -252,7 +347,8 @@ def _signed(sigs: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.Reco
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The lists with two members or more, each member once: (sig, id, size, first, first_size)."""
+    """The lists with two members or more, each member once: (sig, id, size, first, first_size, many).
+    ``many`` is false only for lists that surely have two members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, told, last = None, True, None  # the first of the list at hand, and whether it is out
@@ -274,6 +370,10 @@ def _shared(postings: DataFrame) -> DataFrame:
             first = np.repeat(start, length)
             out = np.repeat(length > 1, length)
             open_end = length[-1] == 1
+            many = length > 2
+            many[0] |= lead is not None and told
+            many[-1] = True
+            many = np.repeat(many, length)
             if lead is not None:
                 if told:
                     out[0] = False
@@ -283,12 +383,12 @@ def _shared(postings: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[out]) for x in (sig, own, size.astype(np.int32), own[first],
-                                                size[first].astype(np.int32))],
-                    names=["sig", "id", "size", "first", "first_size"])
+                                                size[first].astype(np.int32), many)],
+                    names=["sig", "id", "size", "first", "first_size", "many"])
 
     # The JVM sorts and spills; a task then streams through its lists, however long.
     return postings.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(
-        run, "sig long, id long, size int, first long, first_size int")
+        run, "sig long, id long, size int, first long, first_size int, many boolean")
 
 
 def _fits(a: str, b: str, sig: str, limit: int, least: int) -> str:
@@ -297,16 +397,21 @@ def _fits(a: str, b: str, sig: str, limit: int, least: int) -> str:
             f"and (({sig} & 1) = 1 or greatest({a}, {b}) > {limit})")
 
 
-def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """The lists, without their first members, that are still in several components."""
-    groups = components(links).select("id", F.col("component").alias("group"))
-    rest = lists.where("id <> first").join(groups, "id", "left").select(
+    rest = lists.where("many and id <> first").join(groups, "id", "left").select(
         "sig", "id", "size", F.coalesce("group", "id").alias("group"))
     mixed = rest.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("h")).where(
         "g <> h").select("sig")
     return cut(rest.join(mixed, "sig", "left_semi"), "mixed")
 
 
+def _grouped(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, group): the component of every linked class, ``groups`` being those of earlier links."""
+    edges = links.select("a", "b").union(groups.select(F.col("id").alias("a"), F.col("group").alias("b")))
+    return cut(components(edges).select("id", F.col("component").alias("group")), "groups")
+
+
 def _pivots(rest: DataFrame, limit: int, least: int) -> DataFrame:
     """Each member of a list with one member chosen by a hash of its own in every list, if they are
     in different components. The lists of a group of near copies choose different ones, so that
@@ -394,6 +499,9 @@ def _cells(rest: DataFrame) -> DataFrame:
     """
     c = F.col
     weight = F.lit(1) + F.floor(c("size") / 1024)
+    if rest.groupBy("sig").agg(F.sum(weight).alias("w")).where(c("w") > BLOCK).isEmpty():
+        return rest.select("sig", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "id", "size",
+                           "group", F.lit(2).alias("side"))
     per = rest.groupBy("sig", "group").agg(F.sum(weight).alias("w"))
     per = per.withColumn("parts", F.when(c("w") >= BLOCK, F.ceil(c("w") / BLOCK)))
     loose = per.groupBy("sig").agg(F.sum("w").alias("all"), F.sum(F.when(c("parts").isNull(), c("w"))).alias("w"))
@@ -504,14 +612,15 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         run, "a long, b long")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the classes in ``pairs``, and of few others: a filter with a fixed number of
-    positions, sent to every task, says whose sets to keep."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    at = F.pmod(F.col("id"), F.lit(WANTED))
-    words = ids.groupBy(F.shiftright(at, 5).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {WANTED}) & 31 as int))")).alias("m")).toArrow()
-    bits = np.zeros(WANTED // 32, np.uint32)
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the classes in ``pairs``. A filter says by their keys which texts to take apart."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    low, high = WANTED
+    size = min(high, max(low, 1 << (16 * pairs.count()).bit_length()))
+    at = F.pmod(F.col("hash"), F.lit(size))
+    words = classes.join(ids, "id", "left_semi").groupBy(F.shiftright(at, 5).alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(hash, {size}) & 31 as int))")).alias("m")).toArrow()
+    bits = np.zeros(size // 32, np.uint32)
     if words.num_rows:
         bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
@@ -519,11 +628,12 @@ def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            place = batch.column(1).to_numpy() % size
+            keep = wanted.value[place >> 5] >> (place & 31).astype(np.uint32) & 1 == 1
             found, held = [], 0
-            for _, shingles in shingle_sets(batch.column(0), k):
+            for _, shingles in shingle_sets(batch.column(0).filter(pa.array(keep)), k):
                 own = class_of(shingles)
-                place = own % WANTED
-                if int(wanted.value[place >> 5]) >> (place & 31) & 1 and own not in seen:
+                if own not in seen:
                     seen.add(own)
                     found.append((own, shingles.tobytes()))
                     held += len(shingles)
@@ -535,13 +645,13 @@ def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in zip(*found, strict=True)], names=["id", "shingles"])
 
-    kept = docs.select("text").mapInArrow(run, "id long, shingles binary")
-    return kept.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    kept = docs.select("text", F.xxhash64("key").alias("hash")).mapInArrow(run, "id long, shingles binary")
+    return kept.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, least: int) -> DataFrame:
     """The pairs that are similar, counted on whole sets."""
-    sets = cut(_sets(docs, pairs, k), "sets")
+    sets = cut(_sets(docs, pairs, classes, k), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -556,7 +666,9 @@ def _links(docs: DataFrame, pairs: DataFrame, k: int, least: int) -> DataFrame:
 
     of = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set"))
     full = pairs.join(of("b"), "b").join(of("a"), "a")
-    return full.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    links = cut(full.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long"), "links")
+    drop(sets)
+    return links
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE,
@@ -564,35 +676,55 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     """Members and links. Members: ``key``, ``class`` and ``n_shingles``, a row per text. Links: the
     classes ``a`` and ``b`` of similar sets; where a chain of links already holds two sets together,
     their own link may be left out."""
+    return _joined(docs, key, text, k, least)[:2]
+
+
+def _joined(docs: DataFrame, key: str, text: str, k: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, links, and the components: each linked class ``id`` with the smallest one, ``group``, that
+    links reach from it."""
     c = F.col
     spark = docs.sparkSession
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     measured = cut(_measure(docs, k), "shingles")
-    members = measured.where("kind = 0").select("key", c("id").alias("class"), c("size").alias(
-        "n_shingles"))
-    classes = measured.where("kind = 0 and data is not null").select(
-        "id", "size", c("data").alias("bits")).dropDuplicates(["id"])
-    # Sizes up to the largest that is ever tried as a boundary, and one ratio.
+    members = cut(measured.where("kind = 0").select("key", c("id").alias("class"), c("size").alias(
+        "n_shingles")), "members")
+    classes = cut(measured.where("kind = 0 and data is not null").select(
+        "id", "size", F.xxhash64("key").alias("hash"), c("data").alias("bits")).dropDuplicates(["id"]), "classes")
+    # Sizes up to the largest that is ever tried as a boundary, one ratio, and the number of signatures.
     sizes = {r["size"]: r["n"] for r in classes.where(c("size") < 2 * LARGEST_LIGHT).groupBy(
         "size").agg(F.count("*").alias("n")).collect()}
     some = measured.where("kind = 2").groupBy("id").agg(F.sum("size").alias("n")).groupBy("n").count()
     limit = boundary(sizes, rare_list([(r.n, r["count"]) for r in some.collect()], least), least)
+    many = classes.agg(F.sum("size")).first()[0] or 0
 
     rarity = spark.sparkContext.broadcast(_sketch(measured))
-    lists = cut(_shared(_postings(docs, rarity, limit, k, least)), "lists")
+    drop(measured)
+    # A position of the filter is free for a signature only if they are few.
+    worth = many * (100 - least) // 100 < 2 * SHARED
+    repeated = spark.sparkContext.broadcast(_repeated(docs, rarity, limit, k, least)) if worth else None
+    lists = cut(_shared(_postings(docs, rarity, repeated, limit, k, least)), "lists")
     starred = lists.where("id <> first").where(_fits("size", "first_size", "sig", limit, least))
     pairs = starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
-    near = cut(_plausible(pairs.distinct(), classes, least), "pairs")
-    links = cut(_links(docs, near, k, least), "links")
 
-    pairs = _pivots(_mixed(lists, links), limit, least)
-    near = cut(_plausible(pairs.distinct(), classes, least), "pairs")
-    if not near.isEmpty():
-        links = cut(links.union(_links(docs, near, k, least)), "links")
-    near = cut(_across(_mixed(lists, links), classes, limit, least), "pairs")
-    if not near.isEmpty():
-        links = cut(links.union(_links(docs, near, k, least)), "links")
-    return members.withColumnRenamed("key", key), links
+    def linked(pairs: DataFrame, links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links and their components after those among ``pairs``."""
+        near = cut(pairs, "pairs")
+        if near.isEmpty():
+            return links, groups
+        new = _links(docs, near, classes, k, least)
+        out = cut(links.union(new), "links"), _grouped(new, groups)
+        drop(near, links, new, groups)
+        return out
+
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, group long")
+    links, groups = linked(_plausible(pairs.distinct(), classes, least), *none)
+    mixed = _mixed(lists, groups)
+    links, groups = linked(_plausible(_pivots(mixed, limit, least).distinct(), classes, least), links, groups)
+    drop(mixed)
+    mixed = _mixed(lists, groups)
+    links, groups = linked(_across(mixed, classes, limit, least), links, groups)
+    drop(mixed, lists, classes)
+    return members.withColumnRenamed("key", key), links, groups
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE,
@@ -602,18 +734,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     Rows with a null key follow as they are, with a null component.
     """
     c = F.col
-    members, links = join(docs, key, text, k, least)
+    members, links, grouped = _joined(docs, key, text, k, least)
+    drop(links)
     keyed = members.select(c(key).alias("key"), "class", "n_shingles").where("key is not null")
     full = keyed.where("n_shingles > 0")
-    joined = components(links).select(c("id").alias("class"), "component")
+    joined = grouped.select(c("id").alias("class"), c("group").alias("component"))
     full = full.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # A key with several texts ties their components together.
-    ties = full.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"),
-                                   F.collect_set("component").alias("all")).where("a <> b")
-    tied = components(ties.select("a", F.explode("all").alias("b"))).select(
-        c("id").alias("component"), c("component").alias("tied"))
-    full = full.join(tied, "component", "left").withColumn(
-        "component", F.coalesce("tied", "component"))
+    ties = cut(full.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"),
+                                       F.collect_set("component").alias("all")).where("a <> b"), "ties")
+    if not ties.isEmpty():
+        tied = components(ties.select("a", F.explode("all").alias("b"))).select(
+            c("id").alias("component"), c("component").alias("tied"))
+        full = full.join(tied, "component", "left").withColumn(
+            "component", F.coalesce("tied", "component"))
+    drop(ties)
     least_key = full.groupBy("component").agg(F.min("key").alias("component_id"))
     out = full.join(least_key, "component").groupBy("key").agg(
         F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
