@@ -1,17 +1,24 @@
 """Nearest neighbours by collision counting over sorted projections.
 
-An index block holds some thousand vectors and, for each of ``LINES`` random directions, the
-vectors in the order of their projection. A query opens a window around its own projection on
-every line, found by binary search; a vector whose rank lies in the window collides with it.
-Virtual rehashing widens the windows level by level until enough vectors collide on ``ENOUGH`` of
-the lines; a query starts one level below the one that sufficed for the query before. The
-colliding vectors are verified on the original vectors, and the best of all blocks are kept.
+The index keeps, for each of ``LINES`` random directions, its vectors in the order of their
+projection. A query opens a window around its own projection on every line; a vector collides on
+a line once it lies in the window. Virtual rehashing widens the windows: from level to level only
+the vectors between the old and the new edges are walked, from the sorted arrays. A vector that
+collides on ``ENOUGH`` of the lines is verified on the original vectors.
+
+A query stops by quality: the windows are wide enough for its radius, the distance of the
+``k``-th best vector known, if a vector at that distance collides on enough lines with a margin of
+``SURE`` deviations. A first pass over ``SAMPLE`` vectors tells every query such a radius; with it, the
+second pass opens each window at the width that it needs.
+
+The index is dealt by coarse cells, the nearest of at most ``CELLS`` vectors chosen by a hash; a large
+cell is split by hash. A query leaves out blocks whose ball cannot hold anything that good: the inner
+product with a block's vectors is at most that with its centre plus length times radius. A task sorts
+the projections of a block once for up to ``TOGETHER`` blocks of queries.
 
 Nearness is the inner product. Distances follow it once every vector has the same length, so
 indexed vectors get one more component that lengthens them to the longest; queries get 0 there.
 
-Each block of queries meets each block of the index once; a block returns ``k`` rows a query.
-
 Defined results: vectors that are null, empty, zero or have null or non-finite components take no
 part; vectors of different lengths are not compared; a row is no neighbour of its own, but is of
 another row with the same id; equal scores are ordered by the smaller id; an empty table gives no rows.
@@ -19,91 +26,141 @@ another row with the same id; equal scores are ordered by the smaller id; an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piitrace.llm.vectors import matrix, packed
-from piitrace.session import cut
+from piitrace.session import cut, drop
+
+#: Vectors of an index block, queries of a block, and blocks of queries that meet an index block in one task.
+BLOCK, QUERIES, TOGETHER = 4096, 512, 64
+#: Most coarse cells, and vectors of the first pass, about.
+CELLS, SAMPLE = 1024, 16384
+LINES = 128
+#: Share of the lines on which a candidate collides, and by how many deviations more a vector at the
+#: radius is expected to.
+ENOUGH, SURE = 0.88, 1.0
+#: First half width of the windows and its growth, in the lengths of the vectors.
+FIRST, GROW = 1.0, 1.25
+#: Parts in which the numbers of blocks are paired.
+SALTS = 32
+FOUND = "query_row long, query_id long, row long, key long, score double"
+
+
+@lru_cache(maxsize=8)
+def _lines(dims: int) -> np.ndarray:
+    """Random directions of ``dims`` components, in groups that are at right angles to each other. Projections
+    of vectors of length one have a variance of one."""
+    rng = np.random.default_rng(dims)
+    groups = [np.linalg.qr(rng.normal(size=(dims, dims)))[0] for _ in range(-(-LINES // dims))]
+    return np.concatenate(groups, axis=1)[:, :LINES] * math.sqrt(dims)
+
 
-#: Vectors of an index block, and queries that are worked off together, about.
-BLOCK, QUERIES = 4096, 1024
-LINES = 96
-#: Share of the lines on which a candidate collides.
-ENOUGH = 0.6
-#: Candidates to verify in a block: this share of it, and so many for each neighbour sought.
-SHARE, EACH = 0.15, 20
-#: First window and its growth, as half widths in units of a line's standard deviation.
-FIRST, GROW = 0.25, 1.25
+def _reach() -> float:
+    """The half width of a window, in radii, at which a vector at the radius collides often enough."""
+    share = ENOUGH + SURE * math.sqrt(ENOUGH * (1 - ENOUGH) / LINES)
+    return NormalDist().inv_cdf((1 + min(share, 0.999)) / 2)
 
 
 class Index:
-    """A block of vectors with its sorted projections, and the rank of each vector on each line."""
+    """A block of vectors with its sorted projections."""
 
     def __init__(self, rows: np.ndarray, longest: float):
-        self.rows = rows
-        n, dims = rows.shape
-        self.lines = np.random.default_rng(dims).normal(size=(dims + 1, LINES))
+        self.rows, self.longest = rows, longest
         rest = np.sqrt(np.maximum(0.0, 1 - ((rows / longest) ** 2).sum(axis=1)))
+        self.lines = _lines(rows.shape[1] + 1)
         places = np.ascontiguousarray((np.column_stack([rows / longest, rest]) @ self.lines).T)
-        order = np.argsort(places, axis=1, kind="stable")
-        self.places = np.take_along_axis(places, order, 1)
-        self.ranks = np.empty((LINES, n), np.uint16 if n < 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], 1)
-        self.unit = max(float(places.std()), 1e-9)
-
-    def windows(self, projected: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First rank and number of ranks of each query's window on each line."""
-        width = FIRST * GROW ** level * self.unit
-        low = np.stack([np.searchsorted(p, q - width, "left")
-                        for p, q in zip(self.places, projected.T, strict=True)], 1)
-        high = np.stack([np.searchsorted(p, q + width, "right")
-                         for p, q in zip(self.places, projected.T, strict=True)], 1)
-        return low.astype(self.ranks.dtype), (high - low).astype(self.ranks.dtype)
-
-    def collisions(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """On how many lines each vector lies in the window; ranks below it wrap around."""
-        return ((self.ranks - low[:, None]) < size[:, None]).sum(axis=0, dtype=np.uint16)
-
-    def search(self, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int
-               ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its number, its best ids and their inner products."""
-        norms = np.sqrt((queries ** 2).sum(axis=1, keepdims=True))
-        projected = (queries / norms) @ self.lines[:-1]
-        need = min(len(ids), 1 + max(EACH * k, int(SHARE * len(ids))))
-        least = int(np.ceil(ENOUGH * LINES))
-        levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        level = 0
-        for i in range(len(queries)):
+        order = np.argsort(places, axis=1)
+        #: The lines one behind the other, far enough apart for one search: places and vectors in their order.
+        self.apart = 64.0 * math.sqrt(rows.shape[1] + 1) * np.arange(LINES)
+        self.places = (np.take_along_axis(places, order, 1) + self.apart[:, None]).ravel()
+        self.order = order.ravel()
+        self.first = np.arange(LINES) * len(rows)
+        self.centre = rows.mean(axis=0)
+        self.radius = float(np.sqrt(((rows - self.centre) ** 2).sum(axis=1)).max())
+        #: Vectors that were verified, for all queries.
+        self.verified = 0
+
+    def edges(self, projected: np.ndarray, width: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """Where each line's window begins and ends in the order of all lines."""
+        at = projected + self.apart
+        return np.searchsorted(self.places, at - width), np.searchsorted(self.places, at + width, "right")
+
+    def walked(self, *stretches: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """How often each vector stands in these stretches of the order."""
+        parts = [self.order[a:b] for begin, end in stretches
+                 for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
+        if not parts:
+            return np.zeros(len(self.rows), np.int64)
+        return np.bincount(np.concatenate(parts), minlength=len(self.rows))
+
+    def search(self, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int,
+               known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its number, the places of its best vectors and their inner products. ``known`` are inner
+        products of which each query has ``k`` as good ones already."""
+        n = len(ids)
+        norms = np.sqrt((queries ** 2).sum(axis=1))
+        projected = (queries / norms[:, None]) @ self.lines[:-1]
+        most = queries @ self.centre + norms * self.radius
+        least, reach = math.ceil(ENOUGH * LINES), _reach()
+        lengths = norms * self.longest
+        last = self.first + n
+        bounds = np.full(len(queries), -np.inf) if known is None else known
+        widths = np.where(np.isfinite(bounds), reach * np.sqrt(np.maximum(
+            0.0, 2 - 2 * np.where(np.isfinite(bounds), bounds, 0.0) / lengths)) + 1e-9, FIRST)
+        lows, highs = self.edges(projected, widths[:, None])
+        for i, query in enumerate(queries):
+            bound = float(bounds[i])
+            if most[i] < bound - 1e-9 * lengths[i]:
+                continue
+
+            def needed(score: float) -> float:
+                """The width for a radius, given as an inner product."""
+                return reach * math.sqrt(max(0.0, 2 - 2 * score / lengths[i])) + 1e-9  # noqa: B023
+
+            width, low, high = float(widths[i]), lows[i], highs[i]
+            missed = self.walked((self.first, low), (high, last))
+            passed = missed <= LINES - least
+            found = np.flatnonzero(passed & (own != query_rows[i]))
+            score = self.rows[found] @ query
             while True:
-                if level not in levels:
-                    levels[level] = self.windows(projected, level)
-                low, size = levels[level]
-                found = np.flatnonzero(self.collisions(low[i], size[i]) >= least)
-                if len(found) >= need:
+                best = bound
+                if len(score) >= k:
+                    best = max(bound, float(np.partition(score, len(score) - k)[len(score) - k]))
+                if width >= needed(best) if best > -np.inf else not missed.any():
                     break
-                level += 1
-            level = max(0, level - 1)
-            found = found[own[found] != query_rows[i]]
-            score = self.rows[found] @ queries[i]
-            best = np.lexsort((ids[found], -score))[:k]
-            yield i, ids[found][best], score[best]
+                # Walk outward: what lies between the edges collides on one line more.
+                width = min(width * GROW, needed(best)) if best > -np.inf else width * GROW
+                before = low, high
+                low, high = self.edges(projected[i], width)
+                missed -= self.walked((low, before[0]), (before[1], high))
+                fresh = np.flatnonzero(~passed & (missed <= LINES - least) & (own != query_rows[i]))
+                passed[fresh] = True
+                found = np.concatenate([found, fresh])
+                score = np.concatenate([score, self.rows[fresh] @ query])
+            self.verified += len(found)
+            order = np.lexsort((ids[found], -score))[:k]
+            yield i, found[order], score[order]
 
 
-def _blocks(rows: DataFrame, number: Column, names: tuple[str, str, str]) -> DataFrame:
-    """One row per block with its vectors in one binary."""
+def _blocks(rows: DataFrame, block: list[str], names: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per block with its vectors in one binary, its numbers and the doubles ``more`` in others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            block = held.column(0).to_numpy()
-            dims = held.column(1).to_numpy()
-            change = np.flatnonzero((block[1:] != block[:-1]) | (dims[1:] != dims[:-1])) + 1
+            of = [held.column(n).to_numpy() for n in (*block, "dims")]
+            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in of], axis=0)) + 1
             for begin, end in zip([0, *change[:-1]], change, strict=False):
                 yield one(held.slice(begin, end - begin))
             if len(change):
@@ -113,16 +170,46 @@ def _blocks(rows: DataFrame, number: Column, names: tuple[str, str, str]) -> Dat
 
     def one(part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
-        ids, own = (np.ascontiguousarray(part.column(n).to_numpy(), "<i8") for n in ("key", "row"))
-        data = b"".join(b.as_py() for b in part.column("vec").chunk(0))
+        blobs = [np.ascontiguousarray(part.column(n).to_numpy(), t).tobytes()
+                 for n, t in (("key", "<i8"), ("row", "<i8"), *((m, "<f8") for m in more))]
+        blobs.append(b"".join(b.as_py() for b in part.column("vec").chunk(0)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([part["block"][0].as_py()], pa.int64()), pa.array([part["dims"][0].as_py()], pa.int32()),
-             pa.array([ids.tobytes()]), pa.array([own.tobytes()]), pa.array([data])],
-            names=["block", "dims", *names])
+            [*(pa.array([part[n][0].as_py()], pa.int64()) for n in block),
+             pa.array([part["dims"][0].as_py()], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)],
+            names=[*block, "dims", *names])
+
+    dealt = rows.select(*block, F.length("vec").alias("dims"), "key", "row", *more, "vec").repartition(
+        *block, "dims").sortWithinPartitions(*block, "dims", "row")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in block) + ", dims int, "
+                            + ", ".join(f"{n} binary" for n in names))
 
-    dealt = rows.select(number.cast("long").alias("block"), F.length("vec").alias("dims"), "key", "row",
-                        "vec").repartition("block", "dims").sortWithinPartitions("block", "dims", "row")
-    return dealt.mapInArrow(run, "block long, dims int, " + ", ".join(f"{n} binary" for n in names))
+
+def _cells(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` with ``cell``, the nearest of some vectors of their length. No more than ``CELLS`` vectors are
+    sent to every task."""
+    wanted = min(CELLS, -(-count // BLOCK))
+    chosen = rows.where(F.pmod(F.xxhash64("row", F.lit(2)), F.lit(max(1, count // (2 * wanted)))) == 0).select(
+        "row", "vec").orderBy(F.xxhash64("row", F.lit(3))).limit(wanted).toArrow()
+    by_size: dict[int, list[bytes]] = {}
+    for blob in chosen["vec"].to_pylist():
+        by_size.setdefault(len(blob), []).append(blob)
+    sent = rows.sparkSession.sparkContext.broadcast({n: b"".join(b) for n, b in by_size.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = {n: np.frombuffer(b, "<f8").reshape(-1, n // 8) for n, b in sent.value.items()}
+        for batch in batches:
+            vecs = batch.column("vec")
+            size = pc.binary_length(vecs).to_numpy()
+            cell = np.zeros(len(size), np.int64)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                if n in centres:
+                    c = centres[n]
+                    near = matrix(vecs.take(pa.array(at))) @ c.T - (c ** 2).sum(axis=1) / 2
+                    cell[at] = near.argmax(axis=1)
+            yield batch.append_column("cell", pa.array(cell))
+
+    return rows.mapInArrow(run, "row long, key long, query boolean, vec binary, cell long")
 
 
 def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding"
@@ -147,31 +234,72 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
         return df.sparkSession.createDataFrame(
             [], f"query_id long, rank int, {key} long, score double")
     longest = rows.select("vec").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
-    n_index, n_query = -(-count // BLOCK), -(-asked_count // QUERIES)
-    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
-    index = cut(_blocks(rows, deal(n_index), ("ids", "own", "data")), "index")
-    asked = cut(_blocks(rows.where("query"), deal(n_query), ("q_ids", "q_own", "q_data")), "queries")
+    part = lambda n: F.pmod(F.xxhash64("row"), n).cast("long")
+    best = Window.partitionBy("query_row").orderBy(c("score").desc(), "key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cell = {n: batch.column(n)[row] for n in batch.schema.names}
-                dims = cell["dims"].as_py() // 8
-                number = lambda n: np.frombuffer(cell[n].as_buffer(), "<i8")  # noqa: B023, E731
-                rows_of = lambda n: np.frombuffer(cell[n].as_buffer(), "<f8").reshape(-1, dims)  # noqa: B023, E731
-                block, asking = Index(rows_of("data"), longest), rows_of("q_data")
-                out = list(block.search(number("ids"), number("own"), asking, number("q_own"), k))
-                size = [len(b) for _, b, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(number("q_own"), size)), pa.array(np.repeat(number("q_ids"), size)),
-                     pa.array(np.concatenate([b for _, b, _ in out])),
-                     pa.array(np.concatenate([s for _, _, s in out]))],
-                    names=["query_row", "query_id", "key", "score"])
-
-    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast(
-        "long")))).join(index, ["block", "dims"]).select("dims", "ids", "own", "data", "q_ids", "q_own",
-                                                          "q_data")
-    best = met.mapInArrow(run, "query_row long, query_id long, key long, score double")
-    order = Window.partitionBy("query_row").orderBy(c("score").desc(), "key")
-    return best.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k).select(
-        "query_id", "rank", c("key").alias(key), "score")
+    def nearest(index: DataFrame, asked: DataFrame, n_asked: int, bounded: bool) -> DataFrame:
+        """Up to ``k`` good vectors of every block of the index for each query."""
+        groups = -(-n_asked // TOGETHER)
+        group = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        names = ["cell", "block", "dims"]
+        number = c("asked") % groups
+        empty = F.lit(None).cast("binary")
+        tiles = index.select(*names, group(groups).alias("group"), F.lit(-1).cast("long").alias("asked"), "ids", "own",
+                             empty.alias("known"), "data")
+        # Numbers are paired first, in `SALTS` parts of the one length there is; then queries travel.
+        salt = F.pmod(F.xxhash64("cell", "block"), F.lit(SALTS)).cast("long")
+        pairs = asked.select("dims", "asked", group(SALTS).alias("salt")).join(
+            index.select(*names, salt.alias("salt")), ["dims", "salt"]).drop("salt")
+        probes = pairs.join(asked, ["dims", "asked"]).select(
+            *names, number.alias("group"), "asked", c("q_ids").alias("ids"), c("q_own").alias("own"),
+            c("known") if bounded else empty.alias("known"), c("q_data").alias("data"))
+        met = tiles.unionByName(probes).repartition(*names, "group").sortWithinPartitions(*names, "group", "asked")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = ids = own = None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    cell = {n: batch.column(n)[row] for n in batch.schema.names}
+                    array = lambda n, t="<i8": np.frombuffer(cell[n].as_buffer(), t)  # noqa: B023, E731
+                    vectors = array("data", "<f8").reshape(-1, cell["dims"].as_py() // 8)
+                    if cell["asked"].as_py() < 0:
+                        block, ids, own = Index(vectors, longest), array("ids"), array("own")
+                        continue
+                    known = array("known", "<f8") if cell["known"].is_valid else None
+                    out = list(block.search(ids, own, vectors, array("own"), k, known))
+                    if out:
+                        at = np.repeat([i for i, _, _ in out], [len(b) for _, b, _ in out])
+                        place = np.concatenate([b for _, b, _ in out])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(array("own")[at]), pa.array(array("ids")[at]), pa.array(own[place]),
+                             pa.array(ids[place]), pa.array(np.concatenate([s for _, _, s in out]))],
+                            names=["query_row", "query_id", "row", "key", "score"])
+
+        return met.select("dims", "asked", "ids", "own", "known", "data").mapInArrow(run, FOUND)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(c("rank") <= k)
+
+    n_asked = -(-asked_count // QUERIES)
+    asking = rows.where("query").withColumn("asked", part(F.lit(n_asked)))
+    sampled = -(-count // SAMPLE)
+    sample = rows if sampled == 1 else rows.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(sampled)) == 0)
+    n_sample = max(1, -(-min(count, SAMPLE) // BLOCK))
+    first = _blocks(sample.withColumn("cell", F.lit(0).cast("long")).withColumn("block", part(F.lit(n_sample))),
+                    ["cell", "block"], ("ids", "own", "data"))
+    asked = cut(_blocks(asking, ["asked"], ("q_ids", "q_own", "q_data")), "queries")
+    told = cut(ranked(nearest(cut(first, "sample"), asked, n_asked, False)), "told")
+    if sampled == 1:
+        return told.select("query_id", "rank", c("key").alias(key), "score")
+
+    known = told.where(c("rank") == k).select(c("query_row").alias("row"), c("score").alias("known"))
+    asking = asking.join(known, "row", "left").withColumn("known", F.coalesce("known", F.lit(float("-inf"))))
+    bounded = cut(_blocks(asking, ["asked"], ("q_ids", "q_own", "known", "q_data"), ("known",)), "bounded")
+    celled = cut(_cells(rows, count), "cells")
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    index = cut(_blocks(celled.join(sizes, "cell").withColumn("block", part(c("blocks"))), ["cell", "block"],
+                        ("ids", "own", "data")), "index")
+    drop(asked, celled)
+    # The second pass may miss what the first one found.
+    found = nearest(index, bounded, n_asked, True).unionByName(told.drop("rank")).dropDuplicates(["query_row", "row"])
+    return ranked(found).select("query_id", "rank", c("key").alias(key), "score")

@@ -167,3 +167,41 @@ def test_components(spark):
             group[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for x in group}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_vectors_are_verified():
+    """Of a block of random vectors a known bound leaves few to verify, and hardly any good one is lost."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(4096, 64))
+    rows /= np.sqrt((rows ** 2).sum(axis=1, keepdims=True))
+    ids, asked = np.arange(4096), np.arange(0, 4096, 64)
+    scores = rows[asked] @ rows.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = [set(np.argsort(-x)[:20].tolist()) for x in scores]
+    for known, share in ((None, 0.2), (np.sort(scores, axis=1)[:, -5], 0.05)):
+        index = ann.Index(rows, 1.0)
+        got = list(index.search(ids, ids, rows[asked], asked, 20, known))
+        assert index.verified < share * len(asked) * len(rows)
+        if known is None:
+            assert np.mean([len(w & set(f.tolist())) / 20 for w, (_, f, _) in zip(want, got, strict=True)]) > 0.9
+        else:
+            best = [set(np.argsort(-x)[:5].tolist()) for x in scores]
+            assert np.mean([len(w & set(f.tolist())) / 5 for w, (_, f, _) in zip(best, got, strict=True)]) > 0.9
+
+
+def test_far_blocks_are_left_out():
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(500, 8)) * 0.01 + np.eye(8)[0]
+    index = ann.Index(rows, 2.0)
+    query = -np.eye(8)[:1]
+    assert list(index.search(np.arange(500), np.arange(500), query, np.array([-1]), 5, np.array([0.5]))) == []
+    assert index.verified == 0
+
+
+def test_search_in_cells(spark, monkeypatch):
+    """Small blocks, several cells, and a first pass over a part of the vectors."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "TOGETHER", 2)
+    test_search(spark)
