@@ -5,8 +5,11 @@ sign, nearest to the rotated vector; ``FUNCTIONS`` of them make a bucket, and th
 tables. Besides its own bucket a vector enters those in which one hash is the second nearest
 axis. Two vectors at cosine 0.9 in 64 dimensions share a bucket with probability 0.999.
 
-Equal vectors are one class with a count from the start. Buckets with one class are dropped; the
-others are compared as blocks of a matrix product, large ones in pairs of sub-blocks. A block
+Equal vectors are one class with a count from the start. Buckets with one class are dropped. In the
+others the signs of ``BITS`` random projections are compared first: most buckets hold vectors that only
+happen to meet, and members none of whose partners agrees in enough signs leave before any vector is
+sent. A pair at the wanted cosine disagrees in more signs than ``DEVIATIONS`` allow once in millions.
+What stays is compared as blocks of a matrix product, large buckets in pairs of sub-blocks. A block
 returns a row per vector: how many others it links, and the smallest class of its links within the
 block. Pairs never become rows. A pair that meets in several buckets counts in the first.
 
@@ -27,13 +30,17 @@ from pyspark.sql import functions as F
 
 from piitrace.llm.components import components
 from piitrace.llm.vectors import matrix, packed, unit
-from piitrace.session import cut
+from piitrace.session import cut, drop
 
 TABLES, FUNCTIONS = 12, 3
 #: Buckets of a vector in one table: its own and one for each hash.
 PROBES = 1 + FUNCTIONS
 #: Vectors of a sub-block.
 BLOCK = 1024
+#: Signs of a sketch, and by how many deviations similar vectors may differ in more of them than expected.
+BITS, DEVIATIONS = 256, 5
+#: Members of a bucket up to which all buckets of a batch are looked at together.
+SMALL = 8
 
 
 @cache
@@ -78,6 +85,22 @@ def buckets(rows: np.ndarray) -> np.ndarray:
     return out.reshape(n, -1) * 8191 + own
 
 
+@cache
+def _projections(dims: int) -> np.ndarray:
+    return np.random.default_rng([dims, BITS]).normal(size=(dims, BITS))
+
+
+def sketches(rows: np.ndarray) -> np.ndarray:
+    """The signs of each row's projections, as 64-bit words."""
+    return np.packbits(rows @ _projections(rows.shape[1]) > 0, axis=1).view(np.uint64)
+
+
+def most_apart(least: float) -> int:
+    """Signs in which vectors at the cosine ``least`` differ at most."""
+    share = np.arccos(np.clip(least, -1, 1)) / np.pi
+    return int(np.ceil(BITS * share + DEVIATIONS * np.sqrt(BITS * share * (1 - share)) + 1))
+
+
 def _hashed(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +108,16 @@ def _hashed(classes: DataFrame) -> DataFrame:
             sizes = np.array([len(b.as_buffer()) for b in blobs])
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
-                codes = buckets(unit(matrix(part.column(2))))
+                rows = unit(matrix(part.column(2)))
+                codes = buckets(rows)
                 bounds = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists],
-                                                 names=["class", "times", "vec", "codes"])
+                signs = pa.array([x.tobytes() for x in sketches(rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, signs],
+                                                 names=["class", "times", "vec", "codes", "signs"])
 
     return classes.select("class", "times", "vec").mapInArrow(
-        run, "class long, times long, vec binary, codes array<long>")
+        run, "class long, times long, vec binary, codes array<long>, signs binary")
 
 
 def _met_before(x: np.ndarray, y: np.ndarray, code: int) -> np.ndarray:
@@ -152,6 +177,70 @@ def _block(ids: np.ndarray, times: np.ndarray, rows: np.ndarray, codes: np.ndarr
     return at, count[at], ids[order[group[at]]]
 
 
+def near_members(signs: np.ndarray, side: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
+    """For the members of buckets, which begin at ``start``, whether one they meet differs in at most
+    ``most`` signs. In a bucket with two sides only members of different sides meet."""
+    n = len(signs)
+    out = np.zeros(n, bool)
+    length = np.diff(np.append(start, n))
+    bucket = np.repeat(np.arange(len(start)), length)
+    two = np.add.reduceat(side, start)
+    two = np.repeat((two > 0) & (two < length), length) if n else two
+    small = np.repeat(length <= SMALL, length)
+    for step in range(1, SMALL):
+        i = np.flatnonzero(small[:-step] & (bucket[:-step] == bucket[step:])) if step < n else np.zeros(0, np.int64)
+        j = i + step
+        keep = ~two[i] | (side[i] != side[j])
+        i, j = i[keep], j[keep]
+        near = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1) <= most
+        out[i[near]] = out[j[near]] = True
+    for b in np.flatnonzero(length > SMALL).tolist():
+        at = np.arange(start[b], start[b] + length[b])
+        x = at[side[at] == 0] if two[at[0]] else at
+        y = at[side[at] == 1] if two[at[0]] else at
+        bits = np.unpackbits(signs[at].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        near = bits[x - at[0]] @ bits[y - at[0]].T >= BITS - 2 * most
+        if not two[at[0]]:
+            np.fill_diagonal(near, False)
+        out[x[near.any(axis=1)]] = True
+        out[y[near.any(axis=0)]] = True
+    return out
+
+
+def _plausible(placed: DataFrame, least: float) -> DataFrame:
+    """The members of buckets that meet one with similar signs: (code, low, high, side, class)."""
+    most = most_apart(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            change = changes(held)
+            if len(change) > 1:
+                yield done(held.slice(0, int(change[-1])))
+                held = held.slice(int(change[-1]))
+        if held is not None:
+            yield done(held)
+
+    def changes(table: pa.Table) -> np.ndarray:
+        keys = [table.column(n).to_numpy() for n in ("code", "low", "high")]
+        return np.flatnonzero(np.append([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        signs = np.frombuffer(b"".join(table["signs"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        keep = near_members(signs, table["side"].to_numpy().astype(np.int64), changes(table), most)
+        return table.select(["code", "low", "high", "side", "class"]).combine_chunks().to_batches()[0].filter(
+            pa.array(keep))
+
+    return placed.repartition("code", "low", "high").sortWithinPartitions("code", "low", "high").select(
+        "code", "low", "high", "side", "class", "signs").mapInArrow(
+        run, "code long, low int, high int, side int, class long")
+
+
 def _compare(placed: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -211,7 +300,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     pairs = pairs.select("code", "class", F.least("own", "other").alias("low"),
                          F.greatest("own", "other").alias("high"),
                          (c("own") > c("other")).cast("int").alias("side"))
-    found = cut(_compare(pairs.join(hashed, "class"), least), "links")
+    near = cut(_plausible(pairs.join(hashed.select("class", "signs"), "class"), least), "members")
+    found = cut(_compare(near.join(hashed.drop("signs"), "class"), least), "links")
+    drop(near, hashed)
 
     linked = found.groupBy("class").agg(F.sum("links").alias("links"))
     groups = components(found.select(c("class").alias("a"), c("low").alias("b"))).select(
