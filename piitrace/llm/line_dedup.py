@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piitrace.llm.words import LINES, UNSPACED, _power, mix, scan
-from piitrace.session import cut
+from piitrace.session import cut, drop
 
 #: Fewest words of a run that is deleted, and words from which a repeated run is always found.
 NOISE, SURE = 25, 50
@@ -169,8 +169,10 @@ def _repeats(lines: DataFrame, noise: int, sure: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)],
                                                  names=["row", "begin", "end"])
 
-    return full.select("row", "shift", "hashes", "words", "alive", "a_hashes", "a_alive").mapInArrow(
-        run, "row long, begin long, end long")
+    runs = cut(full.select("row", "shift", "hashes", "words", "alive", "a_hashes", "a_alive").mapInArrow(
+        run, "row long, begin long, end long"), "runs")
+    drop(found)
+    return runs
 
 
 def _deleted(lines: DataFrame, runs: DataFrame) -> DataFrame:
@@ -197,7 +199,10 @@ def _deleted(lines: DataFrame, runs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = NOISE, sure: int = SURE
           ) -> DataFrame:
     """``docs`` with the text less its later repeated runs, ``n_lines`` (not empty, before) and
-    ``n_removed``. Columns of these two names are replaced."""
+    ``n_removed``. Columns of these two names are replaced.
+
+    Until the result has been written, a copy of the rows and what is left of their lines stay in the
+    shared folder; what the rounds wrote is gone."""
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     # Written once: a second reading of the input might number its rows in another way.
@@ -206,10 +211,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
     lines = cut(_lines(numbered.select("row", F.col("doc")[key].alias("key"),
                                        F.col("doc")[text].alias("text"))), "lines")
     while True:
-        runs = cut(_repeats(lines, noise, sure), "runs")
+        runs = _repeats(lines, noise, sure)
         if runs.isEmpty():
             break
-        lines = cut(_deleted(lines, runs), "lines")
+        before, lines = lines, cut(_deleted(lines, runs), "lines")
+        drop(before, runs)
+    alive = cut(lines.select("row", "alive"), "alive")
+    drop(lines, runs)
 
     schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
     at = names.index(text)
@@ -235,5 +243,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
                 [*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())],
                 schema=pa.schema([*docs_in.type, pa.field("n_lines", pa.int64()), pa.field("n_removed", pa.int64())]))
 
-    return numbered.select("row", "doc").join(lines.select("row", "alive"), "row").select(
+    return numbered.select("row", "doc").join(alive, "row").select(
         "doc", "alive").mapInArrow(run, schema)
