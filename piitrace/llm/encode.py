@@ -20,15 +20,14 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words whose ids a Python worker remembers; beyond it words are encoded anew.
-MEMO_WORDS = 300_000
-#: The same for chunks.
-MEMO_CHUNKS = 200_000
+#: Distinct words and chunks whose ids a Python worker remembers; beyond it they are encoded anew.
+MEMO = 500_000
 #: Marks that the split patterns leave alone when they follow a word.
 MARKS = frozenset(".,;:!?")
 #: Bytes of text whose chunks are told apart at a time; a longer text is a part of its own.
@@ -43,17 +42,18 @@ SPACED = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 DROPPED = "'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"
 
 
+@cache
+def _categories() -> np.ndarray:
+    """The two letters of every code point's general category."""
+    return np.array([unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)], "U2").view(
+        np.uint32).reshape(-1, 2)
+
+
 def _ranges(kind: str) -> str:
-    """All code points of a general category, as ranges of a character class."""
-    out, start = [], None
-    for cp in range(sys.maxunicode + 2):
-        inside = cp <= sys.maxunicode and unicodedata.category(chr(cp))[0] == kind
-        if inside and start is None:
-            start = cp
-        elif not inside and start is not None:
-            out.append(f"{re.escape(chr(start))}-{re.escape(chr(cp - 1))}")
-            start = None
-    return "".join(out)
+    """All code points of a general category, or of all that begin so, as ranges of a character class."""
+    inside = (_categories()[:, :len(kind)] == [ord(x) for x in kind]).all(axis=1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))).tolist()
+    return "".join(f"{re.escape(chr(x))}-{re.escape(chr(y - 1))}" for x, y in zip(edge[::2], edge[1::2], strict=True))
 
 
 def split_pattern(pattern: str) -> re.Pattern:
@@ -93,18 +93,31 @@ class Encoder:
         letters = byte_letters()
         self.byte_of = {c: b for b, c in letters.items()}
         self._letters = str.maketrans({chr(b): c for b, c in letters.items()})
+        self._space = letters[0x20]
+        #: Code points that Python's tables do not know; the library's may.
+        self._unassigned = re.compile(f"[{_ranges('Cn')}]").search
         self._model = self.tok.model
+        #: Ids by word or chunk. A string that is both has the same ids as either.
         self._memo: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
         gap = f"[{SPACE}]"
         self.whole = "|".join([f"{gap} | {gap}", *map(re.escape, self.special)])
 
     def forget(self) -> None:
         """Give the memory of remembered words and chunks back."""
         self._memo.clear()
-        self._chunks.clear()
         pa.default_memory_pool().release_unused()
 
+    def plain(self, chunk: str) -> str | None:
+        """The one pre-token of a chunk that is a plain word."""
+        if self.spaced:
+            return chunk if chunk[:1] == " " and chunk[1:].isalpha() else None  # isalpha() knows no unassigned ones
+        return chunk.lower() if chunk.isascii() and chunk.isalpha() else None
+
+    def foreign(self, chunk: str) -> bool:
+        """Whether a chunk has to go through the library: strings of special tokens, unknown code points."""
+        return ("<|" in chunk and any(s in chunk for s in self.special)
+                or not chunk.isascii() and self._unassigned(chunk) is not None)
+
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk. Plain words, also with one mark behind them, need no pattern."""
         if self.spaced and chunk[:1] == " ":
@@ -125,7 +138,10 @@ class Encoder:
 
     def word_ids(self, word: str) -> bytes:
         """Ids of one pre-token from the library's model, as unsigned 32-bit numbers."""
-        if not (word.isascii() and word.isalpha()):
+        if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            if word[0] == " ":
+                word = self._space + word[1:]
+        elif not (word.isascii() and word.isalpha()):
             word = word.encode("utf-8").decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
@@ -135,32 +151,38 @@ class Encoder:
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Distinct unknown words are encoded once."""
-        if len(chunks) > 1000 and (known := self._chunks):
-            out = list(map(known.get, chunks))
-            rest = [i for i, b in enumerate(out) if b is None]
-            for i, b in zip(rest, self._chunk_ids([chunks[i] for i in rest]), strict=True):
-                out[i] = b
-        else:
-            out = self._chunk_ids(chunks)
-        if len(self._chunks) + len(chunks) <= MEMO_CHUNKS:
-            self._chunks.update(zip(chunks, out, strict=True))
-        return out
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         memo = self._memo
-        split = [None if "<|" in c and any(s in c for s in self.special) else self.words(c)
-                 for c in chunks]
-        fresh = list({w for ws in split if ws for w in ws if w not in memo})
+        out = list(map(memo.get, chunks))
+        rest = [i for i, b in enumerate(out) if b is None]
+        if not rest:
+            return out
+        # A chunk is one word, a list of words, or None if it goes through the library.
+        plain, words, foreign = self.plain, self.words, self.foreign
+        split = [plain(c) or (None if foreign(c) else words(c)) for c in map(chunks.__getitem__, rest)]
+        fresh = {w for w in split if w.__class__ is str and w not in memo}
+        fresh.update(w for ws in split if ws.__class__ is list for w in ws if w not in memo)
+        found = dict(zip(fresh, self.new_words(list(fresh)), strict=True))
         known = memo
-        if fresh:
-            found = dict(zip(fresh, self.new_words(fresh), strict=True))
-            if len(memo) + len(found) <= MEMO_WORDS:
-                memo.update(found)
+        if len(memo) + len(found) <= MEMO:
+            memo.update(found)
+        elif found:
+            known = _Both(memo, found)
+        get, room = known.__getitem__, MEMO - len(memo)
+        for i, ws in zip(rest, split, strict=True):
+            if ws.__class__ is str:
+                out[i] = get(ws)
+                continue
+            if ws is None:
+                ids = self.text_ids(chunks[i]).tobytes()
+            elif len(ws) == 2:
+                ids = get(ws[0]) + get(ws[1])
             else:
-                known = _Both(memo, found)
-        get = known.__getitem__
-        return [self.text_ids(c).tobytes() if ws is None else b"".join(map(get, ws))
-                for c, ws in zip(chunks, split, strict=True)]
+                ids = b"".join(map(get, ws))
+            out[i] = ids
+            if room > 0:
+                memo[chunks[i]] = ids
+                room -= 1
+        return out
 
     def text_ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")

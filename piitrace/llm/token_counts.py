@@ -291,11 +291,13 @@ class Counter(Encoder):
         fixed = np.zeros(len(rest), np.int64)
         for i, at in enumerate(rest.tolist()):
             chunk = chunks[at]
-            if "<|" in chunk and (parts := self._apart.split(chunk))[1:]:
-                fixed[i] = len(parts) - 1
-                split = [w for p in parts for w in self.words(p)]
-            else:
+            if not self.foreign(chunk):
                 split = self.words(chunk)
+            else:  # special tokens count one; letters unknown to Python are the library's
+                parts = self._apart.split(chunk)
+                plain = [p for p in parts if p.isascii() or self._unassigned(p) is None]
+                fixed[i] = len(parts) - 1 + sum(len(self.text_ids(p)) for p in parts if p not in plain)
+                split = [w for p in plain for w in self.words(p)]
             words += split
             of += [i] * len(split)
         seen: dict[str, int] = {}

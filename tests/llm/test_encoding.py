@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from piitrace.llm import bpe_trie, packing, token_files
+from piitrace.llm import bpe_trie, packing, token_counts, token_files
 from piitrace.llm.encode import Encoder, encoder
 from tests.llm.frames import awkward_texts, documents
 
@@ -38,6 +38,19 @@ def test_ids_are_those_of_the_library(path, kind, texts):
     assert got == [ids(t) for t in texts]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(SPACED, Encoder), (DROPPED, Encoder),
+                                            (SPACED, bpe_trie.TrieEncoder)])
+def test_letters_that_only_the_library_knows(path, kind):
+    """Letters of scripts that are newer than Python's tables, assigned and not."""
+    ids = library(path)
+    new = [0x1E5D0, 0x10D50, 0x10D70, 0x16D40, 0x105C0, 0x323B0, 0x378, 0x10FFFD]
+    texts = [f"{a}{chr(x)}{b}" for x in new for a in ("", ":", "a ", " é<|endoftext|>") for b in ("", "s 7", "\u0301")]
+    assert [x.tolist() for x in encoder(path, kind).batch(pa.array(texts))] == [ids(t) for t in texts]
+    if path == DROPPED:
+        got = encoder(path, token_counts.Counter).counts(pa.array(texts))
+        assert got.tolist() == [len(ids(t)) for t in texts]
+
+
 def test_words_of_merge_traps():
     texts = ["a" * n for n in range(1, 60)] + ["0" * 37, "=" * 81, "=-" * 20, " " * 9, "ÃÂ" * 7,
                                               "<|endoftext|>", "x <|endoftext|>  y", "abcabcab" * 9]
