@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -76,3 +77,20 @@ def test_run_is_registered(spark, folder):
     for p in pieces:
         whole.setdefault(p.doc_id, [0, p.doc_tokens])[0] += p.length
     assert whole and all(a == b for a, b in whole.values())
+
+
+def test_columns_come_back(spark):
+    """Whatever a user's columns are called, the stages that filter leave them alone."""
+    docs = documents(spark, corpus())
+    for name in ("Score", "own_Score", "n_removed", "hash", "lost", "doc", "key"):
+        docs = docs.withColumn(name, of_its_own(name))
+    rows = lambda df: {tuple(str(r[c]) for c in df.columns if c != "text") for r in df.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        assert 0 < len(rows(after)) and rows(after) <= rows(docs)
+
+
+def of_its_own(name):
+    """A value of its own for each row and column."""
+    return F.concat_ws("-", F.lit(name), F.crc32(F.coalesce("text", F.lit("none")).cast("binary")))
