@@ -128,12 +128,18 @@ def eff_env(budget: Column, used: Column) -> Column:
     return clamp(F.lit(STEP_SAVED_BONUS) * steps_saved(budget, used), ENV_EPS)
 
 
-def eff_grader(budget: Column, used: Column) -> Column:
-    """Share of the budget saved, clamped. A budget must be positive."""
-    share = F.when(
-        budget > 0, steps_saved(budget, used).cast("double") / budget.cast("double")
-    ).otherwise(F.raise_error(F.lit("steps_budget must be positive")).cast("double"))
-    return clamp(share, GRADER_EPS)
+#: Why a case cannot be graded.
+BAD_BUDGET = "steps_budget must be positive"
+
+
+def eff_grader(budget: Column, used: Column, strict: bool = True) -> Column:
+    """Share of the budget saved, clamped. A budget must be positive: another one ends the job or, if
+    not ``strict``, has no efficiency."""
+    share = steps_saved(budget, used).cast("double") / budget.cast("double")
+    if strict:
+        return clamp(F.when(budget > 0, share).otherwise(
+            F.raise_error(F.lit(BAD_BUDGET)).cast("double")), GRADER_EPS)
+    return F.when(budget > 0, clamp(share, GRADER_EPS))
 
 
 def secret_penalty(missed: Column, profile: str) -> Column:
@@ -190,9 +196,21 @@ def score_env(df: DataFrame) -> DataFrame:
     )
 
 
-def score_grader(counts: DataFrame) -> DataFrame:
-    """Grader metrics per case; a case without truth gets the neutral row."""
+def score_grader(counts: DataFrame, strict: bool = True) -> DataFrame:
+    """Grader metrics per case; a case without truth gets the neutral row.
+
+    A budget that is not positive ends the job. If not ``strict``, such a case gets no scores and no grade,
+    and a column ``rejected`` says why; it is null for all others.
+    """
     n = F.col
+    if not strict:
+        bad = ~F.coalesce(n("steps_budget") > 0, F.lit(False))
+        held = counts.withColumns({"_budget": n("steps_budget"), "steps_budget": F.when(bad, 1).otherwise(
+            n("steps_budget"))})
+        scored = score_grader(held).withColumns(
+            {"rejected": F.when(n("_budget").isNull() | (n("_budget") <= 0), BAD_BUDGET), "steps_budget": n("_budget")})
+        gone = {c: F.when(n("rejected").isNull(), n(c)) for c in (*GRADER_SCORES, "steps_saved", "grade")}
+        return scored.withColumns(gone).drop("_budget")
     empty = n("total_pii") == 0
     out = prf(counts, GRADER_EPS)
     out = out.withColumns(

@@ -1,7 +1,7 @@
 """Iterative plans over many scenarios at once.
 
-Driver rules take one round per step of the largest budget, reachability goes on until a
-round finds nothing new. Each round is one set of joins for all scenarios or episodes; between rounds the state is
+Both go on until a round finds nothing new, which takes as many rounds as things wait for one
+another. Each round is one set of joins for all scenarios or episodes; between rounds what it found is
 written to the shared folder, so lineage does not grow.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from piitrace.plans.replay import BY_STEP, largest_budget, log_classes
-from piitrace.session import cut
+from piitrace.session import cut, drop
 
 
 def _hidden_values(logs: DataFrame) -> DataFrame:
@@ -46,20 +46,17 @@ def reachable(logs: DataFrame, edges: DataFrame, rounds: int | None = None) -> D
     for ``rounds`` rounds if that is given."""
     hidden = cut(_hidden_values(logs), "hidden")
     keys = ["scenario_id", "value"]
-    known = cut(_surface_values(logs).withColumn("reached", F.lit(0)), "reach")
+    known = frontier = cut(_surface_values(logs).withColumn("reached", F.lit(0)), "reach")
     k = 0
     while rounds is None or k < rounds:
         k += 1
-        frontier = known.filter(F.col("reached") == k - 1).select(
-            "scenario_id", F.col("value").alias("target")
-        )
-        fresh = _found(frontier, edges, hidden, ["scenario_id"]).withColumn("reached", F.lit(k))
-        merged = known.unionByName(fresh).groupBy(*keys).agg(F.min("reached").alias("reached"))
-        grown = cut(merged, "reach")
-        done = grown.filter(F.col("reached") == k).isEmpty()
-        known = grown
-        if done:
+        moves = frontier.select("scenario_id", F.col("value").alias("target"))
+        # Only what a round finds is written; what was known stays where it is.
+        frontier = cut(_found(moves, edges, hidden, ["scenario_id"]).join(known, keys, "left_anti").withColumn(
+            "reached", F.lit(k)), "reach")
+        if frontier.isEmpty():
             break
+        known = known.unionByName(frontier)
     return known
 
 
@@ -69,9 +66,13 @@ def apply_driver_rules(plan: DataFrame, scenarios: DataFrame, logs: DataFrame, e
 
     Decisions count from 1 in the order of their recorded steps. Step 1 is a scan. A
     step with one step left is a submit. An investigation whose target is missing, not
-    discovered by then or already investigated becomes a scan. Whether a target is
-    discovered depends on the steps before it, hence one round per step; all episodes
-    advance together. The state holds only values that a plan asks for.
+    discovered by then or already investigated becomes a scan.
+
+    A value is tried at the first step that asks for it after it is known; it is known from the
+    first step at which one that reveals it is tried. Both only move to earlier steps as more
+    is found out, so the steps are the least fixed point: a round hands on what the last one
+    moved, and there are as many rounds as values that wait for one another, not as many as steps. The state
+    holds only values that a plan asks for, what reveals what is worked out once a scenario.
     """
     episode = ["episode_id", "scenario_id"]
     top = largest_budget(scenarios)
@@ -95,31 +96,23 @@ def apply_driver_rules(plan: DataFrame, scenarios: DataFrame, logs: DataFrame, e
     traps = honeypots.select("scenario_id", F.col("value").alias("target"))
     asked = plan.filter("planned = 'investigate' and target_entity is not null").select(
         *episode, "step", F.col("target_entity").alias("value"))
-    none = F.lit(None).cast("int")
-    keys = [*episode, "value"]
-    wanted = cut(asked.select(*keys).distinct(), "wanted")
-    state = cut(
-        wanted.join(_surface_values(logs), ["scenario_id", "value"], "left_semi").select(
-            *keys, none.alias("tried")), "driver")
-    steps = asked.agg(F.max("step")).first()[0] or 0
-    for step in range(2, steps + 1):
-        moves = cut(
-            asked.filter(F.col("step") == step).join(state.filter("tried is null"), keys,
-                                                     "left_semi").select(*keys),
-            "moves",
-        )
-        safe = moves.withColumnRenamed("value", "target").join(
-            traps, ["scenario_id", "target"], "left_anti"
-        )
-        fresh = _found(safe, edges, hidden, episode).join(wanted, keys, "left_semi").select(
-            *keys, none.alias("tried"))
-        tried = moves.withColumn("tried", F.lit(step))
-        state = cut(
-            state.unionByName(fresh).unionByName(tried).groupBy(*keys).agg(
-                F.min("tried").alias("tried")
-            ),
-            "driver",
-        )
+    wanted = asked.select("scenario_id", "value").distinct()
+    safe = wanted.withColumnRenamed("value", "target").join(traps, ["scenario_id", "target"], "left_anti")
+    links = cut(_found(safe, edges, hidden, ["scenario_id", "target"]).join(
+        wanted, ["scenario_id", "value"], "left_semi"), "links")
+    # An episode asks for a value at most as often as it has steps.
+    surface = _surface_values(logs).withColumn("known", F.lit(0))
+    first = F.array_min(F.filter("steps", lambda x: x > F.col("known")))
+    state = asked.groupBy(*episode, "value").agg(F.collect_set("step").alias("steps")).join(
+        surface, ["scenario_id", "value"], "left")
+    state = cut(state.withColumn("tried", first).withColumn("moved", F.col("tried").isNotNull()), "driver")
+    while not state.filter("moved").isEmpty():
+        handed = state.filter("moved").select(*episode, F.col("value").alias("target"), "tried").join(
+            links, ["scenario_id", "target"]).groupBy(*episode, "value").agg(F.min("tried").alias("told"))
+        before, state = state, state.join(handed, [*episode, "value"], "left").withColumns(
+            {"known": F.least("known", "told"), "was": F.col("tried")}).withColumn("tried", first)
+        state = cut(state.withColumn("moved", ~F.col("tried").eqNullSafe(F.col("was"))).drop("told", "was"), "driver")
+        drop(before)
     valid = state.filter("tried is not null").select(
         "episode_id", F.col("value").alias("target_entity"), F.col("tried").alias("step"),
         F.lit(True).alias("_valid"),

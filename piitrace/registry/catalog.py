@@ -10,6 +10,7 @@ from piitrace.registry import (  # noqa: F401
     q_replay,
     q_scalar,
     q_score,
+    q_snapshots,
     q_stream,
     q_synth,
 )

@@ -304,15 +304,18 @@ def _phone_sql(n):
 _GENERIC = r"regexp_matches(value, '^\+[0-9]{1,3}-[0-9]{3}-[0-9]{3}-[0-9]{4}$')"
 _AT = "contains(value, '@') AND contains(value, '.')"
 
+#: The class of ``v.value``, with ``f`` the truth values of its scenario.
+ENV_CLASS = f"""CASE WHEN {_AT.replace('value', 'v.value')} THEN 'email'
+      WHEN regexp_matches(v.value, '{_QUAD}') THEN 'ip'
+      WHEN f.is_token = 1 THEN 'token' ELSE 'username' END"""
+
 on_incident(
     "b6_classify_env",
     lambda i: N.classify_env(
         i.log_pii.select("scenario_id", "value").unionByName(
             i.redactions.select((F.floor(c("episode_id") / 5)).alias("scenario_id"),
                                 c("original").alias("value"))).distinct(), i.truth),
-    f"""SELECT v.scenario_id, v.value, CASE WHEN {_AT.replace('value', 'v.value')} THEN 'email'
-      WHEN regexp_matches(v.value, '{_QUAD}') THEN 'ip'
-      WHEN f.is_token = 1 THEN 'token' ELSE 'username' END AS entity_class
+    f"""SELECT v.scenario_id, v.value, {ENV_CLASS} AS entity_class
       FROM (SELECT scenario_id, value FROM log_pii UNION
         SELECT episode_id // 5, original FROM redactions) v
       LEFT JOIN flat f USING (scenario_id, value)""",
@@ -422,9 +425,7 @@ on_replay(
       round_even(submit_score, 6) AS submit_score, round_even(f1_score, 6) AS f1_score
       FROM results""",
 )
-on_replay(
-    "b21_step_feedback", W.step_feedback,
-    """SELECT r.episode_id, r.step, action_type,
+FEEDBACK = """SELECT r.episode_id, r.step, action_type,
       CASE WHEN terminated OR truncated THEN final
         WHEN action_type = 'scan' THEN 'Scan complete. ' || new_entities
           || ' new entities discovered.'
@@ -470,8 +471,8 @@ on_replay(
         || '% | Redacted: ' || redacted_total || '/' || total_pii
         || CASE WHEN secrets_missed > 0 THEN ' | ⚠️ CRITICAL: ' || secrets_missed
           || ' secret(s) missed!' ELSE '' END AS final FROM results) r
-    LEFT JOIN nexts n ON n.episode_id = r.episode_id AND n.step = r.step""",
-)
+    LEFT JOIN nexts n ON n.episode_id = r.episode_id AND n.step = r.step"""
+on_replay("b21_step_feedback", W.step_feedback, FEEDBACK)
 on_replay(
     "b22_success",
     lambda r: r.step_results.select(

@@ -117,7 +117,9 @@ def format_trace(step_results: DataFrame, env: str = "incident", model: str = "r
 def build_trace(step_results: DataFrame) -> DataFrame:
     """One nested row per episode: steps in order and the final metrics.
 
-    A step carries counts; the values themselves are rows of ``snapshot_items``.
+    A step carries counts, and its feedback if ``step_results`` has a column of that name; the lines an
+    episode begins with and the values themselves are rows of ``plans.snapshots``. The final score, F1,
+    discovery rate and grade stand beside the steps as well.
     """
     n = F.col
     target = (
@@ -134,6 +136,7 @@ def build_trace(step_results: DataFrame) -> DataFrame:
         "step", F.upper("action_type").alias("action"), target.alias("target"),
         n("visible_total").alias("logs_visible"), n("discovered_total").alias("entities_found"),
         F.bround("reward", 3).alias("reward"), coverage.alias("coverage"), "steps_remaining",
+        *(["feedback"] if "feedback" in step_results.columns else []),
     )
     final = F.max_by(
         F.struct(
@@ -149,7 +152,10 @@ def build_trace(step_results: DataFrame) -> DataFrame:
     ).withColumn(
         "total_reward",
         F.bround(F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["reward"]), 6),
-    )
+    ).withColumns({
+        "final_score": n("final_metrics.total_score"), "f1_score": n("final_metrics.f1_score"),
+        "discovery_rate": n("final_metrics.discovery_rate"), "grade": n("final_metrics.grade"),
+    })
 
 
 def write_traces(traces: DataFrame, path: str) -> None:

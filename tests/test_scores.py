@@ -62,6 +62,23 @@ def test_zero_budget_is_refused(spark):
         df.select(scoring.eff_grader(F.col("b"), F.col("u"))).collect()
 
 
+def test_bad_budgets_are_told_apart(spark, graded):
+    """A case without a budget loses its scores, not the job; all others keep theirs."""
+    cases = spark.createDataFrame([(i, 3, 4, b) for i, b in enumerate([10, 0, None, -1])],
+                                  "case_id INT, n INT, used INT, steps_budget INT")
+    counts = cases.select(
+        "case_id", "steps_budget", F.col("used").alias("steps_used"), *(F.col("n").cast("bigint").alias(x) for x in (
+            "total_pii", "true_positives", "discovered_count", "secrets_total", "secrets_found")),
+        *(F.lit(0).cast("bigint").alias(x) for x in ("false_positives", "false_negatives", "secrets_missed")))
+    got = {r.case_id: r for r in scoring.score_grader(counts, strict=False).collect()}
+    want = scoring.score_grader(counts.where("steps_budget > 0")).first()
+    assert got[0].rejected is None and all(got[0][x] == want[x] for x in want.asDict())
+    for i in (1, 2, 3):
+        assert got[i].rejected == scoring.BAD_BUDGET and got[i].total_score is None and got[i].grade is None
+    with pytest.raises(Exception, match="steps_budget"):
+        scoring.score_grader(counts).collect()
+
+
 def one(spark, column, value, kind="STRING"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v"))).first()[0]
 
