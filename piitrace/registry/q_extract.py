@@ -9,6 +9,7 @@ from piitrace.registry.base import add, corpus, incident, on_incident, table
 from piitrace.registry.oracle import hits, lit
 from piitrace.sources import dims
 
+c = F.col
 ID = ("src", "id")
 SHOW = ["src", "id", "pattern_id", "match_ord", "pii_type", "value"]
 
@@ -203,6 +204,23 @@ _RATES = """SELECT {by}, count(DISTINCT doc_id) AS docs,
   count(DISTINCT CASE WHEN value IS NOT NULL THEN doc_id END) AS docs_with_pii,
   count(value) AS hits, count(DISTINCT value) AS distinct_values
   FROM ({source}) GROUP BY ROLLUP ({by})"""
+
+
+def _sketched(spark, folder):
+    """Estimates beside the exact numbers they have to be near."""
+    docs = table(spark, folder, "documents")
+    exact = X.pii_rates(docs).select("source", "lang", c("distinct_values").alias("exact"))
+    rates = X.sketched_rates(X.pii_sketches(docs))
+    on = [rates[x].eqNullSafe(exact[x]) for x in ("source", "lang")]
+    near = F.abs(c("distinct_values") - c("exact")) <= F.ceil(c("exact") * X.SKETCH_ERROR)
+    return rates.join(exact, on).select(rates["source"], rates["lang"], "docs", "docs_with_pii", "hits",
+                                        near.alias("near"))
+
+
+add("e31_pii_rates_sketched", _sketched,
+    f"""SELECT source, lang, docs, docs_with_pii, hits, true AS near FROM ({_RATES.format(
+        by="source, lang", source="""SELECT d.doc_id, d.source, d.lang, h.value
+      FROM documents d LEFT JOIN demo_doc_hits h USING (doc_id)""")})""")
 add(
     "e31_pii_rates",
     lambda spark, folder: X.pii_rates(table(spark, folder, "documents")),

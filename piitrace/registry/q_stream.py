@@ -9,7 +9,7 @@ from piitrace.registry.base import add, incident
 from piitrace.registry.oracle import hits
 from piitrace.registry.q_extract import _mask_sql
 from piitrace.session import scratch
-from piitrace.streaming import online, streams, timed
+from piitrace.streaming import online, sinks, streams, timed
 from piitrace.streaming.sightings import first_sightings
 
 c = F.col
@@ -81,6 +81,19 @@ add("x3_stream_counts_sliding", _counts("sliding", window="1 day", slide="12 hou
       - k * INTERVAL 12 HOUR AS w, pii_type FROM stream_hits, (VALUES (0), (1)) AS t(k)""",
                 "1 DAY"),
     stream_hits=_STREAM_HITS)
+
+
+def _counted_once(spark, folder):
+    """All windows, also those still open, from a ledger of batches."""
+    matches = streams.stream_matches(_lines(spark, folder))
+    return _stamps(sinks.drain_counts(matches, scratch(spark, "counted")))
+
+
+add("x3_stream_counts_once", _counted_once,
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+      strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, pii_type,
+      count(*) AS hits, 0 AS late FROM stream_hits GROUP BY ALL""",
+    stream_hits=_STREAM_HITS)
 add("x3_stream_counts_session", _counts("session", session_gap="2 hours"),
     f"""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
       strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, pii_type,

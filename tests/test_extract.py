@@ -137,3 +137,18 @@ def test_blobs_with_secrets_are_masked(spark):
                                "line STRING")
     masked = extract.mask_text(df).first().masked
     assert masked.startswith("b64=[TOKEN] b64=") and masked.count("[TOKEN]") == 1
+
+
+def test_sketches_of_parts_add_up(spark):
+    """Sketches of two halves give the estimate of the whole, within the stated error."""
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('mail a', id % 4000, '@b.co, again a', id % 4000, '@b.co') "
+                                     "AS text", "concat('s', id % 2) AS source", "'en' AS lang")
+    halves = extract.pii_sketches(docs.where("doc_id % 3 = 0")).unionByName(
+        extract.pii_sketches(docs.where("doc_id % 3 <> 0")))
+    got = {r.source: r for r in extract.sketched_rates(halves).where("lang is not null or source is null").collect()}
+    assert (got[None].docs, got[None].docs_with_pii, got[None].hits) == (n, n, 2 * n)
+    assert abs(got[None].distinct_values - 4000) <= 4000 * extract.SKETCH_ERROR
+    assert abs(got["s0"].distinct_values - 2000) <= 2000 * extract.SKETCH_ERROR
+    plan = extract.sketched_rates(extract.pii_sketches(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4  # sketches are shuffled, not hits
