@@ -105,7 +105,7 @@ class Index:
     def search(self, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int,
                known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its number, the places of its best vectors and their inner products. ``known`` are inner
-        products of which each query has ``k`` as good ones already."""
+        products of which each query has ``k`` as good ones already; worse vectors are left out."""
         n = len(ids)
         norms = np.sqrt((queries ** 2).sum(axis=1))
         projected = (queries / norms[:, None]) @ self.lines[:-1]
@@ -147,6 +147,8 @@ class Index:
                 found = np.concatenate([found, fresh])
                 score = np.concatenate([score, self.rows[fresh] @ query])
             self.verified += len(found)
+            good = score >= bound
+            found, score = found[good], score[good]
             order = np.lexsort((ids[found], -score))[:k]
             yield i, found[order], score[order]
 
