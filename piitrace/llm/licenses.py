@@ -32,6 +32,8 @@ K = 4
 GAP = 3
 #: Least share of a template's words that a span covers, and of a span's words that are covered.
 COVER, DENSE = 0.6, 0.5
+#: Most k-grams of templates that are sent to every task.
+SENT = 1 << 20
 
 #: Phrases and their labels.
 PHRASES = {
@@ -119,14 +121,16 @@ def scan_words(docs: DataFrame, key: str, text: str, k: int, phrases: dict[str,
 
 
 def template_grams(docs: DataFrame, templates: list[tuple[str, str]], k: int) -> DataFrame:
+    """All k-grams of the templates; up to ``SENT`` of them are sent to every task."""
     rows = []
     for number, (label, text) in enumerate(templates):
         words, of = _words(text)
         grams, at = windows(words, of, k)
         rows += [(int(g), number, int(q), label, len(words))
                  for g, q in zip(grams.view(np.int64), at, strict=True)]
-    return docs.sparkSession.createDataFrame(
+    table = docs.sparkSession.createDataFrame(
         rows, "gram long, template int, place int, label string, template_words int")
+    return F.broadcast(table) if len(rows) <= SENT else table
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
@@ -142,7 +146,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     info = F.struct(*per_text[1:]).alias("info")
     votes = (
         texts.select("row", info, F.posexplode_outer("grams").alias("pos", "gram"))
-        .join(F.broadcast(table), "gram", "left")
+        .join(table, "gram", "left")
         # The first row stays, so that texts without a match keep theirs.
         .where("template is not null or coalesce(pos, 0) = 0")
         .groupBy("row", "info", "template", "label", "template_words",
