@@ -445,7 +445,7 @@ def test_sql_agrees(spark, folder):
     from piitrace.llm import queries
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     for query, sql in queries.ORACLES.items():
         got = queries.QUERIES[query](spark, folder)
