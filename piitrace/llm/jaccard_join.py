@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from piitrace.llm.components import components
 from piitrace.llm.words import UNSPACED, mix, scan, windows
-from piitrace.session import cut, drop
+from piitrace.session import cut, drop, tidy
 
 #: Words of a shingle, and the similarity from which sets link, in hundredths.
 SHINGLE, LEAST = 5, 75
@@ -174,15 +174,16 @@ def _sketch(measured: DataFrame) -> np.ndarray:
                 got = np.frombuffer(zlib.decompress(blob.as_buffer()), "<u4").astype(np.uint64)
                 total[part] = total[part] + got if part in total else got
         if total:
+            top = np.iinfo(np.uint32).max
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total)), pa.array([t.astype("<u8").tobytes() for t in total.values()])],
-                names=["id", "data"])
+                [pa.array(list(total)), pa.array([zlib.compress(np.minimum(t, top).astype("<u4").tobytes(), 1)
+                                                  for t in total.values()])], names=["id", "data"])
 
     parts = measured.where("kind = 1").select("id", "data").repartition(PARTS, "id")
-    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint64)
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint32)
     for r in parts.mapInArrow(run, "id long, data binary").collect():
-        out[r.id] = np.frombuffer(r.data, "<u8")
-    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+        out[r.id] = np.frombuffer(zlib.decompress(r.data), "<u4")
+    return out.ravel()
 
 
 def rare_list(lengths: list[tuple[int, int]], least: int = LEAST) -> float:
@@ -253,8 +254,8 @@ def _place(sigs: np.ndarray) -> np.ndarray:
     return (mix(sigs) >> np.uint64(20)) & np.uint64(SHARED - 1)
 
 
-def _repeated(docs: DataFrame, rarity, limit: int, k: int, least: int) -> bytes:
-    """The filter of signatures, a bit for each position that two classes fall on, compressed."""
+def _repeated(docs: DataFrame, rarity, limit: int, k: int, least: int) -> dict[int, bytes]:
+    """The filter of signatures, a bit for each position that two classes fall on, in compressed parts."""
     part = SHARED // SHARED_PARTS
 
     def told(places: list[np.ndarray]) -> pa.RecordBatch:
@@ -298,20 +299,21 @@ def _repeated(docs: DataFrame, rarity, limit: int, k: int, least: int) -> bytes:
 
     parts = docs.select("text").mapInArrow(tell, "part int, steps binary, twice binary").repartition(
         SHARED_PARTS, "part").mapInArrow(merge, "part int, bits binary")
-    out = np.zeros((SHARED_PARTS, part // 8), np.uint8)
-    for r in parts.collect():  # SHARED bits, whatever the input
-        out[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return zlib.compress(out.tobytes(), 1)
+    # SHARED bits, whatever the input; the driver passes them on as they come, compressed part by part.
+    return {r.part: bytes(r.bits) for r in parts.collect()}
 
 
 _filters: dict[str, np.ndarray] = {}
 
 
-def _filter(name: str, packed: bytes) -> np.ndarray:
+def _filter(name: str, packed: dict[int, bytes]) -> np.ndarray:
     """The worker's filter of signatures; it keeps the last one."""
     if name not in _filters:
         _filters.clear()
-        _filters[name] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        bits = np.zeros((SHARED_PARTS, SHARED // SHARED_PARTS // 8), np.uint8)
+        for part, data in packed.items():
+            bits[part] = np.frombuffer(zlib.decompress(data), np.uint8)
+        _filters[name] = bits.ravel()
     return _filters[name]
 
 
@@ -703,6 +705,10 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, least: int) -> tuple[D
     worth = many * (100 - least) // 100 < 2 * SHARED
     repeated = spark.sparkContext.broadcast(_repeated(docs, rarity, limit, k, least)) if worth else None
     lists = cut(_shared(_postings(docs, rarity, repeated, limit, k, least)), "lists")
+    for sent in (rarity, repeated):
+        if sent is not None:
+            sent.destroy()
+    tidy(spark)
     starred = lists.where("id <> first").where(_fits("size", "first_size", "sig", limit, least))
     pairs = starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
 
