@@ -8,7 +8,7 @@ from piitrace.plans.replay import number_steps
 from piitrace.registry.base import add, incident
 from piitrace.registry.oracle import hits
 from piitrace.registry.q_extract import _mask_sql
-from piitrace.session import scratch
+from piitrace.session import cut, scratch
 from piitrace.streaming import online, sinks, streams, timed
 from piitrace.streaming.sightings import first_sightings
 
@@ -142,10 +142,14 @@ add("x5_stream_honeypot", _honeypot,
         AND h.value = a.target_entity)""")
 
 
+def _static(i):
+    """What every batch joins, written once."""
+    return (cut(online.effects(i.logs, i.edges, i.truth, i.honeypots), "effects"),
+            cut(online.scenario_facts(i.scenarios, i.logs, i.truth), "facts"))
+
+
 def _score(spark, folder):
-    i = incident(spark, folder)
-    brings = online.effects(i.logs, i.edges, i.truth, i.honeypots)
-    facts = online.scenario_facts(i.scenarios, i.logs, i.truth)
+    brings, facts = _static(incident(spark, folder))
     return online.drain_scores(
         online.stream_score(_action_files(spark, folder, numbered=True), brings, facts), "scores")
 
@@ -163,7 +167,8 @@ def _timed(spark, folder):
     """Some actions get lost and arrive a day after the others; episodes that stay open run out."""
     i = incident(spark, folder)
     rows = _action_rows(spark, folder, numbered=True)
-    rows = rows.select(*schemas.ACTION_RECORD.names)
+    # Written once: two parts read it, each in one task, since a file is a batch.
+    rows = cut(rows.select(*schemas.ACTION_RECORD.names), "records")
     lost = (c("episode_id") * 7 + c("step")) % 11 == 0
     start = F.lit("2024-03-01 00:00:00").cast("timestamp")
     after = lambda hours, minutes: start + F.make_interval(
@@ -176,8 +181,7 @@ def _timed(spark, folder):
         part.withColumn("received_at", after(hours, minutes)).coalesce(1).write.mode("append").parquet(path)
     schema = rows.withColumn("received_at", start).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    brings = online.effects(i.logs, i.edges, i.truth, i.honeypots)
-    facts = online.scenario_facts(i.scenarios, i.logs, i.truth)
+    brings, facts = _static(i)
     hour = 3_600_000
     scored = timed.stream_score_timed(stream, brings, facts, hour, 72 * hour, "1 hour")
     return streams.drain_stateful(scored, "timed").select("episode_id", "step", "status")

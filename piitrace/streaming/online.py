@@ -3,15 +3,17 @@
 What an action can bring (values on the surface, line classes a target reveals,
 truth flags of a redaction item, honeypots) does not depend on the episode, so it
 is joined from static tables. The state of an episode keeps only what has already
-counted: numbers, and maps of values and classes that stay on disk.
+counted: numbers, a list of marked values and classes, and early steps, all on disk.
+Every call to the state store costs a round trip, so a batch reads the numbers of an
+episode once, the list at most once, and writes what is new in one go at its end.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,7 +29,7 @@ RESULT = (
     "truncated BOOLEAN"
 )
 HEAD = ("steps INT, total DOUBLE, done BOOLEAN, visible BIGINT, discovered BIGINT, "
-        "discovered_true BIGINT, redacted BIGINT, tokens BIGINT")
+        "discovered_true BIGINT, redacted BIGINT, tokens BIGINT, marked INT, waiting STRING")
 SEP = "\u001f"
 
 
@@ -94,56 +96,110 @@ def _clamp(x: float) -> float:
 class EpisodeScorer(StatefulProcessor):
     """Applies the actions of one episode in step order, holding back early ones."""
 
-    #: The fields of the head state, and the reward of nothing.
-    names = ("steps", "total", "done", "visible", "discovered", "true", "redacted", "tokens")
-    nothing = ENV_EPS
+    #: The state of numbers and its fields; ``marked`` counts the marks kept, ``waiting`` lists [step, time] of steps held back.
+    schema = HEAD
+    names = ("steps", "total", "done", "visible", "discovered", "true", "redacted", "tokens", "marked", "waiting")
+    start = (0, ENV_EPS, False, None, 0, 0, 0, 0, 0, "[]")
+    #: The columns of a result row.
+    row = Row(*(x.split()[0] for x in RESULT.split(", ")))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", HEAD)
-        self.values = handle.getMapState("values", "value STRING", "marks STRING")
-        self.classes = handle.getMapState("classes", "line_class STRING", "seen INT")
+        self.head = handle.getValueState("head", self.schema)
+        self.marks = handle.getListState("marks", "mark STRING, value STRING")
         self.pending = handle.getMapState("pending", "step INT", "rows STRING")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        head = self.head.get() if self.head.exists() else (0, ENV_EPS, False, None, 0, 0, 0, 0)
-        head = dict(zip(["steps", "total", "done", "visible", "discovered", "true", "redacted",
-                         "tokens"], head))
-        parts = [part for part in rows if not head["done"]]
-        waiting = {}
-        if parts:
-            new = pd.concat(parts, ignore_index=True)
-            waiting = {int(s): part for s, part in new.groupby("step")}
+    # ------------------------------------------------------------ state
+
+    def _load(self) -> dict:
+        """The numbers of the episode, and nothing else of its state yet."""
+        kept = self.head.get()
+        self.known = kept is not None
+        return self._fresh(kept or self.start)
+
+    def _fresh(self, kept: tuple) -> dict:
+        head = dict(zip(self.names, kept, strict=True))
+        self.waiting = dict(json.loads(head["waiting"]))
+        self.stored = set(self.waiting)  # steps in the store; the others are in ``held``
+        self.held: dict[int, list[dict]] = {}
+        self.gone: list[int] = []
+        self.seen = None if head["marked"] else set()
+        self.added: list[tuple[str, str]] = []
+        return head
+
+    def _hold(self, step: int, rows: list[dict], at: int = 0) -> None:
+        self.held[step] = rows
+        self.waiting[step] = at
+
+    def _take(self, step: int) -> list[dict]:
+        """The rows of a waiting step, which waits no more."""
+        del self.waiting[step]
+        if step in self.stored:
+            self.gone.append(step)
+        rows = self.held.pop(step, None)
+        return json.loads(self.pending.getValue((step,))[0]) if rows is None else rows
+
+    def _forget(self, head: dict) -> None:
+        """Clears the marks and the steps that wait."""
+        if head["marked"]:
+            self.marks.clear()
+        if self.stored:
+            self.pending.clear()
+        head["marked"] = 0
+        self.waiting, self.stored, self.held, self.gone, self.seen, self.added = {}, set(), {}, [], set(), []
+
+    def _save(self, head: dict) -> None:
+        """Writes what a batch has changed; of an episode that is done only the numbers stay."""
+        if head["done"]:
+            self._forget(head)
+        for step in self.gone:
+            if step not in self.held:
+                self.pending.removeKey((step,))
+        for step, rows in self.held.items():
+            self.pending.updateValue((step,), (json.dumps(rows),))
+        if self.added:
+            self.marks.appendList(self.added)
+            head["marked"] += len(self.added)
+        head["waiting"] = json.dumps(list(self.waiting.items()))
+        self.head.update(tuple(head[x] for x in self.names))
+
+    @staticmethod
+    def _by_step(rows: Iterator[Row]) -> dict[int, list[dict]]:
+        """The rows of each step as records; what orders the stream is left out."""
+        out: dict[int, list[dict]] = {}
+        for r in rows:
+            record = dict(zip(r.__fields__, r, strict=True))
+            record.pop("received_at", None)
+            out.setdefault(int(record["step"]), []).append(record)
+        return out
+
+    def _go_on(self, head: dict) -> list[tuple]:
+        """Applies what waits and is due."""
         out = []
-        while not head["done"]:
+        while not head["done"] and head["steps"] + 1 in self.waiting:
             step = head["steps"] + 1
-            if step in waiting:
-                part = waiting.pop(step)
-            elif self.pending.containsKey((step,)):
-                part = pd.read_json(_as_file(self.pending.getValue((step,))[0]), orient="records",
-                                    dtype=False)
-                self.pending.removeKey((step,))
-            else:
-                break
-            out.append(self._apply(head, step, part))
-        if not head["done"]:
-            for step, part in waiting.items():
-                if step > head["steps"]:
-                    self.pending.updateValue((step,), (part.to_json(orient="records"),))
-        self.head.update((head["steps"], head["total"], head["done"], head["visible"],
-                          head["discovered"], head["true"], head["redacted"], head["tokens"]))
-        yield pd.DataFrame(
-            [(key[0], *r) for r in out],
-            columns=["episode_id", "step", "action_type", "reward", "cumulative_reward",
-                     "visible_total", "discovered_total", "redacted_total", "terminated",
-                     "truncated"],
-        )
+            out.append(self._apply(head, step, self._take(step)))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        head = self._load()
+        if head["done"]:
+            return
+        for step, part in self._by_step(rows).items():
+            if step > head["steps"]:
+                self._hold(step, part)
+        out = self._go_on(head)
+        self._save(head)
+        for r in out:
+            yield self.row(key[0], *r)
 
     def _mark(self, value: str, mark: str) -> bool:
-        """Add a mark (d, i or r) to a value; False if it was there."""
-        marks = self.values.getValue((value,))[0] if self.values.containsKey((value,)) else ""
-        if mark in marks:
+        """Mark a value (d, i or r) or a line class (c); False if it was marked so."""
+        if self.seen is None:
+            self.seen = {(m, v) for m, v in self.marks.get()}
+        if (mark, value) in self.seen:
             return False
-        self.values.updateValue((value,), (marks + mark,))
+        self.seen.add((mark, value))
+        self.added.append((mark, value))
         return True
 
     def _discover(self, head, rows) -> tuple[int, int]:
@@ -156,8 +212,7 @@ class EpisodeScorer(StatefulProcessor):
         head["discovered"] += new
         return new, secrets
 
-    def _apply(self, head, step, part):
-        records = part.to_dict("records")
+    def _apply(self, head, step, records):
         first = records[0]
         if head["visible"] is None:
             head["visible"] = int(first["n_surface"])
@@ -174,10 +229,8 @@ class EpisodeScorer(StatefulProcessor):
                 reward = replay.HONEYPOT_REWARD
             else:
                 hits = by_kind("search")
-                lines = {r["cls"]: int(r["n_logs"]) for r in hits
-                         if not self.classes.containsKey((r["cls"],))}
-                for cls in lines:
-                    self.classes.updateValue((cls,), (1,))
+                lines = {cls: n for cls, n in {r["cls"]: int(r["n_logs"]) for r in hits}.items()
+                         if self._mark(cls, "c")}
                 new, secrets = self._discover(head, [r for r in hits if r["cls"] in lines])
                 head["visible"] += sum(lines.values())
                 if lines or new:
@@ -202,7 +255,7 @@ class EpisodeScorer(StatefulProcessor):
             return ENV_EPS
         right = wrong = secrets = 0
         for r in items:
-            if not r["in_truth"] or r["in_truth"] != r["in_truth"]:
+            if not r["in_truth"]:
                 wrong += 1
             elif self._mark(r["key"], "r"):
                 right += 1
@@ -231,12 +284,6 @@ class EpisodeScorer(StatefulProcessor):
         pass
 
 
-def _as_file(text: str):
-    from io import StringIO
-
-    return StringIO(text)
-
-
 def keyed_actions(records: DataFrame, brings: DataFrame, facts: DataFrame, time: str | None = None,
                   more: list | None = None) -> DataFrame:
     """A row per thing an action can bring, with the facts of its scenario and the columns ``more``.
@@ -261,17 +308,18 @@ def keyed_actions(records: DataFrame, brings: DataFrame, facts: DataFrame, time:
         counts = F.when(F.col(time).isNotNull(), counts)
     live = records.join(facts, "scenario_id", "left").filter(counts)
     keyed = live.select(*base, *(more or []), F.posexplode_outer(keys).alias("pos", "k"))
-    return keyed.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k").join(
-        brings, ["scenario_id", "kind", "key"], "left")
+    return keyed.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k", "pos").join(
+        brings, ["scenario_id", "kind", "key"], "left").drop("scenario_id")
 
 
 def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> DataFrame:
     """Score a stream of action records (schema ``ACTION_RECORD``) step by step.
 
-    ``brings`` is the table of ``effects``, ``facts`` that of ``scenario_facts``.
+    ``brings`` is the table of ``effects``, ``facts`` that of ``scenario_facts``; every batch reads
+    them, so they should be stored tables (``session.cut``).
     Needs the RocksDB state store, see ``drain_stateful``.
     """
-    return keyed_actions(records, brings, facts).groupBy("episode_id").transformWithStateInPandas(
+    return keyed_actions(records, brings, facts).groupBy("episode_id").transformWithState(
         EpisodeScorer(), outputStructType=RESULT, outputMode="append", timeMode="None"
     )
 

@@ -8,17 +8,16 @@ An episode that receives nothing for ``idle_ms`` loses all its state, and an ope
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from piitrace.streaming.online import RESULT, EpisodeScorer, _as_file, keyed_actions
+from piitrace.streaming.online import HEAD, RESULT, EpisodeScorer, keyed_actions
 
 #: A result row and what became of the step: applied, missing, late or expired.
 TIMED_RESULT = RESULT + ", status STRING"
-COLUMNS = [x.split()[0] for x in TIMED_RESULT.split(", ")]
 #: No time.
 NEVER = -1
 
@@ -29,59 +28,48 @@ class TimedScorer(EpisodeScorer):
     def __init__(self, wait_ms: int, idle_ms: int):
         self.wait_ms, self.idle_ms = wait_ms, idle_ms
 
+    #: Beside the numbers the steps given up, and the times of both timers.
+    schema = HEAD + ", skipped STRING, gap BIGINT, idle BIGINT"
+    names = (*EpisodeScorer.names, "skipped", "gap", "idle")
+    start = (*EpisodeScorer.start, "[]", NEVER, NEVER)
+    row = Row(*(x.split()[0] for x in TIMED_RESULT.split(", ")))
+
     def init(self, handle) -> None:
         super().init(handle)
         self.handle = handle
-        self.skipped = handle.getMapState("skipped", "step INT", "at BIGINT")
-        self.times = handle.getValueState("times", "gap BIGINT, idle BIGINT")
 
     # ------------------------------------------------------------ state
 
-    def _head(self) -> dict:
-        head = self.head.get() if self.head.exists() else (0, self.nothing, False, None, 0, 0, 0, 0)
-        return dict(zip(self.names, head, strict=True))
-
-    def _timers(self) -> tuple[int, int]:
-        return self.times.get() if self.times.exists() else (NEVER, NEVER)
+    def _fresh(self, kept: tuple) -> dict:
+        head = super()._fresh(kept)
+        self.skipped = set(json.loads(head["skipped"]))
+        return head
 
-    def _set_timers(self, gap: int, idle: int) -> None:
-        for old, new in zip(self._timers(), (gap, idle), strict=True):
-            if old != new:
-                if old != NEVER:
-                    self.handle.deleteTimer(old)
-                if new != NEVER:
-                    self.handle.registerTimer(new)
-        self.times.update((gap, idle))
+    def _forget(self, head: dict) -> None:
+        super()._forget(head)
+        self.skipped = set()
 
-    def _waiting(self) -> list[int]:
-        return sorted(int(step) for (step,) in self.pending.keys())
+    def _save(self, head: dict) -> None:
+        head["skipped"] = "[]" if head["done"] else json.dumps(sorted(self.skipped))
+        super()._save(head)
 
-    def _held(self, step: int) -> pd.DataFrame:
-        return pd.read_json(_as_file(self.pending.getValue((step,))[0]), orient="records", dtype=False)
+    def _set_timers(self, head: dict, gap: int, idle: int) -> None:
+        """Both timers may be at one time, which the store keeps once."""
+        old, new = {head["gap"], head["idle"]} - {NEVER}, {gap, idle} - {NEVER}
+        for at in old - new:
+            self.handle.deleteTimer(at)
+        for at in new - old:
+            self.handle.registerTimer(at)
+        head["gap"], head["idle"] = gap, idle
 
     # ------------------------------------------------------------ steps
 
-    def _go_on(self, head: dict) -> list[tuple]:
-        """Applies what waits and is due."""
-        out = []
-        while not head["done"] and self.pending.containsKey((head["steps"] + 1,)):
-            step = head["steps"] + 1
-            part = self._held(step)
-            self.pending.removeKey((step,))
-            out.append((*self._apply(head, step, part), "applied"))
-        if head["done"]:
-            for state in (self.pending, self.values, self.classes, self.skipped):
-                state.clear()
-        return out
+    def _applied(self, head: dict) -> list[tuple]:
+        return [(*r, "applied") for r in self._go_on(head)]
 
     def _gap(self, head: dict) -> int:
         """When to give up the next step: never, if nothing waits behind it."""
-        waiting = [] if head["done"] else self._waiting()
-        return int(self._held(waiting[0])["received_ms"].min()) + self.wait_ms if waiting else NEVER
-
-    def _rows(self, key, head: dict, out: list[tuple]) -> pd.DataFrame:
-        self.head.update(tuple(head[x] for x in self.names))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
+        return NEVER if head["done"] or not self.waiting else self.waiting[min(self.waiting)] + self.wait_ms
 
     def _mark_row(self, head: dict, step: int, status: str) -> tuple:
         return (step, None, None, float(head["total"]), head["visible"], head["discovered"], head["redacted"],
@@ -89,59 +77,63 @@ class TimedScorer(EpisodeScorer):
 
     def _settle(self, head: dict, now: int) -> list[tuple]:
         """Gives up steps whose time has run out and applies what waits behind them."""
-        out = self._go_on(head)
+        out = self._applied(head)
         while NEVER < self._gap(head) <= now:
-            for step in range(head["steps"] + 1, self._waiting()[0]):
-                self.skipped.updateValue((step,), (now,))
+            for step in range(head["steps"] + 1, min(self.waiting)):
+                self.skipped.add(step)
                 out.append(self._mark_row(head, step, "missing"))
                 head["steps"] = step
-            out += self._go_on(head)
+            out += self._applied(head)
         return out
 
     def _end(self, head: dict) -> list[tuple]:
         """Forgets the episode."""
         out = [] if head["done"] else [self._mark_row(head, head["steps"], "expired")]
-        self._set_timers(NEVER, NEVER)
-        for state in (self.head, self.pending, self.values, self.classes, self.skipped, self.times):
-            state.clear()
+        self._set_timers(head, NEVER, NEVER)
+        self._forget(head)
+        self.head.clear()
         return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Timers of a batch come after its rows; what is due by now comes first.
-        head, now, out = self._head(), timerValues.getCurrentWatermarkInMs(), []
-        if self.head.exists():
+        head, now, out = self._load(), timerValues.getCurrentWatermarkInMs(), []
+        if self.known:
             out += self._settle(head, now)
-            if NEVER < self._timers()[1] <= now:
+            if NEVER < head["idle"] <= now:
                 out += self._end(head)
-                head = self._head()
-        new = pd.concat(list(rows), ignore_index=True)
-        for step, part in new.groupby("step"):
-            step = int(step)
+                head = self._fresh(self.start)
+        latest = NEVER
+        for step, part in sorted(self._by_step(rows).items()):
+            times = [r["received_ms"] for r in part]
+            latest = max(latest, *times)
             if head["done"]:
                 continue
             if step > head["steps"]:
-                if not self.pending.containsKey((step,)):
-                    self.pending.updateValue((step,), (part.to_json(orient="records"),))
-            elif self.skipped.containsKey((step,)):
-                self.skipped.removeKey((step,))
+                if step not in self.waiting:
+                    self._hold(step, part, min(times))
+            elif step in self.skipped:
+                self.skipped.remove(step)
                 out.append(self._mark_row(head, step, "late"))
         out += self._settle(head, now)
-        idle = max(self._timers()[1], int(new["received_ms"].max()) + self.idle_ms)
-        self._set_timers(self._gap(head), idle)
-        yield self._rows(key, head, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        head, (gap, idle) = self._head(), self._timers()
-        fired = expiredTimerInfo.getExpiryTimeInMs()
+        self._set_timers(head, self._gap(head), max(head["idle"], latest + self.idle_ms))
+        self._save(head)
+        for r in out:
+            yield self.row(key[0], *r)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head, fired, out = self._load(), expiredTimerInfo.getExpiryTimeInMs(), []
+        gap, idle = head["gap"], head["idle"]
+        # The store has dropped the timer that fired.
+        head["gap"], head["idle"] = (NEVER if at == fired else at for at in (gap, idle))
         if fired == gap:
-            self.times.update((NEVER, idle))
-            out = self._settle(head, timerValues.getCurrentWatermarkInMs())
-            self._set_timers(self._gap(head), idle)
-            yield self._rows(key, head, out)
-        elif fired == idle:
-            self.times.update((gap, NEVER))
-            out = self._end(head)
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
+            out += self._settle(head, timerValues.getCurrentWatermarkInMs())
+        if fired == idle:
+            out += self._end(head)
+        elif fired == gap:
+            self._set_timers(head, self._gap(head), idle)
+            self._save(head)
+        for r in out:
+            yield self.row(key[0], *r)
 
 
 def stream_score_timed(records: DataFrame, brings: DataFrame, facts: DataFrame, wait_ms: int, idle_ms: int,
@@ -154,5 +146,5 @@ def stream_score_timed(records: DataFrame, brings: DataFrame, facts: DataFrame,
     timed = records.withWatermark("received_at", delay)
     joined = keyed_actions(timed, brings, facts, "received_at",
                            ["received_at", F.unix_millis("received_at").alias("received_ms")])
-    return joined.groupBy("episode_id").transformWithStateInPandas(
+    return joined.groupBy("episode_id").transformWithState(
         TimedScorer(wait_ms, idle_ms), outputStructType=TIMED_RESULT, outputMode="append", timeMode="EventTime")
