@@ -29,6 +29,8 @@ AUTOMATON_VALUES, AUTOMATON_BYTES = 500_000, 32 << 20
 GRAM = 5
 #: Positions of the filter of anchors, a power of two.
 POSITIONS = 1 << 23
+#: Letters of a text that are looked at together.
+STRETCH = 1 << 18
 
 _automata: dict[str, object] = {}
 
@@ -83,10 +85,33 @@ def _by_automaton(df: DataFrame, values: DataFrame, text_col: str) -> DataFrame:
     return out.select("row.*", "masked")
 
 
-def _grams(text: str, n: int) -> F.Column:
-    """The distinct n-grams of a text column of at least n letters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                                        lambda i: F.substring(F.col(text), i, F.lit(n))))
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _places(letters: np.ndarray, n: int) -> np.ndarray:
+    """The filter's position of each n-gram."""
+    size = len(letters) - n + 1
+    h = np.zeros(size, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + letters[j:j + size]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(29)) & np.uint64(POSITIONS - 1)
+
+
+def _anchor_grams(text: str, sizes: list[int], bits: np.ndarray) -> set[str]:
+    """The distinct n-grams of a text that the filter knows, in one pass a size."""
+    out = set()
+    for begin in range(0, len(text), STRETCH):
+        part = text[begin:begin + STRETCH + GRAM - 1]
+        letters = _letters(part)
+        for n in sizes:
+            if len(part) >= n:
+                at = _places(letters, n)
+                known = bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+                out.update(part[i:i + n] for i in np.flatnonzero(known).tolist())
+    return out
 
 
 def anchors(values: DataFrame) -> DataFrame:
@@ -106,28 +131,34 @@ def _by_anchors(df: DataFrame, values: DataFrame, text_col: str, row_id: str) ->
     c = F.col
     anchored = anchors(values)
     sizes = [r.n for r in values.select(F.least(F.length("value"), F.lit(GRAM)).alias("n")).distinct().collect()]
-    place = F.pmod(F.xxhash64("gram"), F.lit(POSITIONS))
-    words = anchored.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("m")).toArrow()
+    if not sizes:
+        return df.withColumn("masked", c(text_col))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [int(_places(_letters(gram), len(gram))[0]) for gram in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+
+    words = anchored.select("gram").distinct().mapInArrow(placed, "at long").groupBy(
+        F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("m")).toArrow()
     bits = np.zeros(POSITIONS // 32, np.uint32)
-    if words.num_rows:
-        bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
+    bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
     sent = df.sparkSession.sparkContext.broadcast(bits)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            grams, times = [], []
+            for text in batch.column(1).to_pylist():
+                own = _anchor_grams(text, sizes, sent.value) if text else ()
+                grams += own
+                times.append(len(own))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), times))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(grams, pa.string())],
+                                             names=["row", "gram"])
 
     texts = df.select(c(row_id).alias("row"), c(text_col).alias("text"))
-    met = None
-    for n in sizes:
-        found = texts.where(F.length("text") >= n).select("row", F.explode(_grams("text", n)).alias("gram"))
-        met = found if met is None else met.unionByName(found)
-    if met is None:
-        return df.withColumn("masked", c(text_col))
     kind = df.schema[row_id].dataType.simpleString()
-    met = met.withColumn("at", place).mapInArrow(kept, f"row {kind}, gram string, at long").drop("at")
+    met = texts.mapInArrow(kept, f"row {kind}, gram string")
     pairs = met.join(anchored, "gram").select("row", "value", "pii_type")
     listed = pairs.join(texts, "row").where(F.contains(c("text"), c("value"))).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(

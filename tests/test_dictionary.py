@@ -1,5 +1,7 @@
 """Masking by a dictionary against nested replaces, both ways."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,16 @@ def test_no_value_meets_every_line(spark):
         plan = dictionary.mask_dictionary(df, values, "id", automaton_values=bound)
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_grams_of_a_long_text_take_one_pass():
+    """Every anchor is met, also across stretches, in time that follows the length of the text."""
+    text = "日本 x " * 200_000 + "needle-1" + "z" * 300_000
+    bits = np.zeros(dictionary.POSITIONS // 32, np.uint32)
+    across = text[dictionary.STRETCH - 2:dictionary.STRETCH + 3]
+    for gram in ("eedle", across, "本 x"):
+        at = int(dictionary._places(dictionary._letters(gram), len(gram))[0])
+        bits[at >> 5] |= np.uint32(1 << (at & 31))
+    begin = time.process_time()
+    got = dictionary._anchor_grams(text, [3, 5], bits)
+    assert {"eedle", across, "本 x"} <= got and time.process_time() - begin < 10
