@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,12 +12,11 @@ from piitrace.operators import extract
 
 SIGHTING = ("scenario_id BIGINT, value STRING, log_id BIGINT, pattern_id STRING, pii_type STRING, "
             "seen_us BIGINT")
-#: What orders sightings: event time, line, pattern, place in the line.
-RANK = ["seen_us", "log_id", "pattern_ord", "match_ord"]
+SIGHTED = Row(*(x.split()[0] for x in SIGHTING.split(", ")))
 
 
 class FirstSighting(StatefulProcessor):
-    """Keeps the smallest sighting of a value and gives it out once the watermark has passed it, when
+    """Keeps the smallest sighting of a value, by event time, line, pattern and place in the line, and gives it out once the watermark has passed it, when
     no earlier one can come any more. Rows may arrive in any order within the watermark's delay. A
     value that was given out is remembered for ``keep_ms`` of event time and then forgotten; sightings
     that arrive before it is given out belong to it."""
@@ -28,46 +26,48 @@ class FirstSighting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "seen_us BIGINT, log_id BIGINT, pattern_ord INT, match_ord INT, "
-                                         "pattern_id STRING, pii_type STRING")
-        self.told = handle.getValueState("told", "until_ms BIGINT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        if self.best.exists() and not self.told.exists() and _due(self.best.get()) <= timerValues.getCurrentWatermarkInMs():
-            self.handle.deleteTimer(_due(self.best.get()))
-            yield self._give_out(key)
-        until = self.told.get()[0] if self.told.exists() else 0
-        before = self.best.get() if self.best.exists() and not until else None
-        best = before
-        for part in rows:
-            part = part[part["seen_us"] >= until * 1000]
-            if len(part):
-                first = part.sort_values(RANK).iloc[0]
-                found = (*(int(first[x]) for x in RANK), first["pattern_id"], first["pii_type"])
+        # One state, so that a value is read and written in one call each; ``until_ms`` is 0 until it was given out.
+        self.state = handle.getValueState("sighting", "seen_us BIGINT, log_id BIGINT, pattern_ord INT, match_ord INT, "
+                                          "pattern_id STRING, pii_type STRING, until_ms BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.state.get()
+        before, until = (None, 0) if kept is None else (tuple(kept)[:-1], kept[-1])
+        given = before if before and not until and _due(before) <= timerValues.getCurrentWatermarkInMs() else None
+        if given:
+            self.handle.deleteTimer(_due(given))
+            until = _due(given) + self.keep_ms
+        best = before = None if until else before
+        for r in rows:
+            if r.seen_us >= until * 1000:
+                found = (r.seen_us, r.log_id, r.pattern_ord, r.match_ord, r.pattern_id, r.pii_type)
                 best = found if best is None else min(best, found)
         if best != before:
-            if until:
-                self.told.clear()
+            if until and not given:
                 self.handle.deleteTimer(until)
             elif before is not None:
                 self.handle.deleteTimer(_due(before))
-            self.best.update(best)
+            self.state.update((*best, 0))
             self.handle.registerTimer(_due(best))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.told.exists():
-            self.told.clear()
-            self.best.clear()
+        elif given:
+            self.state.update((*given, until))
+            self.handle.registerTimer(until)
+        if given:
+            yield self._row(key, given)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        *best, until = self.state.get()
+        if until:
+            self.state.clear()
             return
-        yield self._give_out(key)
-
-    def _give_out(self, key) -> pd.DataFrame:
-        best = self.best.get()
         until = _due(best) + self.keep_ms
-        self.told.update((until,))
+        self.state.update((*best, until))
         self.handle.registerTimer(until)
-        return pd.DataFrame([(key[0], key[1], best[1], best[4], best[5], best[0])],
-                            columns=[x.split()[0] for x in SIGHTING.split(", ")])
+        yield self._row(key, best)
+
+    @staticmethod
+    def _row(key, best) -> Row:
+        return SIGHTED(key[0], key[1], best[1], best[4], best[5], best[0])
 
     def close(self) -> None:
         pass
@@ -90,5 +90,5 @@ def first_sightings(lines: DataFrame, delay: str = "1 day", keep_ms: int = 7 * 8
     found = extract.line_matches(lines.withWatermark("ts", delay), "line", ("scenario_id", "log_id", "ts"), profile)
     rows = found.select("scenario_id", "value", F.unix_micros("ts").alias("seen_us"), "log_id",
                         c("pattern_ord").cast("int"), c("match_ord").cast("int"), "pattern_id", "pii_type", "ts")
-    return rows.groupBy("scenario_id", "value").transformWithStateInPandas(
+    return rows.groupBy("scenario_id", "value").transformWithState(
         FirstSighting(keep_ms), outputStructType=SIGHTING, outputMode="append", timeMode="EventTime")

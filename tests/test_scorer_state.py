@@ -2,7 +2,7 @@
 
 from pyspark.sql import Row
 
-from piitrace.streaming import online, timed
+from piitrace.streaming import online, sightings, timed
 
 
 class Store:
@@ -120,3 +120,15 @@ def test_a_timer_that_moves_to_the_time_of_the_other_stays():
     list(scorer.handleInputRows((1,), iter(scans(2, values=1, at=50)), Clock(0)))
     assert store.timers == {150}
     assert scorer._load()["gap"] == 150 == scorer._load()["idle"]
+
+
+def test_a_sighting_is_read_and_written_once():
+    store, scorer = Store(), sightings.FirstSighting(1000)
+    scorer.init(store)
+    seen = Row(*"scenario_id value seen_us log_id pattern_ord match_ord pattern_id pii_type ts".split())
+    rows = [seen(1, "a", t * 1000, t, 0, 0, "E1", "email", None) for t in (7, 5, 9)]
+    assert not list(scorer.handleInputRows((1, "a"), iter(rows), Clock(0))) and store.calls <= 3
+    assert store.timers == {6}
+    got = list(scorer.handleExpiredTimer((1, "a"), Clock(6), Clock(6)))
+    assert [(r.log_id, r.seen_us) for r in got] == [(5, 5000)] and store.calls <= 6
+    assert not list(scorer.handleInputRows((1, "a"), iter(rows), Clock(6)))
