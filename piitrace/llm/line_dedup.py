@@ -151,10 +151,11 @@ def _repeats(lines: DataFrame, noise: int, sure: int) -> DataFrame:
     found = cut(_fingerprints(lines, noise, sure), "fingerprints")
     first = found.groupBy("gram").agg(F.min(F.struct("key", "row", "place")).alias("first"),
                                       F.count("*").alias("n")).where("n > 1").select("gram", "first")
-    pairs = found.join(first, "gram").where("row <> first.row or place <> first.place").select(
+    # Sort-merge joins: what is shuffled follows the input, also where a small side would be broadcast.
+    pairs = found.join(first.hint("merge"), "gram").where("row <> first.row or place <> first.place").select(
         "row", c("first.row").alias("a"), (c("place") - c("first.place")).alias("shift")).distinct()
     earlier = lines.select(c("row").alias("a"), c("hashes").alias("a_hashes"), c("alive").alias("a_alive"))
-    full = pairs.join(lines.select("row", "hashes", "words", "alive"), "row").join(earlier, "a")
+    full = pairs.hint("merge").join(lines.select("row", "hashes", "words", "alive"), "row").hint("merge").join(earlier, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +192,7 @@ def _deleted(lines: DataFrame, runs: DataFrame) -> DataFrame:
 
     # A document's runs lie within its lines; equal ones are merged before they are listed.
     listed = runs.distinct().groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    return lines.join(listed, "row", "left").select(
+    return lines.join(listed.hint("merge"), "row", "left").select(
         "row", "key", "hashes", "words", "alive", "runs").mapInArrow(
         run, f"row long, key {kind}, hashes binary, words binary, alive binary")
 
@@ -243,5 +244,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int =
                 [*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())],
                 schema=pa.schema([*docs_in.type, pa.field("n_lines", pa.int64()), pa.field("n_removed", pa.int64())]))
 
-    return numbered.select("row", "doc").join(alive, "row").select(
+    return numbered.select("row", "doc").join(alive.hint("merge"), "row").select(
         "doc", "alive").mapInArrow(run, schema)
