@@ -14,7 +14,8 @@ from piitrace.sources.incident import Incident
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_loaded: dict[tuple[str, str], tuple[Incident, Replay]] = {}
+_incidents: dict[tuple[str, str], Incident] = {}
+_replays: dict[tuple[str, str], Replay] = {}
 
 
 def add(name: str, build: Query, body: str | None = None, **extra: str) -> None:
@@ -36,25 +37,25 @@ def on_replay(name: str, build: Callable[[Replay], DataFrame], body: str | None
     add(name, lambda spark, folder: build(replay(spark, folder)), body, **extra)
 
 
-def _load(spark: SparkSession, folder: str) -> tuple[Incident, Replay]:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _loaded:
-        tables = Incident.load(spark, folder)
-        _loaded[key] = (tables, Replay.of(tables))
-    return _loaded[key]
-
-
 def forget() -> None:
     """Drop the tables kept per session and folder, so that the next query builds them."""
-    _loaded.clear()
+    _incidents.clear()
+    _replays.clear()
 
 
 def incident(spark: SparkSession, folder: str) -> Incident:
-    return _load(spark, folder)[0]
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _incidents:
+        _incidents[key] = Incident.load(spark, folder)
+    return _incidents[key]
 
 
 def replay(spark: SparkSession, folder: str) -> Replay:
-    return _load(spark, folder)[1]
+    """Its tables are built with it; a query that takes the incident alone builds those it reads."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _replays:
+        _replays[key] = Replay.of(incident(spark, folder))
+    return _replays[key]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -144,8 +144,8 @@ add("x5_stream_honeypot", _honeypot,
 
 def _static(i):
     """What every batch joins, written once."""
-    return (cut(online.effects(i.logs, i.edges, i.truth, i.honeypots), "effects"),
-            cut(online.scenario_facts(i.scenarios, i.logs, i.truth), "facts"))
+    return (cut(online.effects(i.labels, i.edges, i.truth, i.honeypots), "effects"),
+            cut(online.scenario_facts(i.scenarios, i.labels, i.truth), "facts"))
 
 
 def _score(spark, folder):

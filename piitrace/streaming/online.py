@@ -6,6 +6,8 @@ is joined from static tables. The state of an episode keeps only what has alread
 counted: numbers, a list of marked values and classes, and early steps, all on disk.
 Every call to the state store costs a round trip, so a batch reads the numbers of an
 episode once, the list at most once, and writes what is new in one go at its end.
+Spark hands rows to the state one cell at a time, which costs more than what is done
+with them: facts and things therefore come as JSON, many things to a row.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +23,7 @@ from piitrace.functions.scores import ENV_EPS
 from piitrace.operators import redaction, scoring
 from piitrace.operators.graph import truth_flat
 from piitrace.plans import replay
+from piitrace.session import cut
 from piitrace.streaming.streams import drain_stateful
 
 RESULT = (
@@ -31,49 +34,86 @@ RESULT = (
 HEAD = ("steps INT, total DOUBLE, done BOOLEAN, visible BIGINT, discovered BIGINT, "
         "discovered_true BIGINT, redacted BIGINT, tokens BIGINT, marked INT, waiting STRING")
 SEP = "\u001f"
+#: What an action brings, as the state reads it.
+THING = ("cls", "n_logs", "value", "is_token", "in_truth")
+NOTHING = [dict.fromkeys(THING)]
+#: Surface values, hidden classes or true values in a row of ``effects``.
+PACK = 256
 
 
 def effects(logs: DataFrame, edges: DataFrame, truth: DataFrame, honeypots: DataFrame
             ) -> DataFrame:
-    """What a key of an action brings: (scenario_id, kind, key, cls, n_logs, value, flags).
+    """What a key of an action brings: (scenario_id, kind, key, things).
 
     Kinds: ``scan`` gives surface values, ``search`` gives the hidden classes and
-    their values, ``item`` the truth flags of a value, ``trap`` a honeypot.
+    their values, ``item`` the true values of a part of the scenario's, ``trap`` a honeypot. ``things`` is
+    JSON, a list of ``THING``.
     """
     known = truth_flat(truth).withColumn("in_truth", F.lit(True))
-    classes = replay.log_classes(logs)
-    nothing = F.lit(None).cast("string")
-
-    surface = classes.filter("n_surface > 0").select(
-        "scenario_id", F.explode("labels").alias("value")
-    ).distinct().select(
+    value = F.struct("value", "is_token", "in_truth")
+    # Written once, with a row per class: surface, members and their values all come from it.
+    classes = cut(
+        replay.log_classes(logs.filter(F.size("labels") > 0)).select(
+            "scenario_id", F.concat_ws(SEP, "labels").alias("cls"), "n_hidden", "n_surface",
+            F.explode("labels").alias("value"))
+        .join(known, ["scenario_id", "value"], "left")
+        .fillna(False, subset=["is_token", "in_truth"])
+        .groupBy("scenario_id", "cls", "n_hidden", "n_surface").agg(F.collect_list(value).alias("values")),
+        "classes")
+
+    surface = classes.filter("n_surface > 0").select("scenario_id", F.inline("values")).distinct().select(
         "scenario_id", F.lit("scan").alias("kind"), F.lit("").alias("key"),
-        nothing.alias("cls"), F.lit(0).cast("bigint").alias("n_logs"), "value",
+        F.array(_thing()).alias("things"),
     )
     members = classes.filter("n_hidden > 0").select(
-        "scenario_id", F.concat_ws(SEP, "labels").alias("cls"), "n_hidden", "labels",
-        F.explode("labels").alias("hit"),
-    )
+        "scenario_id", "cls", "n_hidden", "values", F.explode("values.value").alias("hit"))
     own = members.select("scenario_id", F.col("hit").alias("key"), "hit").distinct()
     linked = edges.select("scenario_id", F.col("src").alias("key"), F.col("dst").alias("hit"))
     search = own.unionByName(linked).distinct().join(members, ["scenario_id", "hit"]).select(
-        "scenario_id", F.lit("search").alias("kind"), "key", "cls",
-        F.col("n_hidden").alias("n_logs"), F.explode("labels").alias("value"),
-    ).distinct()
-    found = surface.unionByName(search).join(known, ["scenario_id", "value"], "left")
-    item = known.select(
-        "scenario_id", F.lit("item").alias("kind"), F.col("value").alias("key"),
-        nothing.alias("cls"), F.lit(0).cast("bigint").alias("n_logs"), "value", "is_token",
-        "in_truth",
+        "scenario_id", "key", "cls", "n_hidden", "values"
+    ).distinct().select(
+        "scenario_id", F.lit("search").alias("kind"), "key",
+        F.transform("values", lambda v: _thing(
+            F.col("cls"), F.col("n_hidden"), v["value"], v["is_token"], v["in_truth"])).alias("things"),
     )
+    total = F.count(F.lit(1)).over(Window.partitionBy("scenario_id"))
+    item = known.withColumn("key", _part(F.col("value"), total)).groupBy(
+        "scenario_id", F.lit("item").alias("kind"), "key").agg(F.collect_list(_thing()).alias("things"))
+    no = F.lit(False)
     trap = honeypots.select(
         "scenario_id", F.lit("trap").alias("kind"), F.col("value").alias("key"),
-        nothing.alias("cls"), F.lit(0).cast("bigint").alias("n_logs"), "value",
-        F.lit(False).alias("is_token"), F.lit(False).alias("in_truth"),
-    )
-    return found.unionByName(item).unionByName(trap).fillna(
-        False, subset=["is_token", "in_truth"]
+        F.array(_thing(is_token=no, in_truth=no)).alias("things"),
     )
+    return _packed(surface.unionByName(search)).unionByName(
+        item.unionByName(trap).withColumn("things", _json("things")))
+
+
+def _thing(cls: Column | None = None, n_logs: Column | None = None, value: Column | None = None,
+           is_token: Column | None = None, in_truth: Column | None = None) -> Column:
+    """One ``THING``; what is not given is no class, no lines, or the column of that name."""
+    given = (F.lit(None).cast("string") if cls is None else cls,
+             F.lit(0).cast("bigint") if n_logs is None else n_logs,
+             F.col("value") if value is None else value,
+             F.coalesce("is_token", F.lit(False)) if is_token is None else is_token,
+             F.col("in_truth") if in_truth is None else in_truth)
+    return F.struct(*[c.alias(name) for c, name in zip(given, THING, strict=True)])
+
+
+def _part(value: Column, total: Column) -> Column:
+    """Which part a value belongs to, if ``total`` values are dealt to parts of about ``PACK``."""
+    return F.pmod(F.xxhash64(value), F.greatest(F.ceil(total / PACK), F.lit(1))).cast("string")
+
+
+def _json(c: str | Column) -> Column:
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def _packed(parts: DataFrame) -> DataFrame:
+    """Lists of things by key, ``PACK`` of them to a row and in as many rows as that takes."""
+    key = ["scenario_id", "kind", "key"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("things"))
+    return parts.withColumn("_row", F.floor((place - 1) / PACK)).groupBy(*key, "_row").agg(
+        _json(F.flatten(F.collect_list("things"))).alias("things")).drop("_row")
 
 
 def scenario_facts(scenarios: DataFrame, logs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -93,6 +133,19 @@ def _clamp(x: float) -> float:
     return max(ENV_EPS, min(1.0 - ENV_EPS, x))
 
 
+def _opened(row: dict) -> list[dict]:
+    """The records in a row of ``keyed_actions``; a row that is a record already stays one."""
+    if "record" not in row:
+        return [row]
+    things = json.loads(row.pop("things") or "null") or NOTHING
+    facts = row | json.loads(row.pop("record"))
+    items = facts.pop("items")
+    if items is None:
+        return [facts | thing for thing in things]
+    known = {thing["value"]: thing for thing in things}
+    return [facts | known.get(item, NOTHING[0]) | {"key": item} for item in items]
+
+
 class EpisodeScorer(StatefulProcessor):
     """Applies the actions of one episode in step order, holding back early ones."""
 
@@ -164,12 +217,12 @@ class EpisodeScorer(StatefulProcessor):
 
     @staticmethod
     def _by_step(rows: Iterator[Row]) -> dict[int, list[dict]]:
-        """The rows of each step as records; what orders the stream is left out."""
+        """The rows of each step as records, one a thing; what orders the stream is left out."""
         out: dict[int, list[dict]] = {}
         for r in rows:
             record = dict(zip(r.__fields__, r, strict=True))
             record.pop("received_at", None)
-            out.setdefault(int(record["step"]), []).append(record)
+            out.setdefault(int(record["step"]), []).extend(_opened(record))
         return out
 
     def _go_on(self, head: dict) -> list[tuple]:
@@ -286,30 +339,36 @@ class EpisodeScorer(StatefulProcessor):
 
 def keyed_actions(records: DataFrame, brings: DataFrame, facts: DataFrame, time: str | None = None,
                   more: list | None = None) -> DataFrame:
-    """A row per thing an action can bring, with the facts of its scenario and the columns ``more``.
+    """A row per key of an action and row that ``brings`` has of it, and the columns ``more``.
 
-    With a ``time`` column, what leaves rows out looks at it too: otherwise the optimizer would do so
-    before the watermark has seen them.
+    ``record`` holds the action, the facts of its scenario, the key and of a redaction the items that belong to
+    it; ``things`` what the key brings, null if nothing. Facts and ``brings`` come from one truth. With a
+    ``time`` column, what leaves rows out looks at it too: otherwise the optimizer would do so before the
+    watermark has seen them.
     """
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     action, target = F.col("action_type"), F.coalesce("target_entity", F.lit(""))
+    originals = F.transform("redactions", lambda r: F.coalesce(r["original"], F.lit("")))
+    part = lambda o: _part(o, F.col("total_pii"))
     keys = (
         F.when(action == "scan", F.array(pair("scan", F.lit(""))))
         .when(action == "investigate", F.array(pair("search", target), pair("trap", target)))
-        .when(action == "redact", F.transform(
-            "redactions", lambda r: pair("item", F.coalesce(r["original"], F.lit("")))))
+        .when(action == "redact", F.array_distinct(F.transform(originals, lambda o: pair("item", part(o)))))
     )
-    base = ["episode_id", "scenario_id", "step", "action_type", "target_entity", "budget",
-            "total_pii", "total_tokens", "n_surface"]
+    base = ["episode_id", "scenario_id", "step"]
+    told = ["action_type", "target_entity", "budget", "total_pii", "total_tokens", "n_surface"]
     # a step past the budget can never count; leaving it out here bounds what one
     # episode can send to its state
     counts = F.col("step") <= F.col("budget")
     if time is not None:
         counts = F.when(F.col(time).isNotNull(), counts)
     live = records.join(facts, "scenario_id", "left").filter(counts)
-    keyed = live.select(*base, *(more or []), F.posexplode_outer(keys).alias("pos", "k"))
-    return keyed.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).drop("k", "pos").join(
-        brings, ["scenario_id", "kind", "key"], "left").drop("scenario_id")
+    keyed = live.select(*base, *told, "redactions", *(more or []), F.posexplode_outer(keys).alias("pos", "k"))
+    items = F.when(F.col("kind") == "item", F.filter(originals, lambda o: part(o) == F.col("key")))
+    record = F.struct(*told, "kind", "key", items.alias("items"))
+    keyed = keyed.withColumns({"kind": F.col("k.kind"), "key": F.col("k.key")}).withColumn("record", _json(record))
+    return keyed.drop("k", "pos", "redactions", *told).join(
+        brings, ["scenario_id", "kind", "key"], "left").drop("scenario_id", "kind", "key")
 
 
 def stream_score(records: DataFrame, brings: DataFrame, facts: DataFrame) -> DataFrame:

@@ -43,21 +43,27 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 #: Keeps the state of keyed processors on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A batch stores what it has changed, not every file of every store.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def drain_stateful(stream: DataFrame, label: str) -> DataFrame:
     """``drain`` for keyed state and timers, with the state store they need."""
-    spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        conf.set(name, value)
     try:
         return drain(stream, label)
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)
 
 
 def stream_mask(lines: DataFrame, profile: str = "demo") -> DataFrame:
