@@ -1,8 +1,8 @@
 """Whole-text encoding with vocabularies of the ``tokenizers`` library, one Arrow batch at a time.
 
-A corpus repeats its words, so a batch is cut into chunks at single spaces, every
-distinct chunk is encoded once, and the ids of a text are gathered by chunk number.
-Two kinds of vocabulary are known:
+A corpus repeats its words, so a batch is cut into chunks, every distinct chunk is
+encoded once, and the ids of a text are gathered by chunk number. Two kinds of
+vocabulary are known, cut at single spaces and at ASCII white space:
 
 ``spaced``  byte-level BPE whose pre-tokenizer keeps a space in front of a word;
 ``dropped`` word BPE that lower-cases and drops white space.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import string
 import sys
 import unicodedata
 from array import array
@@ -28,8 +29,8 @@ import pyarrow.compute as pc
 
 #: Distinct words and chunks whose ids a Python worker remembers; beyond it they are encoded anew.
 MEMO = 500_000
-#: Marks that the split patterns leave alone when they follow a word.
-MARKS = frozenset(".,;:!?")
+#: Marks that the split patterns keep together, and apart from a word before them.
+MARKS = string.punctuation
 #: Bytes of text whose chunks are told apart at a time; a longer text is a part of its own.
 PART = 8 << 20
 #: Chunks whose ids are gathered at a time.
@@ -97,7 +98,7 @@ class Encoder:
         #: Code points that Python's tables do not know; the library's may.
         self._unassigned = re.compile(f"[{_ranges('Cn')}]").search
         self._model = self.tok.model
-        #: Ids by word or chunk. A string that is both has the same ids as either.
+        #: Ids by word or normal chunk. A string that is both has the same ids as either.
         self._memo: dict[str, bytes] = {}
         gap = f"[{SPACE}]"
         self.whole = "|".join([f"{gap} | {gap}", *map(re.escape, self.special)])
@@ -107,33 +108,27 @@ class Encoder:
         self._memo.clear()
         pa.default_memory_pool().release_unused()
 
-    def plain(self, chunk: str) -> str | None:
-        """The one pre-token of a chunk that is a plain word."""
-        if self.spaced:
-            return chunk if chunk[:1] == " " and chunk[1:].isalpha() else None  # isalpha() knows no unassigned ones
-        return chunk.lower() if chunk.isascii() and chunk.isalpha() else None
-
     def foreign(self, chunk: str) -> bool:
         """Whether a chunk has to go through the library: strings of special tokens, unknown code points."""
         return ("<|" in chunk and any(s in chunk for s in self.special)
-                or not chunk.isascii() and self._unassigned(chunk) is not None)
+                or not chunk.isascii() and not chunk.isprintable()  # no unassigned one is printable
+                and self._unassigned(chunk) is not None)
+
+    def normal(self, text: str) -> str:
+        """What the vocabulary's split pattern is applied to, but for white space."""
+        if self.spaced:
+            return text
+        return lower_each(text if text.isascii() else unicodedata.normalize("NFC", text))
 
     def words(self, chunk: str) -> list[str]:
-        """The pre-tokens of a chunk. Plain words, also with one mark behind them, need no pattern."""
-        if self.spaced and chunk[:1] == " ":
-            if chunk[1:].isalpha():
-                return [chunk]
-            if chunk[-1] in MARKS and chunk[1:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
-        elif not self.spaced and chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        if not self.spaced:
-            if not chunk.isascii():
-                chunk = unicodedata.normalize("NFC", chunk)
-            chunk = lower_each(chunk)
+        """The pre-tokens of a chunk."""
+        return self._words(self.normal(chunk))
+
+    def _words(self, chunk: str) -> list[str]:
+        """The pre-tokens of a normal chunk. Plain words, also with marks behind them, need no pattern."""
+        body = chunk.rstrip(MARKS)
+        if (body[1:] if self.spaced and body[:1] == " " else body).isalpha():
+            return [body, chunk[len(body):]] if len(body) < len(chunk) else [body]
         return self._split(chunk)
 
     def word_ids(self, word: str) -> bytes:
@@ -151,14 +146,23 @@ class Encoder:
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Distinct unknown words are encoded once."""
-        memo = self._memo
-        out = list(map(memo.get, chunks))
+        memo, normal, words = self._memo, chunks, self._words
+        together = " ".join(chunks)
+        strange = ()
+        if "<|" in together or not together.isprintable():
+            strange = [i for i, c in enumerate(chunks) if self.foreign(c)]
+        if not self.spaced:  # no chunk has a space, and none is made, moved or merged
+            normal = self.normal(together).split(" ")
+        del together
+        out = list(map(memo.get, normal))
+        for i in strange:  # not remembered: their normal forms may be those of others
+            out[i] = self.text_ids(chunks[i]).tobytes()
         rest = [i for i, b in enumerate(out) if b is None]
         if not rest:
             return out
-        # A chunk is one word, a list of words, or None if it goes through the library.
-        plain, words, foreign = self.plain, self.words, self.foreign
-        split = [plain(c) or (None if foreign(c) else words(c)) for c in map(chunks.__getitem__, rest)]
+        # A chunk is one word or a list of words.
+        split = [n if n.isalpha() or n[:1] == " " and n[1:].isalpha() else words(n)
+                 for n in map(normal.__getitem__, rest)]
         fresh = {w for w in split if w.__class__ is str and w not in memo}
         fresh.update(w for ws in split if ws.__class__ is list for w in ws if w not in memo)
         found = dict(zip(fresh, self.new_words(list(fresh)), strict=True))
@@ -172,15 +176,10 @@ class Encoder:
             if ws.__class__ is str:
                 out[i] = get(ws)
                 continue
-            if ws is None:
-                ids = self.text_ids(chunks[i]).tobytes()
-            elif len(ws) == 2:
-                ids = get(ws[0]) + get(ws[1])
-            else:
-                ids = b"".join(map(get, ws))
+            ids = get(ws[0]) + get(ws[1]) if len(ws) == 2 else b"".join(map(get, ws))
             out[i] = ids
             if room > 0:
-                memo[chunks[i]] = ids
+                memo[normal[i]] = ids
                 room -= 1
         return out
 
@@ -205,42 +204,39 @@ class Encoder:
                 at = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
                 odd = {int(i): self.text_ids(texts[int(i)].as_py()) for i in at}
                 texts = pc.if_else(mask, "", texts)
-        pieces = pc.split_pattern(texts, " ")
+        pieces = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        key = coded.indices.to_numpy().astype(np.int64)
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        key = coded.indices.to_numpy()
         if self.spaced:  # all but the first chunk of a text have a space before them
+            names, key = chunks, key.astype(np.int64)
             first = np.zeros(len(key), bool)
             first[bounds[:-1]] = True
             key = key + len(names) * ~first
-        present = np.zeros(2 * len(names), bool)
-        present[key] = True
-        used = np.flatnonzero(present)
-        place = np.cumsum(present) - 1
-        chunks = [names[k] if k < len(names) else " " + names[k - len(names)] for k in used]
+            present = np.zeros(2 * len(names), bool)
+            present[key] = True
+            chunks = [names[k] if k < len(names) else " " + names[k - len(names)]
+                      for k in np.flatnonzero(present).tolist()]
+            key = (np.cumsum(present) - 1)[key]
+            del names
         collecting = gc.isenabled()
         gc.disable()  # millions of small lists, none of them in a cycle
         try:
-            blobs = self.chunk_ids(chunks)
+            ids = pa.array(self.chunk_ids(chunks), pa.large_binary())
         finally:
             if collecting:
                 gc.enable()
-        size = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
-        ids = np.frombuffer(b"".join(blobs), "<u4")
-        start = np.cumsum(size) - size
-        del blobs, chunks, names
-        key = place[key]
+        del pieces, coded, chunks
         n, i = len(texts), 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + GATHER, "right")) - 1)
-            part = key[bounds[i]:bounds[j]]
-            length = size[part]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            flat = ids[np.repeat(start[part] - (ends - length), length) + np.arange(total)]
-            cut = np.concatenate([[0], ends])[bounds[i:j + 1] - bounds[i]]
+            part = ids.take(pa.array(key[bounds[i]:bounds[j]]))
+            _, ends, data = part.buffers()
+            ends = np.frombuffer(ends, np.int64, len(part) + 1) // 4
+            flat = np.frombuffer(data or b"", "<u4", int(ends[-1]))
+            cut = ends[bounds[i:j + 1] - bounds[i]].tolist()
             for k in range(i, j):
                 yield odd[k] if k in odd else flat[cut[k - i]:cut[k - i + 1]]
             i = j

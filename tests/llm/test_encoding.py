@@ -51,6 +51,40 @@ def test_letters_that_only_the_library_knows(path, kind):
         assert got.tolist() == [len(ids(t)) for t in texts]
 
 
+@pytest.mark.parametrize("path", [SPACED, DROPPED])
+def test_plain_words_need_no_pattern(path, monkeypatch):
+    """Words of any script, with marks behind them and between line breaks, are told without a regular expression."""
+    gap = " " if path == SPACED else "\n"
+    text = "Größe, ÉTÉ!! señor### 日本 Über." + gap + "Ça... naïve ΑΣ the"
+    enc = Encoder(path)
+
+    def never(chunk):
+        raise AssertionError(chunk)
+
+    monkeypatch.setattr(enc, "_split", never)
+    monkeypatch.setattr(enc, "_unassigned", never)
+    assert [x.tolist() for x in enc.batch(pa.array([text]))] == [library(path)(text)]
+
+
+def test_printable_letters_are_assigned():
+    known = "".join(filter(str.isprintable, map(chr, range(0x110000))))
+    assert Encoder(DROPPED)._unassigned(known) is None
+
+
+@pytest.mark.parametrize("path", [SPACED, DROPPED])
+def test_ids_do_not_depend_on_texts_before(path):
+    """Strings that are a word in one text and something else in the next, in both orders, apart and together."""
+    ids = library(path)
+    texts = ["\u0307\u0331", "\u0130\u0331", "x\n\u0307\u0331\x85y", "<|ENDOFTEXT|>", "<|endoftext|>",
+             "a <|EndOfText|>\t<|endoftext|> b", "\x0b\x0c\r\u2003\x1c'S\n'll", "", " ", "\n \n"]
+    for some in (texts, texts[::-1]):
+        enc = Encoder(path)
+        apart = [next(enc.batch(pa.array([t]))).tolist() for t in some]
+        again = [x.tolist() for x in enc.batch(pa.array(some))]
+        together = [x.tolist() for x in Encoder(path).batch(pa.array(some))]
+        assert apart == again == together == [ids(t) for t in some]
+
+
 def test_words_of_merge_traps():
     texts = ["a" * n for n in range(1, 60)] + ["0" * 37, "=" * 81, "=-" * 20, " " * 9, "ÃÂ" * 7,
                                               "<|endoftext|>", "x <|endoftext|>  y", "abcabcab" * 9]
